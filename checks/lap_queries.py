@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.adapter import LAPS, ROLLING, SEGMENTS, STATE, laps
+from checks.adapter import LAPS, ROLLING, SEGMENTS, STATE, laps, read
 from laptable.functions.coerce import weather_bins, wind_components
+from laptable.functions.groups import split_hint
 from laptable.operators import features as feat
 from laptable.operators.lap_state import lap_state_flags, runs_of
-from laptable.operators.priors import history_prior
+from laptable.operators.priors import history_prior, key_parts
 from laptable.schema import LAP_STATE, PRIOR_GROUPS, RAW_TARGET, TARGET
 
 KEYS = ["season", "event", "session", "driver", "lap_number"]
@@ -24,13 +25,18 @@ def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
+def hint(spark, folder):
+    """False while the source tables are so small that no group can be large; else ask."""
+    return split_hint(read(spark, folder, "lineitem"))
+
+
 def flagged(spark, folder):
-    runs = runs_of(feat.prepare(laps(spark, folder)))
+    runs = runs_of(feat.prepare(laps(spark, folder)), hint(spark, folder))
     return runs, lap_state_flags(runs)
 
 
 def features(spark, folder, **options) -> DataFrame:
-    return feat.build_features(laps(spark, folder), **options)
+    return feat.build_features(laps(spark, folder), split=hint(spark, folder), **options)
 
 
 QUERIES, SQL = {}, {}
@@ -191,7 +197,7 @@ def prior_query(name):
     def query(spark, folder):
         runs, df = flagged(spark, folder)
         valid = df.withColumns(weather_bins()).where("lap_valid")
-        return history_prior(valid, [name]).select(F.array_join("key", "|").alias("key"), "season", "event", *r6("value"))
+        return history_prior(valid, [name], hint(spark, folder)).select(F.array_join(key_parts(F.col("key")), "|").alias("key"), "season", "event", *r6("value"))
 
 
 for _name in PRIOR_GROUPS:
@@ -211,7 +217,7 @@ def q_prior_lookup(spark, folder):
     names = ["hist_driver_circuit_pace", "hist_team_weather_pace"]
     runs, df = flagged(spark, folder)
     df = df.withColumns(weather_bins())
-    priors = history_prior(df.where("lap_valid"), names)
+    priors = history_prior(df.where("lap_valid"), names, hint(spark, folder))
     return prior_lookup(runs.finish(df), priors, names).select(*KEYS, "lap_valid", *r6(*names))
 
 
@@ -229,9 +235,9 @@ full_table AS (
 
 @register(
     "build_features",
-    f"{FULL} SELECT {KEY_SQL}, laps_in_segment, driver_team, {s6(*FULL_NUMERIC, 'wind_dir_sin', 'wind_dir_cos', RAW_TARGET, TARGET)}, "
+    f"{FULL}, lagged AS (SELECT {KEY_SQL}, has_target, laps_in_segment, driver_team, {s6(*FULL_NUMERIC, 'wind_dir_sin', 'wind_dir_cos', RAW_TARGET, TARGET)}, "
     f"{', '.join(f'round({n}, 6) + 0.0 AS {n}, round({n} - rolling_median_5, 6) + 0.0 AS {n}_rel' for n in PRIOR_GROUPS)}, {lag_sql(5)}, "
-    f"3 AS lap_validity_version FROM full_table WHERE has_target {SEGMENT_WINDOW}".replace("FROM full_table WHERE has_target", "FROM full_table"),
+    f"3 AS lap_validity_version FROM full_table {SEGMENT_WINDOW}) SELECT * EXCLUDE (has_target) FROM lagged WHERE has_target",
 )
 def q_features(spark, folder):
     from laptable.schema import lag_names
@@ -243,13 +249,6 @@ def q_features(spark, folder):
     )
 
 
-SQL["build_features"] = (
-    f"{FULL}, lagged AS (SELECT {KEY_SQL}, has_target, laps_in_segment, driver_team, {s6(*FULL_NUMERIC, 'wind_dir_sin', 'wind_dir_cos', RAW_TARGET, TARGET)}, "
-    f"{', '.join(f'round({n}, 6) + 0.0 AS {n}, round({n} - rolling_median_5, 6) + 0.0 AS {n}_rel' for n in PRIOR_GROUPS)}, {lag_sql(5)}, "
-    f"3 AS lap_validity_version FROM full_table {SEGMENT_WINDOW}) SELECT * EXCLUDE (has_target) FROM lagged WHERE has_target"
-)
-
-
 @register(
     "next_lap_table_v0",
     f"""WITH {LAPS}, kept AS (SELECT *, lag(lap_time_s) OVER run AS t1, lead(lap_time_s) OVER run AS nt, lead(lap_number) OVER run AS nl
@@ -264,7 +263,7 @@ SQL["build_features"] = (
     FROM r WHERE nl - lap_number = 1 AND nt IS NOT NULL""",
 )
 def q_v0(spark, folder):
-    return feat.next_lap_table_v0(laps(spark, folder)).select(
+    return feat.next_lap_table_v0(laps(spark, folder), hint(spark, folder)).select(
         *KEYS, *r6("rolling_median_3", "rolling_median_5", "pace_trend_3", "lap_delta_to_rolling5"), RAW_TARGET, *r6(TARGET)
     )
 

@@ -37,6 +37,12 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def split_hint(source: DataFrame) -> bool | None:
+    """``False`` when the whole source is under the bound (no group can be larger than its
+    table; parquet answers the count from its footers), else ``None``: ask group by group."""
+    return False if source.count() <= max_group_rows(source) else None
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition in which a missing key matches a missing key."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -54,6 +60,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def count_if(condition: Column) -> Column:
+    """Rows for which the condition holds."""
+    return F.count_if(F.coalesce(condition, F.lit(False)))
+
+
 class OrderedGroups:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], split: bool | None = None,
                  chunks: int | None = None):

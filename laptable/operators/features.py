@@ -9,12 +9,14 @@ laps are shuffled and sorted once.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laptable.functions.coerce import driver_team, number, weather_bins, wind_components
-from laptable.functions.groups import OrderedGroups, join_on
+from laptable.functions.groups import OrderedGroups, join_on, max_group_rows
 from laptable.operators.lap_state import lap_state_flags, runs_of
 from laptable.operators.priors import attach_priors
 from laptable.schema import (
@@ -29,6 +31,7 @@ from laptable.schema import (
     RAW_TARGET,
     RELATIVE_LAGS,
     REQUIRED,
+    RUN_KEYS,
     TARGET,
     TEXT_DEFAULTS,
     feature_contract,
@@ -147,24 +150,26 @@ def segments(runs: OrderedGroups, df: DataFrame) -> DataFrame:
     return out.withColumn("segment", (F.col("segment") + own).cast("int")).drop("_starts")
 
 
-def _tail(source: str, length: int) -> Column:
-    """Values of the last ``length`` laps of the segment, nulls left out."""
-    values = [F.col(source)] + [
+def _tail(source: str, length: int) -> list[Column]:
+    """Values of the last ``length`` laps, null outside the segment."""
+    return [F.col(source)] + [
         F.when(F.col("laps_in_segment") > k, F.col(f"_{source}_{k}")) for k in range(1, length)
     ]
-    return F.array_compact(F.array(*values))
 
 
-def _median(values: Column) -> Column:
-    ordered = F.sort_array(values)
+def _median(values: list[Column]) -> Column:
+    ordered = F.sort_array(F.array_compact(F.array(*values)))
     n = F.size(ordered)
     low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
     high = F.get(ordered, F.floor(n / 2).cast("int"))
     return low + (high - low) * F.when(n % 2 == 0, 0.5).otherwise(0.0)
 
 
-def _mean(values: Column) -> Column:
-    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values).cast("double"))
+def _mean(values: list[Column]) -> Column:
+    """Mean of the values that are present."""
+    total = reduce(add, [F.coalesce(v, F.lit(0.0)) for v in values])
+    present = reduce(add, [v.isNotNull().cast("int") for v in values])
+    return F.try_divide(total, present.cast("double"))
 
 
 def shifted(runs: OrderedGroups, df: DataFrame, sources: dict[str, int]) -> DataFrame:
@@ -186,12 +191,10 @@ def rolling_columns() -> dict[str, Column]:
     }
 
 
-def _lap_deltas() -> Column:
+def _lap_deltas() -> list[Column]:
     """The last three lap-to-lap changes inside the segment."""
     chain = [F.col("lap_time_s")] + [F.col(f"_lap_time_s_{k}") for k in (1, 2, 3)]
-    return F.array_compact(
-        F.array(*[F.when(F.col("laps_in_segment") > k + 1, chain[k] - chain[k + 1]) for k in range(3)])
-    )
+    return [F.when(F.col("laps_in_segment") > k + 1, chain[k] - chain[k + 1]) for k in range(3)]
 
 
 def pace_columns() -> dict[str, Column]:
@@ -258,6 +261,14 @@ def run_features(runs: OrderedGroups, flagged: DataFrame, history: int = 5) -> D
     return df.drop("_starts", "is_break", *raw_shifts)
 
 
+def largest_run_and_event(df: DataFrame) -> tuple[int, int]:
+    """Rows of the largest run and of the largest event, from one scan of the key columns."""
+    per_run = df.groupBy(*RUN_KEYS).count()
+    per_event = per_run.groupBy("season", "event").agg(F.max("count").alias("run"), F.sum("count").alias("rows"))
+    sizes = per_event.agg(F.max("run"), F.max("rows")).first()
+    return sizes[0] or 0, sizes[1] or 0
+
+
 def build_features(raw: DataFrame, history: int = 5, require_chronology: bool = True,
                    require_target: bool = True, split: bool | None = None,
                    check_tiers: bool = True, priors: Iterable[str] | None = None) -> DataFrame:
@@ -275,7 +286,11 @@ def build_features(raw: DataFrame, history: int = 5, require_chronology: bool =
         check_only_guard(raw)
     if not any(c in raw.columns for c in CHRONOLOGY):
         raw = with_appearance_rounds(raw)
-    runs = runs_of(prepare(raw), split)
+    prepared = prepare(raw)
+    split_events = split
+    if split is None:
+        split, split_events = (size > max_group_rows(raw) for size in largest_run_and_event(prepared))
+    runs = runs_of(prepared, split)
     flagged = lap_state_flags(runs)
     flagged = flagged.withColumns(
         wind_components(number("wind_direction_deg")) | {"driver_team": driver_team()} | weather_bins()
@@ -283,7 +298,7 @@ def build_features(raw: DataFrame, history: int = 5, require_chronology: bool =
     table = runs.finish(run_features(runs, flagged, history).where("lap_valid"))
     if require_target:
         table = table.where(has_target())
-    table = attach_priors(table, flagged, priors)
+    table = attach_priors(table, flagged, priors, split_events)
     usable = has_target()
     return table.withColumns(
         {
@@ -312,8 +327,8 @@ def next_lap_table_v0(raw: DataFrame, split: bool | None = None) -> DataFrame:
     shifts |= {RAW_TARGET: F.lead("lap_time_s").over(w), "next_lap_number": F.lead("lap_number").over(w)}
     out = runs.finish(runs.core(out.withColumns(shifts)))
 
-    def compact(*names: str) -> Column:
-        return F.array_compact(F.array(*[F.col(n) for n in names]))
+    def compact(*names: str) -> list[Column]:
+        return [F.col(n) for n in names]
 
     out = out.withColumns(
         {

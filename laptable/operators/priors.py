@@ -12,31 +12,39 @@ from laptable.functions.groups import join_on, largest_group, max_group_rows, pe
 from laptable.schema import PRIOR_GROUPS
 
 EVENT = ["season", "event"]
+SEPARATOR, MISSING = "\u001f", "\u0000"
 
 
-def prior_key(columns: list[str]) -> Column:
-    """Group key as an array of texts: one type for all priors, and a missing part equals a
-    missing part."""
-    return F.array(*[F.col(c).cast("string") for c in columns])
+def text_key(name: str, columns: list[str]) -> Column:
+    """One text per combination of column values.
 
+    A missing part equals a missing part. The hash comes first: it makes sorts and joins
+    decide on the first bytes, and it tells apart values that contain the separator.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns]
+    return F.concat_ws(SEPARATOR, F.hex(F.xxhash64(F.lit(name), *columns)), F.lit(name), *parts)
 
-def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row per lap and prior, so all priors share one aggregation and one window."""
-    pairs = [F.struct(F.lit(n).alias("prior"), prior_key(PRIOR_GROUPS[n]).alias("key")) for n in names]
-    return df.withColumn("_p", F.explode(F.array(*pairs))).select(
-        F.col("_p.prior").alias("prior"), F.col("_p.key").alias("key"), *[c for c in df.columns]
-    )
+
+def key_parts(key: Column) -> Column:
+    """The column values behind a key, as texts."""
+    parts = F.split(key, SEPARATOR)
+    return F.transform(F.slice(parts, F.lit(3), F.size(parts) - 2), lambda v: F.when(v != MISSING, v))
+
+
+def _keyed(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """One row per input row and prior, so all priors share one aggregation and one window."""
+    pairs = [F.struct(F.lit(n).alias("prior"), text_key(n, PRIOR_GROUPS[n]).alias("key")) for n in names]
+    return df.select(*keep, F.explode(F.array(*pairs)).alias("_p")).select("_p.prior", "_p.key", *keep)
 
 
 def event_medians(valid: DataFrame, names: list[str], split: bool | None = None) -> DataFrame:
     """Median lap time per (prior, key, season, event) and the day the event took place."""
     keys = ["prior", "key", *EVENT]
-    used = sorted({c for n in names for c in PRIOR_GROUPS[n]} | set(EVENT))
-    slim = valid.select(*used, "lap_time_s", event_order(valid.columns).alias("event_day"))
+    slim = valid.withColumn("event_day", event_order(valid.columns))
     if split is None:
         # No prior group inside an event is larger than the event.
         split = largest_group(slim, EVENT) > max_group_rows(slim)
-    keyed = _keyed(slim, names)
+    keyed = _keyed(slim, names, [*EVENT, "lap_time_s", "event_day"])
     if not split:
         return keyed.groupBy(*keys).agg(
             F.percentile("lap_time_s", F.lit(0.5)).alias("event_median"), F.min("event_day").alias("event_day")
@@ -52,36 +60,38 @@ def history_prior(valid: DataFrame, names: Iterable[str] | None = None, split: b
     Events on the same day do not see each other: the frame ends the day before.
     """
     names = list(PRIOR_GROUPS if names is None else names)
-    earlier = (
-        Window.partitionBy("prior", "key").orderBy("event_day").rangeBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy("key").orderBy("event_day").rangeBetween(Window.unboundedPreceding, -1)
     return event_medians(valid, names, split).withColumn(
         "value", F.percentile("event_median", F.lit(0.5)).over(earlier)
     )
 
 
-def prior_lookup(rows: DataFrame, priors: DataFrame, names: list[str]) -> DataFrame:
+def prior_lookup(rows: DataFrame, priors: DataFrame, names: list[str], combos: DataFrame | None = None) -> DataFrame:
     """Attach prior values to ``rows``.
 
-    The rows are reduced to their distinct key combinations first; those are matched with the
-    priors and joined back, so the wide rows are shuffled once for all priors.
+    The distinct key combinations are matched with the priors first and joined back, so the
+    wide rows are shuffled once for all priors. ``combos`` may come from a cheaper table that
+    holds at least the combinations of ``rows``.
     """
     parts = sorted({c for n in names for c in PRIOR_GROUPS[n]} | set(EVENT))
-    combos = rows.select(*parts).distinct()
-    values = priors.select("prior", "key", *EVENT, "value").where(F.col("value").isNotNull())
-    matched = join_on(_keyed(combos, names), values, ["prior", "key", *EVENT], "inner")
-    wide = matched.groupBy(*parts).agg(
+    combo = text_key("combo", parts)
+    distinct = (rows if combos is None else combos).select(*parts).distinct().withColumn("_combo", combo)
+    at = F.concat_ws(SEPARATOR, "key", *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in EVENT]).alias("at")
+    wanted = _keyed(distinct, names, ["_combo", *EVENT]).select("prior", "_combo", at)
+    known = priors.where(F.col("value").isNotNull()).select(at, "value")
+    wide = wanted.join(known, "at").groupBy("_combo").agg(
         *[F.max(F.when(F.col("prior") == n, F.col("value"))).alias(n) for n in names]
     )
-    return join_on(rows, wide, parts)
+    return rows.withColumn("_combo", combo).join(wide, "_combo", "left").drop("_combo")
 
 
-def attach_priors(table: DataFrame, flagged: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+def attach_priors(table: DataFrame, flagged: DataFrame, names: Iterable[str] | None = None,
+                  split: bool | None = None) -> DataFrame:
     """Priors of ``table`` from the valid laps of ``flagged``, plus their distance to the
     current rolling pace."""
     names = list(PRIOR_GROUPS if names is None else names)
     if not names:
         return table
-    priors = history_prior(flagged.where("lap_valid"), names)
-    out = prior_lookup(table, priors, names)
+    valid = flagged.where("lap_valid")
+    out = prior_lookup(table, history_prior(valid, names, split), names, combos=valid)
     return out.withColumns({f"{n}_rel": F.col(n) - F.col("rolling_median_5") for n in names})
