@@ -143,9 +143,9 @@ def literal_map(values: dict) -> Column:
 def _steps(df: DataFrame, key: str, season: str, out: str, fixed: dict[str, str], steps: list[tuple]) -> DataFrame:
     """Validity-range join with a constant dimension (a few dozen rows, so broadcast)."""
     rows = [(k, 0, 9999, v) for k, v in fixed.items()] + steps
-    dim = df.sparkSession.createDataFrame(rows, "_ref string, _from int, _to int, _name string")
-    on = (F.col(key) == F.col("_ref")) & F.col(season).between(F.col("_from"), F.col("_to"))
-    return df.join(F.broadcast(dim), on, "left").withColumnRenamed("_name", out).drop("_ref", "_from", "_to")
+    dim = df.sparkSession.createDataFrame(rows, "_dim_ref string, _dim_from int, _dim_to int, _dim_name string")
+    on = (F.col(key) == F.col("_dim_ref")) & F.col(season).between(F.col("_dim_from"), F.col("_dim_to"))
+    return df.join(F.broadcast(dim), on, "left").withColumnRenamed("_dim_name", out).drop("_dim_ref", "_dim_from", "_dim_to")
 
 
 def with_team(df: DataFrame, constructor: str, season: str, given_name: str, out: str = "team") -> DataFrame:
