@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["checks.lap_queries", "checks.more_lap_queries", "checks.report_queries", "checks.stream_queries"]
+MODULES = ["checks.lap_queries", "checks.more_lap_queries", "checks.report_queries", "checks.stream_queries", "checks.model_queries"]
 
 
 def _modules():

@@ -82,6 +82,10 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     return Preprocessor(kept, [medians[c] for c in kept], indicators, means, [s if s > 1e-12 else 1.0 for s in stds], categories)
 
 
+def _equals(text: Column):
+    return lambda level: (level == text).cast("double")
+
+
 def apply_preprocessor(df: DataFrame, spec: Preprocessor, out: str = "features") -> DataFrame:
     """Add the ``features`` array: scaled values and indicators, then one-hot columns. Rare
     training categories share one column; values unknown to training are all zeros."""
@@ -93,7 +97,7 @@ def apply_preprocessor(df: DataFrame, spec: Preprocessor, out: str = "features")
         text = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
         if known["frequent"]:
             levels = F.array(*[F.lit(v) for v in known["frequent"]])
-            blocks.append(F.transform(levels, lambda level, text=text: (level == text).cast("double")))
+            blocks.append(F.transform(levels, _equals(text)))
         if known["infrequent"]:
             blocks.append(F.array(text.isin(known["infrequent"]).cast("double")))
     return df.withColumn(out, F.concat(*blocks))
