@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +67,13 @@ def cached_features(raw: DataFrame, folder: str, build, history: int, rules: int
     spark = raw.sparkSession
     key = table_fingerprint(raw, history, rules).select(F.sha2(F.to_json(F.struct("*")), 256)).first()[0]
     path = f"{folder}/features_{key[:24]}"
-    # A build that was cut off leaves no success marker and is written again.
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
+    # The marker is written after the table, so a build that was cut off is done again.
+    marker = f"{path}_done"
     try:
-        finished = done.load(path).select("path").head() is not None
-    except Exception:  # noqa: BLE001 - no such folder yet
+        finished = not spark.read.parquet(marker).isEmpty()
+    except AnalysisException:
         finished = False
     if not finished:
         build(raw).write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(key,)], "fingerprint string").coalesce(1).write.mode("overwrite").parquet(marker)
     return spark.read.parquet(path)
