@@ -70,12 +70,19 @@ def prior_lookup(rows: DataFrame, priors: DataFrame, names: list[str], combos: D
     """Attach prior values to ``rows``.
 
     The distinct key combinations are matched with the priors first and joined back, so the
-    wide rows are shuffled once for all priors. ``combos`` may come from a cheaper table that
-    holds at least the combinations of ``rows``.
+    wide rows are shuffled once for all priors; a combination that holds very many rows is
+    split by the adaptive skew join. ``combos`` may come from a cheaper table that holds at
+    least the combinations of ``rows``.
     """
     parts = sorted({c for n in names for c in PRIOR_GROUPS[n]} | set(EVENT))
     combo = text_key("combo", parts)
-    distinct = (rows if combos is None else combos).select(*parts).distinct().withColumn("_combo", combo)
+    source = rows if combos is None else combos
+    # Grouping with the event day keeps this branch on the same columns as the medians, so
+    # Spark can reuse their shuffle of the laps.
+    distinct = (
+        source.select(*parts, event_order(source.columns).alias("_day")).groupBy(*parts)
+        .agg(F.max("_day").alias("_day")).where(F.col("_day").isNotNull()).withColumn("_combo", combo)
+    )
     at = F.concat_ws(SEPARATOR, "key", *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in EVENT]).alias("at")
     wanted = _keyed(distinct, names, ["_combo", *EVENT]).select("prior", "_combo", at)
     known = priors.where(F.col("value").isNotNull()).select(at, "value")
