@@ -351,7 +351,7 @@ def q_outcome(spark, folder):
     f"SELECT {KEY_SQL}, CASE WHEN season <= 2010 THEN 'Bridgestone' ELSE 'Pirelli' END AS tyre_manufacturer, coalesce(lap_number > 1 AND NOT pit_in AND NOT pit_out AND lap_time_s <= 1.12 * med, false) AS is_accurate FROM m",
 )
 def q_legacy(spark, folder):
-    return lap_state.legacy_validity(laps(spark, folder)).select(*KEYS, "tyre_manufacturer", "is_accurate")
+    return lap_state.legacy_validity(laps(spark, folder), hint(spark, folder)).select(*KEYS, "tyre_manufacturer", "is_accurate")
 
 
 @register(
@@ -364,7 +364,7 @@ def q_legacy(spark, folder):
 )
 def q_accuracy(spark, folder):
     third = F.when(F.col("src_part") % 3 == 1, F.col("lap_time_s") - F.col("sector1_s") - F.col("sector2_s")).when(F.col("src_part") % 3 == 2, F.col("sector3_s"))
-    return lap_state.accuracy_rule(laps(spark, folder).withColumn("sector3_s", third), ["season", "event", "driver"]).select(*KEYS, "is_accurate")
+    return lap_state.accuracy_rule(laps(spark, folder).withColumn("sector3_s", third), ["season", "event", "driver"], hint(spark, folder)).select(*KEYS, "is_accurate")
 
 
 @register(
@@ -386,7 +386,7 @@ def q_pits(spark, folder):
 )
 def q_end(spark, folder):
     df = laps(spark, folder).withColumn("lap_start", F.timestamp_micros(F.lit(1704067200000000) + (F.col("lap_number") * 90000000).cast("bigint")))
-    out = lap_state.lap_end_time(df, ["season", "event", "session", "driver"], F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    out = lap_state.lap_end_time(df, ["season", "event", "session", "driver"], F.to_timestamp(F.lit("2024-02-01 00:00:00")), hint(spark, folder))
     return out.select(*KEYS, F.unix_micros("lap_end").alias("end_us"))
 
 

@@ -32,6 +32,19 @@ naive AS (
 )"""
 
 
+# A mean of thousandths over, say, 400 laps can lie exactly between two sixth decimals, and then
+# the order of summation decides the rounding. Both sides move off such ties before rounding.
+OFF_TIE = 1e-10
+
+
+def m6(*names: str) -> list:
+    return [(F.round(F.col(n) + F.lit(OFF_TIE), 6) + F.lit(0.0)).alias(n) for n in names]
+
+
+def off_ties(sql: str) -> str:
+    return sql.replace("round(", f"round({OFF_TIE} + ")
+
+
 def scored(spark, folder):
     return features(spark, folder, priors=[])
 
@@ -44,7 +57,7 @@ def metric_sql(source: str, keys: str) -> str:
     """All point metrics; rounding hides the last bits of summation order."""
     head = f"{keys}, " if keys else ""
     group = f" GROUP BY {keys}" if keys else ""
-    return (
+    return off_ties(
         f"SELECT {head}round(avg(abs(pred - actual)), 6) AS mae_s, round(sqrt(avg((pred - actual) * (pred - actual))), 6) AS rmse_s, round(median(abs(pred - actual)), 6) AS median_ae_s, "
         "round(quantile_cont(abs(pred - actual), 0.9), 6) AS p90_ae_s, round(avg(pred - actual), 6) + 0.0 AS signed_bias_s, round(avg((abs(pred - actual) <= 0.5)::INT), 6) AS within_0_5s_share, "
         "round(avg((abs(pred - actual) <= 1.0)::INT), 6) AS within_1s_share, round(100 * avg(abs(pred - actual) / greatest(abs(actual), 1e-9)), 6) AS mape_pct, "
@@ -57,22 +70,22 @@ METRICS6 = [n for n in metrics.METRIC_NAMES if n != "rows"]
 
 @register("next_lap_baseline", f"{NAIVE}, g AS ({metric_sql('naive', 'model, driver')}) SELECT * FROM g WHERE \"rows\" >= 20")
 def q_baseline(spark, folder):
-    return metrics.metrics_by_key(naive(spark, folder), ["model", "driver"], split=hint(spark, folder)).select("model", "driver", *r6(*METRICS6), "rows")
+    return metrics.metrics_by_key(naive(spark, folder), ["model", "driver"], split=hint(spark, folder)).select("model", "driver", *m6(*METRICS6), "rows")
 
 
 @register("regression_metrics", f"{NAIVE} {metric_sql('(SELECT * FROM naive WHERE model = ' + chr(39) + 'previous_lap' + chr(39) + ')', '')}")
 def q_metrics(spark, folder):
-    return metrics.regression_metrics(naive(spark, folder).where("model = 'previous_lap'"), [], hint(spark, folder)).select(*r6(*METRICS6), "rows")
+    return metrics.regression_metrics(naive(spark, folder).where("model = 'previous_lap'"), [], hint(spark, folder)).select(*m6(*METRICS6), "rows")
 
 
 @register("naive_metrics", f"{NAIVE} {metric_sql('naive', 'model')}")
 def q_naive(spark, folder):
-    return metrics.regression_metrics(naive(spark, folder), ["model"], hint(spark, folder)).select("model", *r6(*METRICS6), "rows")
+    return metrics.regression_metrics(naive(spark, folder), ["model"], hint(spark, folder)).select("model", *m6(*METRICS6), "rows")
 
 
 @register("metrics_by_key", f"{NAIVE}, g AS ({metric_sql('naive', 'model, season, event')}) SELECT * FROM g WHERE \"rows\" >= 20")
 def q_by_key(spark, folder):
-    return metrics.metrics_by_key(naive(spark, folder), ["model", "season", "event"], split=hint(spark, folder)).select("model", "season", "event", *r6(*METRICS6), "rows")
+    return metrics.metrics_by_key(naive(spark, folder), ["model", "season", "event"], split=hint(spark, folder)).select("model", "season", "event", *m6(*METRICS6), "rows")
 
 
 @register(
@@ -102,14 +115,14 @@ BREAKDOWN = " UNION ALL ".join(
 @register(
     "condition_breakdown",
     f"{UPTO_PACE}, {BANDS_SQL}, g AS ({BREAKDOWN}), v AS (SELECT dimension FROM g GROUP BY dimension HAVING count(*) > 1) "
-    "SELECT dimension, value, \"rows\", round(a, 6) AS mae_previous_lap, round(b, 6) AS mae_rolling_median_5, CASE WHEN a <= b THEN 'previous_lap' ELSE 'rolling_median_5' END AS best_model "
+    "SELECT dimension, value, \"rows\", round(1e-10 + a, 6) AS mae_previous_lap, round(1e-10 + b, 6) AS mae_rolling_median_5, CASE WHEN a <= b THEN 'previous_lap' ELSE 'rolling_median_5' END AS best_model "
     "FROM g WHERE \"rows\" >= 30 AND dimension IN (SELECT dimension FROM v)",
 )
 def q_breakdown(spark, folder):
     table = metrics.with_condition_bands(scored(spark, folder))
     rows = table.select("*", F.col(RAW_TARGET).alias("actual"), F.col("lap_time_s").alias("pred_previous_lap"), F.col("rolling_median_5").alias("pred_rolling_median_5"))
     out = metrics.condition_breakdown(rows, ["previous_lap", "rolling_median_5"])
-    return out.select("dimension", "value", "rows", *r6("mae_previous_lap", "mae_rolling_median_5"), "best_model")
+    return out.select("dimension", "value", "rows", *m6("mae_previous_lap", "mae_rolling_median_5"), "best_model")
 
 
 ROBUST = ["event", "team", "driver", "compound", "rainfall", "is_yellow"]
@@ -119,9 +132,9 @@ ROBUST_SQL = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d}::VARCHAR AS val
 @register(
     "robustness_breakdown",
     f"{UPTO_PACE}, r AS (SELECT *, abs(rolling_median_3 - next_time) AS ae, abs(lap_time_s - next_time) AS pe, abs(rolling_median_5 - next_time) AS re, next_time BETWEEN rolling_median_3 - 2 AND rolling_median_3 + 2 AS ins FROM usable WHERE has_target), "
-    f"l AS ({ROBUST_SQL}) SELECT dimension, value, count(*) AS \"rows\", round(avg(ae), 6) AS mae_s, round(avg(pe), 6) AS previous_lap_mae_s, round(avg(re), 6) AS rolling5_mae_s, round(avg(ins::INT), 6) AS coverage, "
+    f"l AS ({ROBUST_SQL}) " + off_ties("SELECT dimension, value, count(*) AS \"rows\", round(avg(ae), 6) AS mae_s, round(avg(pe), 6) AS previous_lap_mae_s, round(avg(re), 6) AS rolling5_mae_s, round(avg(ins::INT), 6) AS coverage, "
     "round(avg(rolling_median_3 - next_time), 6) + 0.0 AS bias_s, round(avg((ae < pe)::INT), 6) AS beat_share, round(avg((abs(ae - pe) < 0.01)::INT), 6) AS tie_share, round(avg((abs(pace_spread_3_5) > 0.2)::INT), 6) AS widened_share, "
-    "round(median(ae), 6) AS median_ae_s, round(quantile_cont(ae, 0.9), 6) AS p90_ae_s, round(quantile_cont(ae, 0.99), 6) AS p99_ae_s FROM l GROUP BY dimension, value HAVING count(*) >= 20",
+    "round(median(ae), 6) AS median_ae_s, round(quantile_cont(ae, 0.9), 6) AS p90_ae_s, round(quantile_cont(ae, 0.99), 6) AS p99_ae_s FROM l GROUP BY dimension, value HAVING count(*) >= 20"),
 )
 def q_robust(spark, folder):
     table = scored(spark, folder)
@@ -131,7 +144,7 @@ def q_robust(spark, folder):
     )
     out = metrics.robustness_breakdown(rows, ROBUST, 0.2, split=hint(spark, folder))
     names = [c for c in out.columns if c not in ("dimension", "value", "rows")]
-    return out.select("dimension", "value", "rows", *r6(*names))
+    return out.select("dimension", "value", "rows", *m6(*names))
 
 
 SPLIT_CASE = "CASE WHEN season <= 1998 THEN 'train' WHEN season = 1999 THEN 'validation' WHEN season = 2000 THEN 'test' END"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.adapter import LAPS, laps, read
 from checks.lap_queries import KEY_SQL, KEYS, UPTO_PACE, hint, r6
-from checks.report_queries import NAIVE, metric_sql, naive
+from checks.report_queries import NAIVE, OFF_TIE, m6, metric_sql, naive
 from laptable.functions.groups import split_hint
 from laptable.operators import intervals as iv
 from laptable.operators import metrics, timed_joins
@@ -364,7 +364,7 @@ def dump_result(df):
 
 @register("ergast_season_laps", f"WITH {DUMP_LAPS} SELECT * FROM dump")
 def q_dump(spark, folder):
-    return dump_result(providers.ergast_season_laps(dump(spark, folder)))
+    return dump_result(providers.ergast_season_laps(dump(spark, folder), split=hint(spark, folder)))
 
 
 @register(
@@ -373,7 +373,7 @@ def q_dump(spark, folder):
 )
 def q_export(spark, folder):
     seasons = [2016, 2017, 2018]
-    return dump_result(providers.ergast_export(providers.ergast_season_laps(dump(spark, folder), seasons), seasons, include_timing_era=True))
+    return dump_result(providers.ergast_export(providers.ergast_season_laps(dump(spark, folder), seasons, hint(spark, folder)), seasons, include_timing_era=True))
 
 
 @register(
@@ -396,7 +396,7 @@ def q_pages(spark, folder):
     results = t["results"].join(ids, "driverId").join(t["constructors"], "constructorId").select("raceId", F.array(entry).alias("Results"))
     stops = t["pit_stops"].join(ids, "driverId").select("raceId", F.array(F.struct(F.col("driverRef").alias("driverId"), F.col("lap").cast("string").alias("lap"))).alias("PitStops"))
     pages = race.join(lap_pages, "raceId").unionByName(race.join(results, "raceId"), allowMissingColumns=True).unionByName(race.join(stops, "raceId"), allowMissingColumns=True)
-    return dump_result(providers.jolpica_race_laps(pages))
+    return dump_result(providers.jolpica_race_laps(pages, hint(spark, folder)))
 
 
 @register("openf1_meetings", f"WITH {LAPS}, m AS (SELECT DISTINCT season, round_number FROM laps) SELECT season AS year, 'GP ' || round_number AS meeting_name, row_number() OVER (PARTITION BY season ORDER BY round_number)::INT AS round_number FROM m WHERE NOT (season = 1997 AND round_number = 2)")
@@ -477,7 +477,7 @@ def run_records(spark, folder):
 )
 def q_flatten(spark, folder):
     out = providers.flatten_runs(run_records(spark, folder))
-    return out.select("run", "model", "method", (F.round("test.mae_s", 6) + F.lit(0.0)).alias("test_mae_s"), F.col("test.rows").alias("test_rows"))
+    return out.select("run", "model", "method", (F.round(F.col("test.mae_s") + OFF_TIE, 6) + F.lit(0.0)).alias("test_mae_s"), F.col("test.rows").alias("test_rows"))
 
 
 @register(
@@ -485,7 +485,7 @@ def q_flatten(spark, folder):
     f"{NAIVE}, e AS ({metric_sql('(SELECT * FROM naive WHERE model = ' + chr(39) + 'previous_lap' + chr(39) + ')', 'event, team')}) SELECT 'run_' || event AS artifact, event AS name, team AS driver, mae_s, \"rows\" FROM e",
 )
 def q_driver_report(spark, folder):
-    return providers.driver_error_report(run_records(spark, folder)).select("artifact", "name", "driver", *r6("mae_s"), "rows")
+    return providers.driver_error_report(run_records(spark, folder)).select("artifact", "name", "driver", *m6("mae_s"), "rows")
 
 
 @register(

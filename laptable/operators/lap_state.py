@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laptable.functions.coerce import flag, number
-from laptable.functions.groups import OrderedGroups
+from laptable.functions.groups import OrderedGroups, join_on, percentiles
 from laptable.schema import RUN_KEYS, TIE_BREAK
 
 # --- Fixed values: validity limits ---------------------------------------------------------
@@ -67,20 +67,18 @@ def lap_state_flags(runs: OrderedGroups, df: DataFrame | None = None) -> DataFra
     return df.withColumn("lap_valid", flag("is_accurate") & timed & ~blocked)
 
 
-def _median_over(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+def _median_over(df: DataFrame, keys: list[str], value: Column, name: str, split: bool | None) -> DataFrame:
     """Attach the exact median of ``value`` per group. An aggregate joined back: it shuffles
     the table once, and the join side is one row per group."""
-    from laptable.functions.groups import join_on, percentiles
-
-    medians = percentiles(df.select(*keys, value.alias("_v")), keys, "_v", {name: 0.5})
+    medians = percentiles(df.select(*keys, value.alias("_v")), keys, "_v", {name: 0.5}, split)
     return join_on(df, medians, keys)
 
 
-def legacy_validity(df: DataFrame) -> DataFrame:
+def legacy_validity(df: DataFrame, split: bool | None = None) -> DataFrame:
     """Accuracy for timing without status codes: not the first lap, no pit stop around it and
     at most 12 % slower than the driver's median of that race. Adds the columns such a
     provider cannot observe."""
-    df = _median_over(df, ["season", "event", "driver"], F.col("lap_time_s"), "_median")
+    df = _median_over(df, ["season", "event", "driver"], F.col("lap_time_s"), "_median", split)
     accurate = (
         (F.col("lap_number") > 1)
         & ~F.col("pit_in")
@@ -97,13 +95,13 @@ def legacy_validity(df: DataFrame) -> DataFrame:
     ).drop("_median")
 
 
-def accuracy_rule(df: DataFrame, driver_keys: list[str]) -> DataFrame:
+def accuracy_rule(df: DataFrame, driver_keys: list[str], split: bool | None = None) -> DataFrame:
     """Accuracy for timing with sectors and status codes: timed, sectors adding up to the lap,
     no pit stop, no neutralisation, and not far slower than the driver's median clean lap."""
     clear = ~F.coalesce(F.col("track_status").rlike("[4567]"), F.lit(False))
     timed = F.col("lap_time_s").isNotNull()
     clean = clear & ~F.col("pit_in") & ~F.col("pit_out") & timed
-    df = _median_over(df, driver_keys, F.when(clean, F.col("lap_time_s")), "_clean_median")
+    df = _median_over(df, driver_keys, F.when(clean, F.col("lap_time_s")), "_clean_median", split)
     too_slow = clean & F.coalesce(F.col("lap_time_s") > SLOW_LAP_RATIO * F.col("_clean_median"), F.lit(False))
     sectors = F.col("sector1_s") + F.col("sector2_s") + F.col("sector3_s")
     adds_up = F.coalesce(F.abs(sectors - F.col("lap_time_s")) <= SECTOR_SUM_TOLERANCE_S, F.lit(False))
@@ -116,8 +114,6 @@ def accuracy_rule(df: DataFrame, driver_keys: list[str]) -> DataFrame:
 def with_pit_flags(laps: DataFrame, pits: DataFrame, keys: list[str]) -> DataFrame:
     """pit_in: the lap is in the pit table; pit_out: the lap before it is. ``pits`` has the
     columns of ``keys`` plus ``lap_number``."""
-    from laptable.functions.groups import join_on
-
     stops = pits.where(F.col("lap_number").isNotNull()).select(*keys, F.col("lap_number").cast("double").alias("lap_number")).distinct()
     # One stop yields two rows of the right side (the in-lap and the out-lap), so the laps are
     # shuffled for one join, not two.
@@ -131,12 +127,13 @@ def with_pit_flags(laps: DataFrame, pits: DataFrame, keys: list[str]) -> DataFra
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("pit_in", "pit_out")})
 
 
-def lap_end_time(laps: DataFrame, keys: list[str], session_end: Column) -> DataFrame:
+def lap_end_time(laps: DataFrame, keys: list[str], session_end: Column, split: bool | None = None) -> DataFrame:
     """End of a lap: start + duration, else the next lap's start, else the session end."""
-    order = Window.partitionBy(*keys).orderBy("lap_number")
+    runs = OrderedGroups(laps, keys, ["lap_number", "lap_start"], split)
     timed_end = F.timestamp_micros(
         F.unix_micros("lap_start") + F.round(F.col("lap_time_s") * 1_000_000).cast("bigint")
     )
-    return laps.withColumn(
-        "lap_end", F.coalesce(timed_end, F.lead("lap_start").over(order), session_end)
-    )
+    df = runs.with_halo(runs.df, before=0, after=1)
+    df = df.withColumn("_next_start", F.lead("lap_start").over(runs.window()))
+    df = runs.finish(runs.core(df))
+    return df.withColumn("lap_end", F.coalesce(timed_end, F.col("_next_start"), session_end)).drop("_next_start")

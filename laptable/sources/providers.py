@@ -72,7 +72,7 @@ def read_dump(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
-def ergast_season_laps(tables: dict[str, DataFrame], seasons: list[int] | None = None) -> DataFrame:
+def ergast_season_laps(tables: dict[str, DataFrame], seasons: list[int] | None = None, split: bool | None = None) -> DataFrame:
     """Legacy-tier laps from the seven-table star. The season filter goes to the small race
     table, and the lap table meets it first."""
     races = tables["races"]
@@ -95,7 +95,7 @@ def ergast_season_laps(tables: dict[str, DataFrame], seasons: list[int] | None =
         F.coalesce(F.col("milliseconds").try_cast("double") / 1000, lap_seconds(F.col("time"))).alias("lap_time_s"),
         number("position").alias("position"), "pit_in", "pit_out", F.lit(LEGACY_TIER).alias("data_tier"),
     )
-    return legacy_validity(frame)
+    return legacy_validity(frame, split)
 
 
 def ergast_export(laps: DataFrame, seasons: list[int], include_timing_era: bool = False) -> DataFrame:
@@ -122,7 +122,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES_SCHEMA).json(path)
 
 
-def jolpica_race_laps(pages: DataFrame) -> DataFrame:
+def jolpica_race_laps(pages: DataFrame, split: bool | None = None) -> DataFrame:
     """Legacy-tier laps from nested race pages. Laps, results and pit stops of a race may sit
     in different pages, so each is flattened on its own and joined by race and driver."""
     race = ["season", "round_number"]
@@ -152,7 +152,8 @@ def jolpica_race_laps(pages: DataFrame) -> DataFrame:
             *race, F.lit("F1").alias("series"), "event", "circuit", "event_date", F.lit("R").alias("session"),
             F.coalesce(F.col("_code"), F.upper(F.substring("driver_id", 1, 3))).alias("driver"), "driver_id", "team", "lap_number",
             lap_seconds(F.col("_time")).alias("lap_time_s"), "position", "pit_in", "pit_out", F.lit(LEGACY_TIER).alias("data_tier"),
-        )
+        ),
+        split,
     )
 
 
@@ -193,7 +194,7 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool | None = None)
     ends = sessions.join(last_start, key, "left").select(
         key, F.coalesce(timestamp("date_end"), F.col("_last") + F.expr("interval 5 minutes")).alias("session_end")
     )
-    laps = lap_end_time(laps.join(ends, key), who, F.col("session_end"))
+    laps = lap_end_time(laps.join(ends, key), who, F.col("session_end"), split)
     pits = tables["pit"].select(key, F.col("driver_number").cast("bigint").alias("driver_number"), F.col("lap_number").cast("double").alias("lap_number"))
     laps = with_pit_flags(laps, pits, who).withColumn("pit_out", F.col("_pit_out")).drop("_pit_out")
     stints = tables["stints"].withColumn("driver_number", F.col("driver_number").cast("bigint"))
@@ -207,7 +208,7 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool | None = None)
     intervals = track_status_intervals(messages, ends, split)
     laps = lap_track_status(laps, intervals, [*who, "lap_number"], split)
     laps = deleted_laps(laps, messages, split)
-    laps = accuracy_rule(laps, who)
+    laps = accuracy_rule(laps, who, split)
     drivers = tables["drivers"].groupBy(key, F.col("driver_number").cast("bigint").alias("driver_number")).agg(
         F.max("name_acronym").alias("_code"), F.max("team_name").alias("team")
     )
