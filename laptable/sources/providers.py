@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def read_dump(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     tables = {n: spark.read.csv(f"{folder}/{n}.csv", header=True, nullValue="\\N") for n in names}
     try:
         tables["pit_stops"] = spark.read.csv(f"{folder}/pit_stops.csv", header=True, nullValue="\\N")
-    except Exception:  # noqa: BLE001 - the file exists only for dumps with pit stops
+    except AnalysisException:  # only dumps with pit stops have the file
         tables["pit_stops"] = spark.createDataFrame([], "raceId string, driverId string, lap string")
     return tables
 
