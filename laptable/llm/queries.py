@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laptable.llm import line_dedup, near_dup, packing, quality, secrets, sql
-from laptable.llm.common import read
+from laptable.llm import counts, lang, line_dedup, near_dup, packing, pieces, quality, secrets, sql, token_files, topk
+from laptable.llm.common import read, shared_folder
+
+
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' ids written to coded files and read back: place, size and digest of each document."""
+    files = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(read(spark, folder, "documents"), files)
+    return token_files.read_tokens(spark, files)
+
+
+def op2_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document; a quarter of the ids is held out from learning."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = lang.train(docs, ~held_out)
+    found = lang.identify(docs.withColumn("held_out", held_out), model, carry=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +34,27 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents")).drop("ids")
 
 
+def _edits(docs: DataFrame) -> DataFrame:
+    """Three edits of every document, taken from its own columns: a cut at a third, an insert at two thirds, an ending."""
+    n = F.char_length("text")
+    edit = lambda seq, start, stop, insert: F.struct(
+        F.lit(seq).alias("seq"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), insert.alias("insert")
+    )
+    third = F.floor(n / 3)
+    ending = F.concat(F.lit("\n"), F.coalesce(F.col("source"), F.lit("")))
+    made = F.array(
+        edit(1, third, third + 17, F.lit("")), edit(2, 2 * third, 2 * third, F.concat(F.col("lang"), F.lit(" 42 "))), edit(3, n + 100, n + 100, ending)
+    )
+    return docs.select("doc_id", F.explode(made).alias("e")).select("doc_id", "e.*")
+
+
+def op4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document before and after three edits of each."""
+    docs = read(spark, folder, "documents")
+    found = counts.count_after_edits(counts.build_trees(docs), _edits(docs))
+    return found.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "chars_encoded", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: base spans counted and digested, all spans listed."""
     docs = read(spark, folder, "documents")
@@ -42,6 +80,20 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "host_poor")
 
 
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose id is divisible by 20, among all others."""
+    found = topk.top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded into pieces and decoded again."""
+    docs = read(spark, folder, "documents")
+    found = pieces.decode_pieces(pieces.encode_pieces(docs))
+    text = F.col("text")
+    return found.select("doc_id", "n_ids", "ids_crc32", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of eight words or more that an earlier document or line has: what goes, and a digest of what stays."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
@@ -57,10 +109,15 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_lang": op2_lang,
     "op3_packing": op3_packing,
+    "op4_counts": op4_counts,
     "op5_secrets": op5_secrets,
     "op6_near_dup": op6_near_dup,
     "op7_quality": op7_quality,
+    "op8_topk": op8_topk,
+    "op9_pieces": op9_pieces,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }

@@ -96,4 +96,17 @@ SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, ''
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op6_near_dup": OP6, "op7_quality": OP7, "op10_line_dedup": OP10}
+OP8 = """
+WITH valid AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM valid q JOIN valid d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scores QUALIFY rank <= 20
+"""
+
+ORACLES = {"op8_topk": OP8, "op6_near_dup": OP6, "op7_quality": OP7, "op10_line_dedup": OP10}
