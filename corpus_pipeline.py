@@ -15,8 +15,15 @@ from laptable.llm import line_dedup, near_dup, packing, quality, secrets
 from laptable.llm.common import read, shared_folder
 
 
-def _sized(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("n_chars", F.char_length("text").cast("long")).select(columns) if "n_chars" in columns else df.select(columns)
+def _carried(docs: DataFrame) -> DataFrame:
+    """Id and text, with the whole row beside them, so that no other column can clash with a computed one."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
+def _restored(changed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows as they came but for the text and its length."""
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return changed.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +38,13 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document has."""
-    return _sized(line_dedup.drop_repeated_units(docs), docs.columns)
+    return _restored(line_dedup.drop_repeated_units(_carried(docs)), docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark."""
     ratios = secrets.train(secrets.corpus_samples(docs))
-    return _sized(secrets.redact(secrets.find_secrets(docs, ratios)), docs.columns)
+    return _restored(secrets.redact(secrets.find_secrets(_carried(docs), ratios)), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ WORD = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{5,}[0-9]{0,2}(?![A-Za-z0-9_])"
 SAMPLE_DOCS = 2_000
 RANDOM_STRINGS = 4_000
 #: Least log-likelihood ratio of a span, in nats per step from one character to the next.
-LIMIT = 1.2
+LIMIT = 1.0
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
@@ -88,7 +88,8 @@ def corpus_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = some.select(F.explode(F.flatten(F.array(*keys))).alias("sample"), F.lit(True).alias("random")).where("length(sample) >= 16")
     words = some.select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("sample"), F.lit(False).alias("random"))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    made = F.when(F.col("id") % 2 == 0, F.substring(digest, 1, 40)).otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40))
+    kind = F.col("id") % 4
+    made = F.when(kind == 0, digest).when(kind == 1, F.upper(digest)).otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40))
     numbers = spark.range(0, RANDOM_STRINGS, 1, 1).select(made.alias("sample"), F.lit(True).alias("random"))
     return found.unionByName(words).unionByName(numbers)
 
