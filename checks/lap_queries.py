@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from checks.adapter import LAPS, ROLLING, SEGMENTS, STATE, laps, read
 from laptable.functions.coerce import weather_bins, wind_components
-from laptable.functions.groups import split_hint
 from laptable.operators import features as feat
 from laptable.operators.lap_state import lap_state_flags, runs_of
 from laptable.operators.priors import history_prior, key_parts
@@ -25,18 +24,13 @@ def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
-def hint(spark, folder):
-    """False while the source tables are so small that no group can be large; else ask."""
-    return split_hint(read(spark, folder, "lineitem"))
-
-
 def flagged(spark, folder):
-    runs = runs_of(feat.prepare(laps(spark, folder)), hint(spark, folder))
+    runs = runs_of(feat.prepare(laps(spark, folder)))
     return runs, lap_state_flags(runs)
 
 
 def features(spark, folder, **options) -> DataFrame:
-    return feat.build_features(laps(spark, folder), split=hint(spark, folder), **options)
+    return feat.build_features(laps(spark, folder), **options)
 
 
 QUERIES, SQL = {}, {}
@@ -197,7 +191,7 @@ def prior_query(name):
     def query(spark, folder):
         runs, df = flagged(spark, folder)
         valid = df.withColumns(weather_bins()).where("lap_valid")
-        return history_prior(valid, [name], hint(spark, folder)).select(F.array_join(key_parts(F.col("key")), "|").alias("key"), "season", "event", *r6("value"))
+        return history_prior(valid, [name]).select(F.array_join(key_parts(F.col("key")), "|").alias("key"), "season", "event", *r6("value"))
 
 
 for _name in PRIOR_GROUPS:
@@ -217,7 +211,7 @@ def q_prior_lookup(spark, folder):
     names = ["hist_driver_circuit_pace", "hist_team_weather_pace"]
     runs, df = flagged(spark, folder)
     df = df.withColumns(weather_bins())
-    priors = history_prior(df.where("lap_valid"), names, hint(spark, folder))
+    priors = history_prior(df.where("lap_valid"), names)
     return prior_lookup(runs.finish(df), priors, names).select(*KEYS, "lap_valid", *r6(*names))
 
 
@@ -263,7 +257,7 @@ def q_features(spark, folder):
     FROM r WHERE nl - lap_number = 1 AND nt IS NOT NULL""",
 )
 def q_v0(spark, folder):
-    return feat.next_lap_table_v0(laps(spark, folder), hint(spark, folder)).select(
+    return feat.next_lap_table_v0(laps(spark, folder)).select(
         *KEYS, *r6("rolling_median_3", "rolling_median_5", "pace_trend_3", "lap_delta_to_rolling5"), RAW_TARGET, *r6(TARGET)
     )
 

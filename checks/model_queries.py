@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.adapter import LAPS, laps
-from checks.lap_queries import KEY_SQL, KEYS, UPTO_PACE, features, hint, r6, s6
+from checks.lap_queries import KEY_SQL, KEYS, UPTO_PACE, features, r6, s6
 from checks.more_lap_queries import LAST
 from laptable.models import layerwise, linear, preprocess
 from laptable.operators import splits
@@ -48,7 +48,7 @@ STATS = " UNION ALL ".join(
 @register("fit_preprocessor", f"{UPTO_PACE}, t AS (SELECT * FROM usable WHERE has_target AND season <= 1998) {STATS}")
 def q_fit(spark, folder):
     train = features(spark, folder, priors=[]).where("season <= 1998")
-    spec = preprocess.fit_preprocessor(train, NUMERIC, [], hint(spark, folder))
+    spec = preprocess.fit_preprocessor(train, NUMERIC, [])
     gaps = dict(zip(spec.indicators, spec.means[len(spec.numeric):]))
     rows = [(c, m, a, s, gaps.get(c, 0.0)) for c, m, a, s in zip(spec.numeric, spec.medians, spec.means, spec.stds)]
     return spark.createDataFrame(rows, "feature string, median double, mean double, std double, gap_share double").select("feature", *r6("median", "mean", "std", "gap_share"))
@@ -81,7 +81,7 @@ def of(table, name):
 )
 def q_apply(spark, folder):
     table = features(spark, folder, priors=[])
-    spec = preprocess.fit_preprocessor(table.where("season <= 1998"), ["pace_trend_3", "track_temp_c"], ["compound"], hint(spark, folder))
+    spec = preprocess.fit_preprocessor(table.where("season <= 1998"), ["pace_trend_3", "track_temp_c"], ["compound"])
     encoded = preprocess.apply_preprocessor(table.where("season = 2000"), spec)
     cell = lambda i: F.get("features", i)
     return encoded.select(*KEYS, cell(0).alias("trend"), cell(3).alias("is_hard"), cell(5).alias("is_soft"), F.size("features").alias("width")).select(*KEYS, *r6("trend"), "is_hard", "is_soft", "width")
@@ -90,21 +90,21 @@ def q_apply(spark, folder):
 @register("fit_ridge")
 def q_ridge(spark, folder):
     """Coefficients fitted on the training rows, one row each."""
-    artifact = forecast.train_ridge(of(parts(spark, folder), "train"), split=hint(spark, folder))
+    artifact = forecast.train_ridge(of(parts(spark, folder), "train"))
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(artifact.model)], "position int, coefficient double")
 
 
 @register("score_ridge")
 def q_score_ridge(spark, folder):
     table = parts(spark, folder)
-    artifact = forecast.train_ridge(table.where("split in ('train', 'validation')"), split=hint(spark, folder))
-    return forecast.evaluate(forecast.score_table(of(table, "test"), artifact), split=hint(spark, folder))
+    artifact = forecast.train_ridge(table.where("split in ('train', 'validation')"))
+    return forecast.evaluate(forecast.score_table(of(table, "test"), artifact))
 
 
 @register("fit_tree")
 def q_tree(spark, folder):
     table = parts(spark, folder)
-    model, spec = forecast.train_tree(of(table, "train"), split=hint(spark, folder), maxIter=3, maxDepth=3)
+    model, spec = forecast.train_tree(of(table, "train"), maxIter=3, maxDepth=3)
     scored = forecast.score_with_tree(of(table, "test"), model, spec)
     error = F.abs(F.col("predicted_next_lap_s") - F.col(RAW_TARGET))
     return scored.groupBy("season").agg(F.avg(error).alias("mae_s"), F.count(F.lit(1)).alias("rows"))
@@ -114,7 +114,7 @@ CONFIG = layerwise.LayerConfig(layer_nodes=(24, 16), ordinal_groups=(4, 8), epoc
 
 
 def layer_artifact(spark, folder, table, config=CONFIG):
-    return forecast.train_layerwise(of(table, "train"), of(table, "validation"), config, split=hint(spark, folder))
+    return forecast.train_layerwise(of(table, "train"), of(table, "validation"), config)
 
 
 @register("fit_layerwise")
@@ -146,7 +146,7 @@ def q_score_interval(spark, folder):
 )
 def q_calibrate(spark, folder):
     rows = features(spark, folder, priors=[]).where("season = 1999").withColumn("residual", F.col("pace_spread_3_5"))
-    q80 = layerwise.calibrate_interval(rows, TARGET, hint(spark, folder))
+    q80 = layerwise.calibrate_interval(rows, TARGET)
     return spark.createDataFrame([(q80,)], "q80 double").select(*r6("q80"))
 
 
@@ -154,13 +154,12 @@ def q_calibrate(spark, folder):
 def q_fine_tune(spark, folder):
     """Zero-shot against tuned error on later rounds, with replayed rows in the readout."""
     table = parts(spark, folder)
-    split = hint(spark, folder)
     base = layer_artifact(spark, folder, table)
     encoded = preprocess.apply_preprocessor(table, base.preprocessor)
     new = splits.select_rows(encoded, 2000, (1, 2))
     pool = splits.without_rows(splits.replay_pool(encoded, {"train_end": 1998}), new)
     replay = splits.seeded_sample(pool, 5000, 7)
-    tuned = layerwise.fine_tune(base.model, new, TARGET, LAP_KEYS, replay, epochs=1, split=split)
+    tuned = layerwise.fine_tune(base.model, new, TARGET, LAP_KEYS, replay, epochs=1)
     later = splits.select_rows(encoded, 2000, (3, 4))
     out = None
     for name, model in (("zero_shot", base.model), ("tuned", tuned)):
@@ -172,7 +171,7 @@ def q_fine_tune(spark, folder):
 
 @register("experiment_matrix")
 def q_matrix(spark, folder):
-    return forecast.experiment_matrix(parts(spark, folder), {"small": CONFIG}, ablate=["historical_numeric"], split=hint(spark, folder)).select("model", "family", "mae_s", "rmse_s", "p90_ae_s", "rows")
+    return forecast.experiment_matrix(parts(spark, folder), {"small": CONFIG}, ablate=["historical_numeric"]).select("model", "family", "mae_s", "rmse_s", "p90_ae_s", "rows")
 
 
 SCORED = "round(next_time, 6) AS actual_next_lap_s, round(rolling_median_5, 6) AS predicted_next_lap_s, round(lap_time_s, 6) AS previous_lap_s"
@@ -215,7 +214,7 @@ def q_backtest(spark, folder):
 )
 def q_backtest_summary(spark, folder):
     table = features(spark, folder, priors=[], require_target=False)
-    out = forecast.backtest_summary(forecast.backtest_session(table, None, 10), laps(spark, folder), table, hint(spark, folder))
+    out = forecast.backtest_summary(forecast.backtest_session(table, None, 10), laps(spark, folder), table)
     return out.select("season", "event", "session", "driver", *r6("mae_s", "previous_lap_mae_s", "p90_ae_s"), "rows", "laps_driven", "skipped_laps")
 
 

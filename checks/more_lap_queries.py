@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.adapter import LAPS, SEGMENTS, STATE, laps
-from checks.lap_queries import BINNED, KEY_SQL, KEYS, UPTO_PACE, features, flagged, hint, r6, s6
+from checks.lap_queries import BINNED, KEY_SQL, KEYS, UPTO_PACE, features, flagged, r6, s6
 from laptable.functions import coerce, dims
 from laptable.operators import features as feat
 from laptable.operators import lap_state, sessions, splits, validation, windows
@@ -351,7 +351,7 @@ def q_outcome(spark, folder):
     f"SELECT {KEY_SQL}, CASE WHEN season <= 2010 THEN 'Bridgestone' ELSE 'Pirelli' END AS tyre_manufacturer, coalesce(lap_number > 1 AND NOT pit_in AND NOT pit_out AND lap_time_s <= 1.12 * med, false) AS is_accurate FROM m",
 )
 def q_legacy(spark, folder):
-    return lap_state.legacy_validity(laps(spark, folder), hint(spark, folder)).select(*KEYS, "tyre_manufacturer", "is_accurate")
+    return lap_state.legacy_validity(laps(spark, folder)).select(*KEYS, "tyre_manufacturer", "is_accurate")
 
 
 @register(
@@ -364,7 +364,7 @@ def q_legacy(spark, folder):
 )
 def q_accuracy(spark, folder):
     third = F.when(F.col("src_part") % 3 == 1, F.col("lap_time_s") - F.col("sector1_s") - F.col("sector2_s")).when(F.col("src_part") % 3 == 2, F.col("sector3_s"))
-    return lap_state.accuracy_rule(laps(spark, folder).withColumn("sector3_s", third), ["season", "event", "driver"], hint(spark, folder)).select(*KEYS, "is_accurate")
+    return lap_state.accuracy_rule(laps(spark, folder).withColumn("sector3_s", third), ["season", "event", "driver"]).select(*KEYS, "is_accurate")
 
 
 @register(
@@ -386,7 +386,7 @@ def q_pits(spark, folder):
 )
 def q_end(spark, folder):
     df = laps(spark, folder).withColumn("lap_start", F.timestamp_micros(F.lit(1704067200000000) + (F.col("lap_number") * 90000000).cast("bigint")))
-    out = lap_state.lap_end_time(df, ["season", "event", "session", "driver"], F.to_timestamp(F.lit("2024-02-01 00:00:00")), hint(spark, folder))
+    out = lap_state.lap_end_time(df, ["season", "event", "session", "driver"], F.to_timestamp(F.lit("2024-02-01 00:00:00")))
     return out.select(*KEYS, F.unix_micros("lap_end").alias("end_us"))
 
 
@@ -457,7 +457,7 @@ def q_event_diff(spark, folder):
     f"round(next_time - rolling_median_5, 6) + 0.0 AS {TARGET} FROM f WINDOW run AS (PARTITION BY season, event, session, driver ORDER BY lap_number) QUALIFY n >= 5",
 )
 def q_windows(spark, folder):
-    out = windows.history_windows(features(spark, folder, priors=[]), ["lap_time_s", "pace_trend_3"], 5, split=hint(spark, folder))
+    out = windows.history_windows(features(spark, folder, priors=[]), ["lap_time_s", "pace_trend_3"], 5)
 
     def cell(lap, column, digits):
         return F.round(F.get(F.get("window", lap), column).cast("double"), digits) + F.lit(0.0)
@@ -474,6 +474,6 @@ def q_windows(spark, folder):
     f"SELECT {KEY_SQL}, len(c)::INT AS context_laps, list_sum(list_transform(c, lambda x: round(x * 1000)::BIGINT))::BIGINT AS context_ms, next_time AS actual_next_s FROM t WHERE i >= 3 AND (i - 3) % 2 = 0",
 )
 def q_walk(spark, folder):
-    out = windows.walk_forward(features(spark, folder, priors=[]), context_length=8, stride=2, split=hint(spark, folder))
+    out = windows.walk_forward(features(spark, folder, priors=[]), context_length=8, stride=2)
     total = F.aggregate("context", F.lit(0).cast("bigint"), lambda a, v: a + F.round(v.cast("double") * 1000).cast("bigint"))
     return out.select(*KEYS, F.size("context").alias("context_laps"), total.alias("context_ms"), "actual_next_s")

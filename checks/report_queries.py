@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.adapter import LAPS, STATE, laps
-from checks.lap_queries import BINNED, KEYS, UPTO_PACE, features, flagged, hint, r6, s6
+from checks.lap_queries import BINNED, KEYS, UPTO_PACE, features, flagged, r6, s6
 from checks.more_lap_queries import BAND_NAMES, BANDS_SQL
 from laptable.operators import audit, bootstrap, compare, metrics, splits, validation
 from laptable.schema import RAW_TARGET
@@ -70,22 +70,22 @@ METRICS6 = [n for n in metrics.METRIC_NAMES if n != "rows"]
 
 @register("next_lap_baseline", f"{NAIVE}, g AS ({metric_sql('naive', 'model, driver')}) SELECT * FROM g WHERE \"rows\" >= 20")
 def q_baseline(spark, folder):
-    return metrics.metrics_by_key(naive(spark, folder), ["model", "driver"], split=hint(spark, folder)).select("model", "driver", *m6(*METRICS6), "rows")
+    return metrics.metrics_by_key(naive(spark, folder), ["model", "driver"]).select("model", "driver", *m6(*METRICS6), "rows")
 
 
 @register("regression_metrics", f"{NAIVE} {metric_sql('(SELECT * FROM naive WHERE model = ' + chr(39) + 'previous_lap' + chr(39) + ')', '')}")
 def q_metrics(spark, folder):
-    return metrics.regression_metrics(naive(spark, folder).where("model = 'previous_lap'"), [], hint(spark, folder)).select(*m6(*METRICS6), "rows")
+    return metrics.regression_metrics(naive(spark, folder).where("model = 'previous_lap'"), []).select(*m6(*METRICS6), "rows")
 
 
 @register("naive_metrics", f"{NAIVE} {metric_sql('naive', 'model')}")
 def q_naive(spark, folder):
-    return metrics.regression_metrics(naive(spark, folder), ["model"], hint(spark, folder)).select("model", *m6(*METRICS6), "rows")
+    return metrics.regression_metrics(naive(spark, folder), ["model"]).select("model", *m6(*METRICS6), "rows")
 
 
 @register("metrics_by_key", f"{NAIVE}, g AS ({metric_sql('naive', 'model, season, event')}) SELECT * FROM g WHERE \"rows\" >= 20")
 def q_by_key(spark, folder):
-    return metrics.metrics_by_key(naive(spark, folder), ["model", "season", "event"], split=hint(spark, folder)).select("model", "season", "event", *m6(*METRICS6), "rows")
+    return metrics.metrics_by_key(naive(spark, folder), ["model", "season", "event"]).select("model", "season", "event", *m6(*METRICS6), "rows")
 
 
 @register(
@@ -142,7 +142,7 @@ def q_robust(spark, folder):
         *[c for c in ROBUST], F.col(RAW_TARGET).alias("actual"), F.col("rolling_median_3").alias("pred"), (F.col("rolling_median_3") - 2).alias("lower"), (F.col("rolling_median_3") + 2).alias("upper"),
         F.abs("pace_spread_3_5").alias("disagreement"), F.col("lap_time_s").alias("previous_lap"), "rolling_median_5",
     )
-    out = metrics.robustness_breakdown(rows, ROBUST, 0.2, split=hint(spark, folder))
+    out = metrics.robustness_breakdown(rows, ROBUST, 0.2)
     names = [c for c in out.columns if c not in ("dimension", "value", "rows")]
     return out.select("dimension", "value", "rows", *m6(*names))
 
@@ -309,7 +309,7 @@ def q_cmp_agreement(spark, folder):
     f"WITH {LAPS}, {PROVIDER_B} SELECT round(median(abs(lap_time_s - rt)), 6) + 0.0 AS median_s, round(quantile_cont(abs(lap_time_s - rt), 0.99), 6) AS p99_s, count(*) FILTER (abs(lap_time_s - rt) > 1) AS over_1s FROM j",
 )
 def q_cmp_time(spark, folder):
-    return provider_pair(spark, folder).lap_time_differences(hint(spark, folder)).select(*r6("median_s", "p99_s"), "over_1s")
+    return provider_pair(spark, folder).lap_time_differences().select(*r6("median_s", "p99_s"), "over_1s")
 
 
 @register(
@@ -371,7 +371,7 @@ def q_issued(spark, folder):
     "round(avg(pe), 6) AS previous_lap_mae_s, round(avg((pe <= 0.5)::INT), 6) AS previous_lap_within_0_5s_share, round(median(ae), 6) AS median_ae_s, round(quantile_cont(ae, 0.9), 6) AS p90_ae_s FROM l GROUP BY grp",
 )
 def q_audit(spark, folder):
-    out = audit.issued_forecast_audit(issued(spark, folder), hint(spark, folder))
+    out = audit.issued_forecast_audit(issued(spark, folder))
     names = [c for c in out.columns if c not in ("group", "rows")]
     return out.select("group", "rows", *r6(*names))
 
@@ -382,7 +382,7 @@ def q_audit(spark, folder):
     "SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM (SELECT 'mae_s' AS metric, mae_s AS v FROM g WHERE run <> 'GP_1' UNION ALL SELECT 'within_0_5s_share', within_0_5s_share FROM g WHERE run <> 'GP_1') GROUP BY metric",
 )
 def q_seeds(spark, folder):
-    runs = metrics.regression_metrics(naive(spark, folder).where("model = 'previous_lap'"), ["event"], hint(spark, folder))
+    runs = metrics.regression_metrics(naive(spark, folder).where("model = 'previous_lap'"), ["event"])
     out = metrics.seed_spread(runs, ["mae_s", "within_0_5s_share"], F.col("event") == "GP_1")
     return out.select("metric", *r6("mean", "std"), "n")
 
@@ -393,7 +393,7 @@ def q_seeds(spark, folder):
     "SELECT run, model, 'baseline' AS method, round(mae, 6) AS test_mae_s, w05 AS within_0_5s_share, mae = (SELECT min(mae) FROM g) AS is_best FROM g",
 )
 def q_run_summary(spark, folder):
-    per = metrics.regression_metrics(naive(spark, folder), ["model", "event"], hint(spark, folder)).withColumns(
+    per = metrics.regression_metrics(naive(spark, folder), ["model", "event"]).withColumns(
         {"run": F.concat_ws("/", "model", "event"), "mae_s": F.round("mae_s", 9)}
     )
     test = F.struct("mae_s", "rmse_s", "p90_ae_s", F.when(F.col("event") == "GP_1", F.lit(None).cast("double")).otherwise(F.col("within_0_5s_share")).alias("within_0_5s_share"), "within_1s_share", F.lit(None).cast("double").alias("interval80_coverage"))

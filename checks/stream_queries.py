@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.adapter import LAPS, laps, read
-from checks.lap_queries import KEY_SQL, KEYS, UPTO_PACE, hint, r6
+from checks.lap_queries import KEY_SQL, KEYS, UPTO_PACE, r6
 from checks.report_queries import NAIVE, OFF_TIE, m6, metric_sql, naive
-from laptable.functions.groups import split_hint
 from laptable.operators import intervals as iv
 from laptable.operators import metrics, timed_joins
 from laptable.schema import LAP_VALIDITY_VERSION
@@ -41,10 +40,6 @@ def kind(spark, folder, name):
     return events(spark, folder).where(F.col("event_type") == name)
 
 
-def event_hint(spark, folder):
-    return split_hint(read(spark, folder, "events"))
-
-
 @register(
     "asof_position",
     f"WITH {EVENTS}, p AS (SELECT * FROM ev WHERE event_type = 'purchase'), c AS (SELECT *, (trunc(value)::INT % 20 + 1) AS position FROM ev WHERE event_type = 'click') "
@@ -52,7 +47,7 @@ def event_hint(spark, folder):
 )
 def q_position(spark, folder):
     updates = kind(spark, folder, "click").select("user_id", F.col("at").alias("when"), (F.col("value").cast("int") % 20 + 1).alias("position"), "event_id")
-    out = timed_joins.asof_backward(kind(spark, folder, "purchase"), updates, ["user_id"], "at", "when", ["position"], "event_id", event_hint(spark, folder))
+    out = timed_joins.asof_backward(kind(spark, folder, "purchase"), updates, ["user_id"], "at", "when", ["position"], "event_id")
     return out.select("event_id", "user_id", "position")
 
 
@@ -67,7 +62,7 @@ PW = f"WITH {EVENTS}, p AS (SELECT * FROM ev WHERE event_type = 'purchase'), w A
 @register("asof_nearest", f"{PW}, {NEAREST.format(key='user_id')} SELECT event_id, v AS air_temp_c FROM pick")
 def q_nearest(spark, folder):
     samples = kind(spark, folder, "view").select("user_id", F.col("at").alias("when"), F.col("value").alias("air_temp_c"), "event_id")
-    out = timed_joins.asof_nearest(kind(spark, folder, "purchase"), samples, ["user_id"], "at", "when", ["air_temp_c"], sequence="event_id", split=event_hint(spark, folder))
+    out = timed_joins.asof_nearest(kind(spark, folder, "purchase"), samples, ["user_id"], "at", "when", ["air_temp_c"], sequence="event_id")
     return out.select("event_id", "air_temp_c")
 
 
@@ -80,7 +75,7 @@ def q_weather(spark, folder):
         "day", F.col("at").alias("when"), F.col("value").alias("air_temp_c"), (F.col("value") > 20).cast("double").alias("rainfall"), F.floor("value").cast("double").alias("wind_direction_deg"), "event_id"
     )
     names = ["air_temp_c", "rainfall", "wind_direction_deg"]
-    out = timed_joins.asof_nearest(kind(spark, folder, "purchase"), samples, ["day"], "at", "when", names, timed_joins.WEATHER_TOLERANCE_S, "event_id", event_hint(spark, folder))
+    out = timed_joins.asof_nearest(kind(spark, folder, "purchase"), samples, ["day"], "at", "when", names, timed_joins.WEATHER_TOLERANCE_S, "event_id")
     return out.withColumns(timed_joins.weather_defaults()).select("event_id", *names)
 
 
@@ -147,7 +142,7 @@ STATUS = f"{CONTROL}, {sweep('free', 'yellow', 'neutral', 'day')}, status AS (SE
 
 
 def status(spark, folder):
-    return iv.track_status_intervals(messages(spark, folder), session_ends(spark, folder), event_hint(spark, folder))
+    return iv.track_status_intervals(messages(spark, folder), session_ends(spark, folder))
 
 
 @register("track_status_intervals", f"WITH {STATUS} SELECT day AS session_key, epoch_us(s) AS start_us, epoch_us(e) AS end_us, code FROM status")
@@ -172,7 +167,7 @@ def spans(spark, folder):
 )
 def q_subtract(spark, folder):
     all_spans = spans(spark, folder)
-    out = iv.subtract_intervals(all_spans.where("code = '2'"), all_spans.where("code <> '2'"), event_hint(spark, folder))
+    out = iv.subtract_intervals(all_spans.where("code = '2'"), all_spans.where("code <> '2'"))
     return out.select("session_key", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "code")
 
 
@@ -187,7 +182,7 @@ islands AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM grouped GROUP BY {keys}
     f"WITH {SPANS}, {ISLANDS.format(keys='day', source='spans')} SELECT day AS session_key, round(sum(epoch_us(e) - epoch_us(s)) / 1000000.0, 6) AS covered_s FROM islands GROUP BY day",
 )
 def q_union_length(spark, folder):
-    return iv.union_length(spans(spark, folder), ["session_key"], event_hint(spark, folder)).select("session_key", *r6("covered_s"))
+    return iv.union_length(spans(spark, folder), ["session_key"]).select("session_key", *r6("covered_s"))
 
 
 PLAPS = "pl AS (SELECT event_id, day, ts AS ls, make_timestamp(us + 60000000 + (value * 1000000)::BIGINT) AS le FROM ev WHERE event_type = 'purchase')"
@@ -205,7 +200,7 @@ def stream_laps(spark, folder):
     f"WITH {SPANS}, {PLAPS} SELECT DISTINCT p.event_id, s.code FROM pl p JOIN spans s ON p.day = s.day AND p.ls < s.e AND s.s < p.le AND s.s < s.e",
 )
 def q_overlap(spark, folder):
-    merged = iv.merge_intervals(spans(spark, folder), ["session_key", "code"], event_hint(spark, folder))
+    merged = iv.merge_intervals(spans(spark, folder), ["session_key", "code"])
     return iv.overlap_join(stream_laps(spark, folder), merged, ["session_key"]).select("event_id", F.col("span_code").alias("code")).distinct()
 
 
@@ -217,8 +212,7 @@ def q_overlap(spark, folder):
     "SELECT p.event_id, CASE WHEN covered IS NULL OR covered < (epoch_us(le) - epoch_us(ls)) / 1000000.0 - 0.5 THEN '1' ELSE '' END || coalesce(c, '') AS track_status FROM pl p LEFT JOIN codes USING (event_id) LEFT JOIN cov USING (event_id)",
 )
 def q_lap_status(spark, folder):
-    split = event_hint(spark, folder)
-    out = iv.lap_track_status(stream_laps(spark, folder), status(spark, folder), ["session_key", "event_id"], split)
+    out = iv.lap_track_status(stream_laps(spark, folder), status(spark, folder), ["session_key", "event_id"])
     return out.select("event_id", "track_status")
 
 
@@ -273,7 +267,7 @@ def steward_messages(df):
 )
 def q_deleted(spark, folder):
     df = keyed(spark, folder)
-    return timed_joins.deleted_laps(df, steward_messages(df), hint(spark, folder)).select(*KEYS, "deleted")
+    return timed_joins.deleted_laps(df, steward_messages(df)).select(*KEYS, "deleted")
 
 
 @register("openf1_session_laps")
@@ -295,7 +289,7 @@ def q_open(spark, folder):
                 F.when(F.col("src_part") % 97 < 6, "SafetyCar").otherwise("Flag").alias("category"), F.when(F.col("src_part") % 97 >= 6, "GREEN").alias("flag"), F.lit("Track").alias("scope"), F.lit(None).cast("int").alias("sector"))
         ),
     }
-    return providers.openf1_session_laps(tables, hint(spark, folder))
+    return providers.openf1_session_laps(tables)
 
 
 @register(
@@ -364,7 +358,7 @@ def dump_result(df):
 
 @register("ergast_season_laps", f"WITH {DUMP_LAPS} SELECT * FROM dump")
 def q_dump(spark, folder):
-    return dump_result(providers.ergast_season_laps(dump(spark, folder), split=hint(spark, folder)))
+    return dump_result(providers.ergast_season_laps(dump(spark, folder)))
 
 
 @register(
@@ -373,7 +367,7 @@ def q_dump(spark, folder):
 )
 def q_export(spark, folder):
     seasons = [2016, 2017, 2018]
-    return dump_result(providers.ergast_export(providers.ergast_season_laps(dump(spark, folder), seasons, hint(spark, folder)), seasons, include_timing_era=True))
+    return dump_result(providers.ergast_export(providers.ergast_season_laps(dump(spark, folder), seasons), seasons, include_timing_era=True))
 
 
 @register(
@@ -396,7 +390,7 @@ def q_pages(spark, folder):
     results = t["results"].join(ids, "driverId").join(t["constructors"], "constructorId").select("raceId", F.array(entry).alias("Results"))
     stops = t["pit_stops"].join(ids, "driverId").select("raceId", F.array(F.struct(F.col("driverRef").alias("driverId"), F.col("lap").cast("string").alias("lap"))).alias("PitStops"))
     pages = race.join(lap_pages, "raceId").unionByName(race.join(results, "raceId"), allowMissingColumns=True).unionByName(race.join(stops, "raceId"), allowMissingColumns=True)
-    return dump_result(providers.jolpica_race_laps(pages, hint(spark, folder)))
+    return dump_result(providers.jolpica_race_laps(pages))
 
 
 @register("openf1_meetings", f"WITH {LAPS}, m AS (SELECT DISTINCT season, round_number FROM laps) SELECT season AS year, 'GP ' || round_number AS meeting_name, row_number() OVER (PARTITION BY season ORDER BY round_number)::INT AS round_number FROM m WHERE NOT (season = 1997 AND round_number = 2)")
@@ -457,14 +451,13 @@ def q_fingerprint(spark, folder):
 def run_records(spark, folder):
     """Run records as they are read from JSON: one baseline record, and one per event with its
     errors by driver, all computed from the laps."""
-    split = hint(spark, folder)
     base = naive(spark, folder)
     names = ["mae_s", "rmse_s", "rows"]
-    whole = metrics.regression_metrics(base, ["model"], split).select("model", F.struct(*names).alias("m"))
+    whole = metrics.regression_metrics(base, ["model"]).select("model", F.struct(*names).alias("m"))
     baseline = whole.agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(F.col("m").alias("validation"), F.col("m").alias("test"))))).alias("models")).select(F.lit("baselines").alias("artifact"), "models")
     previous = base.where("model = 'previous_lap'")
-    events_ = metrics.regression_metrics(previous, ["event"], split).select("event", F.struct(*names).alias("test"), F.struct(*names).alias("validation"))
-    drivers = metrics.regression_metrics(previous, ["event", "team"], split).groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("team", F.struct(*names)))).alias("test_by_driver"))
+    events_ = metrics.regression_metrics(previous, ["event"]).select("event", F.struct(*names).alias("test"), F.struct(*names).alias("validation"))
+    drivers = metrics.regression_metrics(previous, ["event", "team"]).groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("team", F.struct(*names)))).alias("test_by_driver"))
     one = events_.join(drivers, "event").select(F.concat(F.lit("run_"), F.col("event")).alias("artifact"), F.col("event").alias("name"), "validation", "test", "test_by_driver", F.lit("forward-forward-local").alias("training_policy"))
     records = one.unionByName(baseline, allowMissingColumns=True)
     return records.withColumns({"model": F.lit(None).cast("string"), "data_source": F.lit("fastf1_timing"), "is_synthetic": F.lit(False), "created_utc": F.lit("2026-01-01"), "input_file": F.lit("laps")})

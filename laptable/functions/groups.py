@@ -2,15 +2,18 @@
 
 Spark evaluates a window (and an exact percentile) of one group in one task. That is the
 right plan while every group is small: a driver's laps in a session are tens of rows. It
-breaks when one group holds a large part of the table. ``OrderedGroups`` asks for the size
-of the largest group first and then offers the same three operations either way:
+breaks when one group may hold a large part of the table. Which of the two holds is known from
+what the group means, so callers say it: ``split=False`` (the default) for groups that are
+small by nature, ``split=True`` for groups without a bound. No plan is chosen by counting.
+``OrderedGroups`` offers the same three operations either way:
 
 * ``window()``        a window spec that sees every row of a group in order
 * ``before()``        last non-null value / sum over all earlier rows of the group
 * ``with_halo()``     copies of a few neighbouring rows, so bounded frames are complete
 
-Above the bound the rows are range-partitioned by (group, order), so a large group is spread
-over many tasks, and only one small summary row per group and partition crosses the cut.
+With ``split=True`` the rows are range-partitioned by (group, order) and stored once, so a
+large group is spread over many tasks, and only one small summary row per group and partition
+crosses the cut.
 """
 
 from __future__ import annotations
@@ -22,25 +25,8 @@ from pyspark.sql import functions as F
 
 from laptable.session import cut_lineage
 
-GROUP_ROWS_SETTING = "spark.laptable.maxGroupRows"
-GROUP_ROWS_DEFAULT = 10_000_000
-
-
-def max_group_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS_DEFAULT)))
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group: one column-pruned scan with map-side counts."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def split_hint(source: DataFrame) -> bool | None:
-    """``False`` when the whole source is under the bound (no group can be larger than its
-    table; parquet answers the count from its footers), else ``None``: ask group by group."""
-    return False if source.count() <= max_group_rows(source) else None
+#: Slices of a unit of value in which percentiles of unbounded groups first look for their ranks.
+VALUE_SLICES = 64
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -66,21 +52,16 @@ def count_if(condition: Column) -> Column:
 
 
 class OrderedGroups:
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], split: bool | None = None,
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], split: bool = False,
                  chunks: int | None = None):
         self.keys = list(keys)
         self.order = list(order)
-        if split is None:
-            split = largest_group(df, self.keys) > max_group_rows(df)
         self.split = split
         if not split:
             self.df = df
             return
         if chunks is None:
-            chunks = max(
-                int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                -(-df.count() // max_group_rows(df)),
-            )
+            chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # Exact copies are told apart by an arbitrary number, so they can be cut as well;
         # which copy gets which number makes no difference to any result.
         numbered = df.withColumn("_content", F.xxhash64(*df.columns)).withColumn(
@@ -171,40 +152,48 @@ class OrderedGroups:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
-                split: bool | None = None) -> DataFrame:
-    """Exact linear-interpolation percentiles of ``value`` per group (nulls ignored)."""
+                split: bool = False) -> DataFrame:
+    """Exact linear-interpolation percentiles of ``value`` per group (nulls ignored).
+
+    Without keys the whole table is one group and the result has one row, also when the table is
+    empty. With ``split=True`` equal values are counted first, the wanted ranks are found among
+    counts per slice of the value range, and only the slices that hold one are ordered.
+    """
     present = df.where(F.col(value).isNotNull())
-    if split is None:
-        split = largest_group(present, keys) > max_group_rows(df)
     if not split:
         return present.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()]
         )
-    # Large groups: count equal values first, order the distinct values across tasks, and
-    # pick the one or two values that stand at the wanted rank.
     group = keys or ["_all"]
+    place = F.floor(F.col(value).cast("double") * VALUE_SLICES)
     counted = (present if keys else present.withColumn("_all", F.lit(0))).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("_n")
+    ).withColumn("_slice", place)
+    slices = Window.partitionBy(*group).orderBy("_slice")
+    past = slices.rowsBetween(Window.unboundedPreceding, -1)
+    sized = counted.groupBy(*group, "_slice").agg(F.sum("_n").alias("_in")).withColumns(
+        {
+            "_before": F.coalesce(F.sum("_in").over(past), F.lit(0)),
+            "_rows": F.sum("_in").over(Window.partitionBy(*group)),
+        }
     )
-    ordered = OrderedGroups(counted, group, [value], split=True)
-    placed = ordered.before(ordered.df, total={"_before": F.col("_n")})
-    sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_rows"))
-    placed = join_on(placed, sizes, group, "inner")
+    position = {n: (F.col("_rows") - 1) * F.lit(float(p)) for n, p in points.items()}
+    ranks = [f(x) for x in position.values() for f in (F.floor, F.ceil)]
+    held = reduce(lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_in")) for r in ranks])
+    near = join_on(counted, sized.where(held).drop("_in"), [*group, "_slice"], "inner")
+    inside = Window.partitionBy(*group, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = near.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
 
     def at(rank):
         return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col(value)))
 
-    aggs = []
-    for name, p in points.items():
-        rank = (F.col("_rows") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(rank)).alias(f"_lo_{name}"), at(F.ceil(rank)).alias(f"_hi_{name}")]
-    picked = placed.groupBy(*group).agg(F.max("_rows").alias("_rows"), *aggs)
-    out = picked.select(
-        *keys,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
-             * ((F.col("_rows") - 1) * F.lit(float(p)) - F.floor((F.col("_rows") - 1) * F.lit(float(p))))).alias(n)
-            for n, p in points.items()
-        ],
-    )
-    return out
+    aggs = [F.max("_rows").alias("_rows")]
+    for name, x in position.items():
+        aggs += [at(F.floor(x)).alias(f"_lo_{name}"), at(F.ceil(x)).alias(f"_hi_{name}")]
+    picked = ordered.groupBy(*keys).agg(*aggs)
+
+    def between(name, x):
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+
+    return picked.select(*keys, *[between(n, x).alias(n) for n, x in position.items()])

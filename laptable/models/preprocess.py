@@ -16,7 +16,6 @@ from laptable.functions.groups import percentiles
 
 MISSING = "missing"
 MIN_FREQUENCY = 2
-MAX_CATEGORIES = 200_000
 
 
 @dataclass
@@ -48,19 +47,19 @@ def _values(numeric: list[str]) -> list[Column]:
     return out
 
 
-def numeric_medians(train: DataFrame, numeric: list[str], split: bool | None = None) -> DataFrame:
-    """(feature, median). Features are groups, so they spread over tasks."""
+def numeric_medians(train: DataFrame, numeric: list[str], split: bool = True) -> DataFrame:
+    """(feature, median). A feature's group has every training row, so it is split."""
     long = train.select(*_values(numeric)).unpivot([], numeric, "feature", "value")
     return percentiles(long, ["feature"], "value", {"median": 0.5}, split)
 
 
 def category_counts(train: DataFrame, categorical: list[str]) -> DataFrame:
     """(feature, value, rows); a missing value is a category of its own."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in categorical]
+    texts = [level_text(c).alias(c) for c in categorical]
     return train.select(*texts).unpivot([], categorical, "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str], split: bool | None = None) -> Preprocessor:
+def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str], split: bool = True) -> Preprocessor:
     medians = {r["feature"]: r["median"] for r in numeric_medians(train, numeric, split).collect()}  # one row per feature
     kept = [c for c in numeric if c in medians]
     aggs = []
@@ -74,14 +73,36 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     counts = category_counts(train, categorical) if categorical else None
     categories: dict[str, dict[str, list[str]]] = {c: {"frequent": [], "infrequent": []} for c in categorical}
     if counts is not None:
-        rows = counts.limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"More than {MAX_CATEGORIES} categories: too many for one-hot columns")
-        for r in sorted(rows, key=lambda r: (r["feature"], r["value"])):
+        # The vocabulary is part of the fitted model: one entry per coefficient.
+        for r in sorted(counts.collect(), key=lambda r: (r["feature"], r["value"])):
             categories[r["feature"]]["frequent" if r["rows"] >= MIN_FREQUENCY else "infrequent"].append(r["value"])
     return Preprocessor(kept, [medians[c] for c in kept], indicators, means, [s if s > 1e-12 else 1.0 for s in stds], categories)
 
 
+def scaled_columns(spec: Preprocessor) -> list[Column]:
+    """The numeric columns of a row, imputed and scaled, with the missing indicators behind them."""
+    values = dict(zip(spec.numeric, _values(spec.numeric)))
+    raw = [F.coalesce(values[c], F.lit(m)) for c, m in zip(spec.numeric, spec.medians)]
+    raw += [values[c].isNull().cast("double") for c in spec.indicators]
+    return [(v - F.lit(m)) / F.lit(s) for v, m, s in zip(raw, spec.means, spec.stds)]
+
+
+def level_text(column: str) -> Column:
+    """A category as text; a missing value is a category of its own."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+
+
+def level_positions(spec: Preprocessor) -> dict[str, dict[str, int]]:
+    """Place of every known category among all columns; rare ones of a feature share a place."""
+    at, out = len(spec.means), {}
+    for column, known in spec.categories.items():
+        out[column] = {v: at + i for i, v in enumerate(known["frequent"])}
+        at += len(known["frequent"])
+        out[column] |= dict.fromkeys(known["infrequent"], at)
+        at += bool(known["infrequent"])
+    return out
+
+
 def _equals(text: Column):
     return lambda level: (level == text).cast("double")
 
@@ -89,12 +110,10 @@ def _equals(text: Column):
 def apply_preprocessor(df: DataFrame, spec: Preprocessor, out: str = "features") -> DataFrame:
     """Add the ``features`` array: scaled values and indicators, then one-hot columns. Rare
     training categories share one column; values unknown to training are all zeros."""
-    values = dict(zip(spec.numeric, _values(spec.numeric)))
-    raw = [F.coalesce(values[c], F.lit(m)) for c, m in zip(spec.numeric, spec.medians)]
-    raw += [values[c].isNull().cast("double") for c in spec.indicators]
-    blocks = [F.array(*[(v - F.lit(m)) / F.lit(s) for v, m, s in zip(raw, spec.means, spec.stds)])] if raw else []
+    scaled = scaled_columns(spec)
+    blocks = [F.array(*scaled)] if scaled else []
     for column, known in spec.categories.items():
-        text = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+        text = level_text(column)
         if known["frequent"]:
             levels = F.array(*[F.lit(v) for v in known["frequent"]])
             blocks.append(F.transform(levels, _equals(text)))

@@ -28,7 +28,7 @@ def issue_counts(issued: DataFrame) -> DataFrame:
     return issued.groupBy("issued").agg(F.count(F.lit(1)).alias("laps"))
 
 
-def issued_forecast_audit(issued: DataFrame, split: bool | None = None) -> DataFrame:
+def issued_forecast_audit(issued: DataFrame, split: bool = True) -> DataFrame:
     """Errors over all next laps, by what the next lap was, and by cut. A lap belongs to a few
     groups; the pairs are made map-side and aggregated once."""
     scored = issued.where(F.col("issued") & F.col("next_adjacent") & F.col("next_time_s").isNotNull())

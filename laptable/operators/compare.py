@@ -107,7 +107,7 @@ class ProviderComparison:
         long = both.agg(*aggs).unpivot([], names, "column", "r")
         return long.select("column", "r.both_present", (F.try_divide(F.col("r.agree"), F.col("r.both_present"))).alias("agree_share"))
 
-    def lap_time_differences(self, split: bool | None = None) -> DataFrame:
+    def lap_time_differences(self, split: bool = True) -> DataFrame:
         """One row: median and p99 of the absolute lap-time difference, laps over one second."""
         diff = self._differences().withColumn("_all", F.lit(0))
         points = percentiles(diff, ["_all"], "diff", {"median_s": 0.5, "p99_s": 0.99}, split)

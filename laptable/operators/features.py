@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laptable.functions.coerce import driver_team, number, weather_bins, wind_components
-from laptable.functions.groups import OrderedGroups, join_on, max_group_rows
+from laptable.functions.groups import OrderedGroups, join_on
 from laptable.operators.lap_state import lap_state_flags, runs_of
 from laptable.operators.priors import attach_priors
 from laptable.schema import (
@@ -56,19 +56,13 @@ def fill_defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("data_tier", F.coalesce(F.col("data_tier"), F.lit(DEFAULT_TIER)))
 
 
-def check_only_guard(df: DataFrame) -> None:
-    """Refuse tables holding rows that exist for provider checks only."""
+def check_only_guard(df: DataFrame) -> DataFrame:
+    """The table, which ends its job with an error at a row that exists for provider checks only."""
     if "data_tier" not in df.columns:
-        return
-    tiers = (
-        df.where(F.col("data_tier").endswith(CHECK_ONLY_SUFFIX)).groupBy("data_tier").count().orderBy("data_tier").collect()
-    )
-    if tiers:
-        rows = sum(t["count"] for t in tiers)
-        raise ValueError(
-            f"{rows} rows carry a check-only data tier {[t['data_tier'] for t in tiers]}; "
-            "they repeat laps of another tier and cannot feed a model"
-        )
+        return df
+    message = F.concat(F.lit("A row carries the check-only data tier "), F.col("data_tier"), F.lit("; it repeats a lap of another tier and cannot feed a model"))
+    check_only = F.coalesce(F.col("data_tier").endswith(CHECK_ONLY_SUFFIX), F.lit(False))
+    return df.where(F.when(check_only, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def contract_guard(df: DataFrame, require_chronology: bool = True) -> None:
@@ -261,35 +255,25 @@ def run_features(runs: OrderedGroups, flagged: DataFrame, history: int = 5) -> D
     return df.drop("_starts", "is_break", *raw_shifts)
 
 
-def largest_run_and_event(df: DataFrame) -> tuple[int, int]:
-    """Rows of the largest run and of the largest event, from one scan of the key columns."""
-    per_run = df.groupBy(*RUN_KEYS).count()
-    per_event = per_run.groupBy("season", "event").agg(F.max("count").alias("run"), F.sum("count").alias("rows"))
-    sizes = per_event.agg(F.max("run"), F.max("rows")).first()
-    return sizes[0] or 0, sizes[1] or 0
-
-
 def build_features(raw: DataFrame, history: int = 5, require_chronology: bool = True,
-                   require_target: bool = True, split: bool | None = None,
+                   require_target: bool = True, split: bool = False,
                    check_tiers: bool = True, priors: Iterable[str] | None = None) -> DataFrame:
     """The leakage-safe feature table.
 
     ``require_target=True`` keeps laps with a usable next lap (training and evaluation);
     ``False`` keeps every valid lap and leaves the target null where there is none.
-    ``split`` forces or forbids the plan for very large runs; by default the largest run
-    decides. ``priors`` limits the historical priors to the named ones.
+    ``split=True`` takes the plans for runs and events without a bound; a run is a driver's laps
+    in a session and an event a weekend, so it is off. Building the table starts no job (with
+    ``split`` one, which stores the laps). ``priors`` limits the historical priors to the named ones.
     """
     if history < 1:
         raise ValueError("history must be >= 1")
     contract_guard(raw, require_chronology)
     if check_tiers:
-        check_only_guard(raw)
+        raw = check_only_guard(raw)
     if not any(c in raw.columns for c in CHRONOLOGY):
         raw = with_appearance_rounds(raw)
     prepared = prepare(raw)
-    split_events = split
-    if split is None:
-        split, split_events = (size > max_group_rows(raw) for size in largest_run_and_event(prepared))
     runs = runs_of(prepared, split)
     flagged = lap_state_flags(runs)
     flagged = flagged.withColumns(
@@ -298,7 +282,7 @@ def build_features(raw: DataFrame, history: int = 5, require_chronology: bool =
     table = runs.finish(run_features(runs, flagged, history).where("lap_valid"))
     if require_target:
         table = table.where(has_target())
-    table = attach_priors(table, flagged, priors, split_events)
+    table = attach_priors(table, flagged, priors, split)
     usable = has_target()
     return table.withColumns(
         {
@@ -308,7 +292,7 @@ def build_features(raw: DataFrame, history: int = 5, require_chronology: bool =
     ).withColumn(RAW_TARGET, F.when(usable, F.col(RAW_TARGET)))
 
 
-def next_lap_table_v0(raw: DataFrame, split: bool | None = None) -> DataFrame:
+def next_lap_table_v0(raw: DataFrame, split: bool = False) -> DataFrame:
     """The older, simpler table: laps that are accurate, not deleted and not pit laps; rolling
     values over whatever laps remain of a run, adjacency required for the target only."""
     df = raw

@@ -66,7 +66,7 @@ def _periods(log: DataFrame, groups: OrderedGroups, opens: Column, closes: Colum
     )
 
 
-def track_status_intervals(messages: DataFrame, sessions: DataFrame, split: bool | None = None) -> DataFrame:
+def track_status_intervals(messages: DataFrame, sessions: DataFrame, split: bool = False) -> DataFrame:
     """(session_key, start, end, code) of every status period.
 
     ``messages``: session_key, date, message_id (input order), category, flag, scope, sector,
@@ -106,7 +106,7 @@ def track_status_intervals(messages: DataFrame, sessions: DataFrame, split: bool
     return neutral.unionByName(subtract_intervals(yellow, neutral, split))
 
 
-def _yellow_periods(log: DataFrame, split: bool | None) -> DataFrame:
+def _yellow_periods(log: DataFrame, split: bool) -> DataFrame:
     """Yellow per sector. Track-wide clears and the session end go to every key that ever
     opens in the session, so each key has a complete log of its own."""
     own = log.where("yellow or sector_clear").select(
@@ -124,7 +124,7 @@ def _yellow_periods(log: DataFrame, split: bool | None) -> DataFrame:
     return _periods(groups.df, groups, F.col("yellow"), F.col("clears"), YELLOW).drop("yellow_key")
 
 
-def _sweep(edges: DataFrame, keys: list[str], active: Column, split: bool | None) -> DataFrame:
+def _sweep(edges: DataFrame, keys: list[str], active: Column, split: bool) -> DataFrame:
     """Maximal stretches during which ``active`` holds. ``edges``: keys, at, up, block (changes
     in the number of open spans); equal times are summed first."""
     steps = edges.groupBy(*keys, "at").agg(F.sum("up").alias("up"), F.sum("block").alias("block"))
@@ -150,12 +150,12 @@ def _edges(spans: DataFrame, keys: list[str], column: str) -> DataFrame:
     )
 
 
-def merge_intervals(spans: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
+def merge_intervals(spans: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
     """Union of overlapping or touching spans per key."""
     return _sweep(_edges(spans, keys, "up"), keys, F.col("_up") > 0, split)
 
 
-def subtract_intervals(spans: DataFrame, blocking: DataFrame, split: bool | None = None,
+def subtract_intervals(spans: DataFrame, blocking: DataFrame, split: bool = False,
                        keys: tuple[str, ...] = ("session_key",), code: str = YELLOW) -> DataFrame:
     """Parts of ``spans`` (merged per key) that lie in no ``blocking`` span."""
     edges = _edges(spans, list(keys), "up").unionByName(_edges(blocking, list(keys), "block"))
@@ -197,19 +197,19 @@ def overlap_join(laps: DataFrame, spans: DataFrame, keys: list[str], bucket_s: i
 ANY = "any"
 
 
-def lap_spans(intervals: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
+def lap_spans(intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
     """Merged spans per code, plus the union of all codes under the code ``any``."""
     tagged = intervals.select(*keys, "start", "end", F.explode(F.array(F.col("code"), F.lit(ANY))).alias("code"))
     return merge_intervals(tagged, [*keys, "code"], split)
 
 
-def union_length(intervals: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
+def union_length(intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
     """Seconds covered by at least one span, per key."""
     merged = merge_intervals(intervals, keys, split)
     return merged.groupBy(*keys).agg(F.sum(seconds_between("start", "end")).alias("covered_s"))
 
 
-def lap_track_status(laps: DataFrame, intervals: DataFrame, lap_keys: list[str], split: bool | None = None,
+def lap_track_status(laps: DataFrame, intervals: DataFrame, lap_keys: list[str], split: bool = False,
                      keys: tuple[str, ...] = ("session_key",)) -> DataFrame:
     """Status text per lap: all codes met, with ``1`` when part of the lap was clear."""
     pairs = overlap_join(laps.select(*lap_keys, "lap_start", "lap_end"), lap_spans(intervals, list(keys), split), list(keys))

@@ -15,7 +15,7 @@ SLOW_LAP_RATIO = 1.20
 SECTOR_SUM_TOLERANCE_S = 0.05
 
 
-def runs_of(df: DataFrame, split: bool | None = None, chunks: int | None = None) -> OrderedGroups:
+def runs_of(df: DataFrame, split: bool = False, chunks: int | None = None) -> OrderedGroups:
     """Laps of one driver in one session, in lap order."""
     tie = ["ingest_id"] if "ingest_id" in df.columns else [c for c in TIE_BREAK if c in df.columns]
     return OrderedGroups(df, RUN_KEYS, ["lap_number", *tie], split, chunks)
@@ -67,14 +67,14 @@ def lap_state_flags(runs: OrderedGroups, df: DataFrame | None = None) -> DataFra
     return df.withColumn("lap_valid", flag("is_accurate") & timed & ~blocked)
 
 
-def _median_over(df: DataFrame, keys: list[str], value: Column, name: str, split: bool | None) -> DataFrame:
+def _median_over(df: DataFrame, keys: list[str], value: Column, name: str, split: bool) -> DataFrame:
     """Attach the exact median of ``value`` per group. An aggregate joined back: it shuffles
     the table once, and the join side is one row per group."""
     medians = percentiles(df.select(*keys, value.alias("_v")), keys, "_v", {name: 0.5}, split)
     return join_on(df, medians, keys)
 
 
-def legacy_validity(df: DataFrame, split: bool | None = None) -> DataFrame:
+def legacy_validity(df: DataFrame, split: bool = False) -> DataFrame:
     """Accuracy for timing without status codes: not the first lap, no pit stop around it and
     at most 12 % slower than the driver's median of that race. Adds the columns such a
     provider cannot observe."""
@@ -95,7 +95,7 @@ def legacy_validity(df: DataFrame, split: bool | None = None) -> DataFrame:
     ).drop("_median")
 
 
-def accuracy_rule(df: DataFrame, driver_keys: list[str], split: bool | None = None) -> DataFrame:
+def accuracy_rule(df: DataFrame, driver_keys: list[str], split: bool = False) -> DataFrame:
     """Accuracy for timing with sectors and status codes: timed, sectors adding up to the lap,
     no pit stop, no neutralisation, and not far slower than the driver's median clean lap."""
     clear = ~F.coalesce(F.col("track_status").rlike("[4567]"), F.lit(False))
@@ -127,7 +127,7 @@ def with_pit_flags(laps: DataFrame, pits: DataFrame, keys: list[str]) -> DataFra
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("pit_in", "pit_out")})
 
 
-def lap_end_time(laps: DataFrame, keys: list[str], session_end: Column, split: bool | None = None) -> DataFrame:
+def lap_end_time(laps: DataFrame, keys: list[str], session_end: Column, split: bool = False) -> DataFrame:
     """End of a lap: start + duration, else the next lap's start, else the session end."""
     runs = OrderedGroups(laps, keys, ["lap_number", "lap_start"], split)
     timed_end = F.timestamp_micros(

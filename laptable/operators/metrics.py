@@ -47,8 +47,9 @@ def _moments() -> list[Column]:
 METRIC_NAMES = ["mae_s", "rmse_s", "median_ae_s", "p90_ae_s", "signed_bias_s", "within_0_5s_share", "within_1s_share", "mape_pct", "r2", "rows"]
 
 
-def regression_metrics(df: DataFrame, keys: list[str], split: bool | None = None, strict: bool = False) -> DataFrame:
-    """Point-forecast metrics per group; rows with a non-finite value are left out."""
+def regression_metrics(df: DataFrame, keys: list[str], split: bool = True, strict: bool = False) -> DataFrame:
+    """Point-forecast metrics per group; rows with a non-finite value are left out. Groups such as a
+    model or the whole table have no bound, so percentiles are taken with ``split``."""
     errors = _errors(df).withColumn("_all", F.lit(0))
     group = keys or ["_all"]
     points = percentiles(errors, group, "_ae", {"median_ae_s": 0.5, "p90_ae_s": 0.9}, split)
@@ -75,7 +76,7 @@ def naive_predictions(table: DataFrame, keep: list[str]) -> DataFrame:
     return scored.unpivot([*keep, "actual"], ["previous_lap", "rolling_median_5"], "model", "pred")
 
 
-def metrics_by_key(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS_PER_KEY, split: bool | None = None) -> DataFrame:
+def metrics_by_key(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS_PER_KEY, split: bool = True) -> DataFrame:
     return regression_metrics(df, keys, split).where(F.col("rows") >= min_rows)
 
 
@@ -131,7 +132,7 @@ def condition_breakdown(rows: DataFrame, models: list[str], dimensions: list[str
 
 
 def robustness_breakdown(rows: DataFrame, dimensions: list[str], q80: float, min_rows: int = MIN_ROWS_PER_KEY,
-                         split: bool | None = None) -> DataFrame:
+                         split: bool = True) -> DataFrame:
     """Per value of each dimension: rows, errors of the model and both naive forecasts, p90,
     coverage, bias, how often the model beats the previous lap, near-ties, and how often the
     layer disagreement widened the interval. ``rows``: actual, pred, lower, upper,

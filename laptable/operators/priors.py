@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laptable.functions.coerce import event_order
-from laptable.functions.groups import join_on, largest_group, max_group_rows, percentiles
+from laptable.functions.groups import join_on, percentiles
 from laptable.schema import PRIOR_GROUPS
 
 EVENT = ["season", "event"]
@@ -37,13 +37,10 @@ def _keyed(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(F.array(*pairs)).alias("_p")).select("_p.prior", "_p.key", *keep)
 
 
-def event_medians(valid: DataFrame, names: list[str], split: bool | None = None) -> DataFrame:
+def event_medians(valid: DataFrame, names: list[str], split: bool = False) -> DataFrame:
     """Median lap time per (prior, key, season, event) and the day the event took place."""
     keys = ["prior", "key", *EVENT]
     slim = valid.withColumn("event_day", event_order(valid.columns))
-    if split is None:
-        # No prior group inside an event is larger than the event.
-        split = largest_group(slim, EVENT) > max_group_rows(slim)
     keyed = _keyed(slim, names, [*EVENT, "lap_time_s", "event_day"])
     if not split:
         return keyed.groupBy(*keys).agg(
@@ -54,7 +51,7 @@ def event_medians(valid: DataFrame, names: list[str], split: bool | None = None)
     return join_on(medians, days, EVENT)
 
 
-def history_prior(valid: DataFrame, names: Iterable[str] | None = None, split: bool | None = None) -> DataFrame:
+def history_prior(valid: DataFrame, names: Iterable[str] | None = None, split: bool = False) -> DataFrame:
     """(prior, key, season, event) with the prior value; null for a group's first events.
 
     Events on the same day do not see each other: the frame ends the day before.
@@ -93,7 +90,7 @@ def prior_lookup(rows: DataFrame, priors: DataFrame, names: list[str], combos: D
 
 
 def attach_priors(table: DataFrame, flagged: DataFrame, names: Iterable[str] | None = None,
-                  split: bool | None = None) -> DataFrame:
+                  split: bool = False) -> DataFrame:
     """Priors of ``table`` from the valid laps of ``flagged``, plus their distance to the
     current rolling pace."""
     names = list(PRIOR_GROUPS if names is None else names)

@@ -27,7 +27,7 @@ def _merged(probes: DataFrame, updates: DataFrame, keys: list[str], at: str, upd
 
 
 def asof_backward(probes: DataFrame, updates: DataFrame, keys: list[str], at: str, update_at: str,
-                  values: list[str], sequence: str | None = None, split: bool | None = None) -> DataFrame:
+                  values: list[str], sequence: str | None = None, split: bool = False) -> DataFrame:
     """Each probe with the last update of its key at or before it. One shuffle of both sides;
     a probe without a time gets no update."""
     log = _merged(probes, updates, keys, at, update_at, values, sequence)
@@ -39,7 +39,7 @@ def asof_backward(probes: DataFrame, updates: DataFrame, keys: list[str], at: st
 
 def asof_nearest(probes: DataFrame, updates: DataFrame, keys: list[str], at: str, update_at: str,
                  values: list[str], tolerance_s: float | None = None, sequence: str | None = None,
-                 split: bool | None = None) -> DataFrame:
+                 split: bool = False) -> DataFrame:
     """Each probe with the update closest in time, the earlier one on a tie, within an
     optional tolerance. The forward side reads the log in reverse, so both sides are running
     values rather than open-ended frames."""
@@ -103,7 +103,7 @@ DELETED_LAP = r"CAR (\d+) \((\w{3})\) LAP DELETED.*?LAP (\d+)"
 DELETED_ANY = r"CAR (\d+) \((\w{3})\) (?:LAP|TIME [\d:.]+) DELETED"
 
 
-def deleted_laps(laps: DataFrame, messages: DataFrame, split: bool | None = None) -> DataFrame:
+def deleted_laps(laps: DataFrame, messages: DataFrame, split: bool = False) -> DataFrame:
     """Add ``deleted``. A message names the lap by its time, by its number, or by being issued
     while the lap was in progress, in that order. ``laps``: session_key, driver_number,
     lap_number, lap_time_s, lap_start; ``messages``: session_key, date, message_id, message."""

@@ -12,7 +12,7 @@ from laptable.schema import RAW_TARGET, RUN_KEYS, TARGET
 
 
 def history_windows(table: DataFrame, columns: list[str], history: int = 5, back_fill: bool = False,
-                    split: bool | None = None) -> DataFrame:
+                    split: bool = False) -> DataFrame:
     """Fixed-length ``history x columns`` windows per run of a next-lap table.
 
     Missing and infinite values take the last known value of the run, else 0. ``back_fill``
@@ -40,7 +40,7 @@ def history_windows(table: DataFrame, columns: list[str], history: int = 5, back
 
 
 def walk_forward(table: DataFrame, context_length: int = 32, stride: int = 1, value: str = "lap_time_s",
-                 target: str = RAW_TARGET, min_context: int = 4, split: bool | None = None) -> DataFrame:
+                 target: str = RAW_TARGET, min_context: int = 4, split: bool = False) -> DataFrame:
     """Histories of at least ``min_context`` and at most ``context_length`` laps ending at
     every ``stride``-th lap, with the true next lap. A context never holds its target."""
     if context_length < 1 or stride < 1:

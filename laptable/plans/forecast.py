@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from laptable.functions.groups import join_on, percentiles
 from laptable.models.artifact import Artifact
 from laptable.models.layerwise import LayerConfig, fit_layerwise, score_interval
-from laptable.models.linear import fit_ridge, fit_tree, score_ridge, score_tree, winsorize
+from laptable.models.linear import fit_sparse_ridge, fit_tree, score_sparse_ridge, score_tree, winsorize
 from laptable.models.preprocess import apply_preprocessor, fit_preprocessor
 from laptable.operators.features import assert_no_leakage, select_features
 from laptable.operators.metrics import feature_coverage, interval_metrics, naive_predictions, regression_metrics
@@ -30,29 +30,29 @@ def choose_features(train: DataFrame, history: int = 5, drop: Iterable[str] = ()
     return {"numeric": [c for c in chosen["numeric"] if c in kept], "categorical": chosen["categorical"]}
 
 
-def train_ridge(train: DataFrame, history: int = 5, drop: Iterable[str] = (), alpha: float = 2.0, clip: float = TARGET_CLIP_S,
-                split: bool | None = None) -> Artifact:
+def train_ridge(train: DataFrame, history: int = 5, drop: Iterable[str] = (), alpha: float = 2.0,
+                clip: float = TARGET_CLIP_S) -> Artifact:
     """Ridge on the residual to the rolling median."""
     contract = choose_features(train, history, drop)
-    spec = fit_preprocessor(train, contract["numeric"], contract["categorical"], split)
-    rows = apply_preprocessor(train, spec).withColumn("_y", winsorize(F.col(TARGET), clip))
-    return Artifact("ridge", fit_ridge(rows, "_y", alpha), spec, contract | {"history": history, "lap_validity_version": LAP_VALIDITY_VERSION})
+    spec = fit_preprocessor(train, contract["numeric"], contract["categorical"])
+    rows = train.withColumn("_y", winsorize(F.col(TARGET), clip))
+    return Artifact("ridge", fit_sparse_ridge(rows, spec, "_y", alpha), spec, contract | {"history": history, "lap_validity_version": LAP_VALIDITY_VERSION})
 
 
 def train_layerwise(train: DataFrame, validation: DataFrame | None, config: LayerConfig, history: int = 5, drop: Iterable[str] = (),
-                    clip: float = TARGET_CLIP_S, split: bool | None = None, partitions: int | None = None) -> Artifact:
+                    clip: float = TARGET_CLIP_S, partitions: int | None = None) -> Artifact:
     contract = choose_features(train, history, drop)
-    spec = fit_preprocessor(train, contract["numeric"], contract["categorical"], split)
+    spec = fit_preprocessor(train, contract["numeric"], contract["categorical"])
     rows = apply_preprocessor(train, spec).withColumn(TARGET, winsorize(F.col(TARGET), clip))
     held = None if validation is None else apply_preprocessor(validation, spec)
-    model = fit_layerwise(rows, TARGET, spec.width, config, LAP_KEYS, held, split, partitions)
+    model = fit_layerwise(rows, TARGET, spec.width, config, LAP_KEYS, held, partitions)
     return Artifact("layerwise", model, spec, contract | {"history": history, "lap_validity_version": LAP_VALIDITY_VERSION})
 
 
-def train_tree(train: DataFrame, history: int = 5, clip: float = TARGET_CLIP_S, split: bool | None = None, **settings):
+def train_tree(train: DataFrame, history: int = 5, clip: float = TARGET_CLIP_S, **settings):
     """(model, preprocessor) of the tree baseline."""
     contract = choose_features(train, history)
-    spec = fit_preprocessor(train, contract["numeric"], contract["categorical"], split)
+    spec = fit_preprocessor(train, contract["numeric"], contract["categorical"])
     rows = apply_preprocessor(train, spec).withColumn("_y", winsorize(F.col(TARGET), clip))
     return fit_tree(rows, "_y", **settings), spec
 
@@ -71,11 +71,10 @@ def predict(rows: DataFrame, artifact: Artifact | None = None) -> DataFrame:
     missing = [c for c in artifact.contract["numeric"] + artifact.contract["categorical"] if c not in rows.columns]
     if missing:
         raise ValueError(f"The table lacks contract features {missing}")
-    encoded = apply_preprocessor(rows, artifact.preprocessor)
     if artifact.kind == "ridge":
-        scored = score_ridge(encoded, artifact.model).withColumns({c: F.lit(None).cast("double") for c in ("lower_80", "upper_80", "layer_disagreement")})
+        scored = score_sparse_ridge(rows, artifact.preprocessor, artifact.model).withColumns({c: F.lit(None).cast("double") for c in ("lower_80", "upper_80", "layer_disagreement")})
     else:
-        scored = score_interval(encoded, artifact.model)
+        scored = score_interval(apply_preprocessor(rows, artifact.preprocessor), artifact.model)
     base = F.col("rolling_median_5")
     return scored.withColumns(
         {"predicted_next_lap_s": base + F.col("residual"), "lower_80_s": base + F.col("lower_80"), "upper_80_s": base + F.col("upper_80"),
@@ -93,13 +92,13 @@ def score_table(table: DataFrame, artifact: Artifact | None = None, season=None,
     )
 
 
-def evaluate(predictions: DataFrame, keys: list[str] | None = None, split: bool | None = None) -> DataFrame:
+def evaluate(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Point and interval metrics of scored rows."""
     keys = keys or ["model"]
     rows = predictions.withColumns(
         {"model": F.lit("model")} | {a: F.col(b) for a, b in (("actual", "actual_next_lap_s"), ("pred", "predicted_next_lap_s"), ("lower", "lower_80_s"), ("upper", "upper_80_s"))}
     )
-    return join_on(regression_metrics(rows, keys, split), interval_metrics(rows, keys), keys)
+    return join_on(regression_metrics(rows, keys), interval_metrics(rows, keys), keys)
 
 
 CONTEXT = [
@@ -130,7 +129,7 @@ def backtest_session(table: DataFrame, artifact: Artifact | None = None, laps: i
     )
 
 
-def backtest_summary(pairs: DataFrame, laps: DataFrame, table: DataFrame, split: bool | None = None) -> DataFrame:
+def backtest_summary(pairs: DataFrame, laps: DataFrame, table: DataFrame, split: bool = False) -> DataFrame:
     """One row per driver and session: errors, naive errors, laps driven, usable and skipped."""
     naive = pairs.groupBy(*RUN_KEYS).agg(
         F.avg(F.abs(F.col("previous_lap_s") - F.col("actual_next_lap_s"))).alias("previous_lap_mae_s"),
@@ -158,7 +157,7 @@ def compare_drivers(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def experiment_matrix(parts: DataFrame, layer_configs: dict[str, LayerConfig], ablate: Iterable[str] = (), history: int = 5,
-                      split: bool | None = None, seeds: Iterable[int] = ()) -> DataFrame:
+                      seeds: Iterable[int] = ()) -> DataFrame:
     """Naive forecasts, ridge, the given layer configurations, one-group ablations and seed
     runs of the first configuration, all on one split. One row per run with its test errors.
 
@@ -168,16 +167,16 @@ def experiment_matrix(parts: DataFrame, layer_configs: dict[str, LayerConfig], a
     from dataclasses import replace
 
     train, validation, test = (parts.where(F.col("split") == s) for s in ("train", "validation", "test"))
-    out = regression_metrics(naive_predictions(test, PREDICTION_KEYS), ["model"], split).withColumn("family", F.lit("naive"))
-    runs: list[tuple[str, str, Artifact]] = [("ridge", "baseline", train_ridge(parts.where("split in ('train', 'validation')"), history, split=split))]
+    out = regression_metrics(naive_predictions(test, PREDICTION_KEYS), ["model"]).withColumn("family", F.lit("naive"))
+    runs: list[tuple[str, str, Artifact]] = [("ridge", "baseline", train_ridge(parts.where("split in ('train', 'validation')"), history))]
     plans = [(name, config, ()) for name, config in layer_configs.items()]
     if plans:
         name, config, _ = plans[0]
         plans += [(f"{name} minus {g}", config, (g,)) for g in ablate]
         plans += [(f"{name} seed {s}", replace(config, seed=s), ()) for s in seeds]
     for name, config, drop in plans:
-        runs.append((name, "layerwise", train_layerwise(train, validation, config, history, drop, split=split)))
+        runs.append((name, "layerwise", train_layerwise(train, validation, config, history, drop)))
     for name, family, artifact in runs:
-        scored = evaluate(score_table(test, artifact), split=split).withColumns({"model": F.lit(name), "family": F.lit(family)})
+        scored = evaluate(score_table(test, artifact)).withColumns({"model": F.lit(name), "family": F.lit(family)})
         out = out.unionByName(scored, allowMissingColumns=True)
     return out

@@ -8,17 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings every job of this library relies on.
-
-    The object-hash fallback keeps ``percentile`` on hash aggregation for groups of a few
-    thousand keys per task instead of sorting after 128 of them; it only moves work to disk
-    later and never changes a result. A sort-merge join becomes a shuffled
+    """Runtime settings every job of this library relies on. A sort-merge join becomes a shuffled
     hash join only where every partition of the smaller side turns out to be small.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
     return spark
 

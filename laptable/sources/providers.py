@@ -47,7 +47,7 @@ def normalize_timing(rows: DataFrame) -> DataFrame:
         return F.col(column).cast("interval day to second").cast("decimal(20,6)").cast("double") if dict(rows.dtypes)[column].startswith("interval") else number(column)
 
     return rows.select(
-        F.col("season").cast("int").alias("season"), F.lit("F1").alias("series"), F.col("round_number").cast("int").alias("round_number"),
+        F.col("season").try_cast("int").alias("season"), F.lit("F1").alias("series"), F.col("round_number").try_cast("int").alias("round_number"),
         "event", "circuit", F.col("event_date").cast("string").alias("event_date"), "session",
         F.col("Driver").cast("string").alias("driver"), F.col("Team").cast("string").alias("team"),
         number("LapNumber").alias("lap_number"), seconds("LapTime").alias("lap_time_s"),
@@ -73,22 +73,22 @@ def read_dump(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
-def ergast_season_laps(tables: dict[str, DataFrame], seasons: list[int] | None = None, split: bool | None = None) -> DataFrame:
+def ergast_season_laps(tables: dict[str, DataFrame], seasons: list[int] | None = None, split: bool = False) -> DataFrame:
     """Legacy-tier laps from the seven-table star. The season filter goes to the small race
     table, and the lap table meets it first."""
     races = tables["races"]
     if seasons is not None:
-        races = races.where(F.col("year").cast("int").isin(seasons))
-    race = races.select("raceId", F.col("year").cast("int").alias("season"), F.col("round").cast("int").alias("round_number"), F.col("name").alias("event"), F.col("date").alias("event_date"), "circuitId")
+        races = races.where(F.col("year").try_cast("int").isin(seasons))
+    race = races.select("raceId", F.col("year").try_cast("int").alias("season"), F.col("round").try_cast("int").alias("round_number"), F.col("name").alias("event"), F.col("date").alias("event_date"), "circuitId")
     race = with_location(race.join(tables["circuits"].select("circuitId", "circuitRef", "location"), "circuitId", "left"), "circuitRef", "location")
     drivers = tables["drivers"].select("driverId", F.col("driverRef").alias("driver_id"), driver_code(F.col("code"), F.col("surname")).alias("driver"))
     # The first result row of a driver in a race decides the team.
-    results = tables["results"].groupBy("raceId", "driverId").agg(F.min_by("constructorId", F.col("resultId").cast("bigint")).alias("constructorId"))
+    results = tables["results"].groupBy("raceId", "driverId").agg(F.min_by("constructorId", F.col("resultId").try_cast("bigint")).alias("constructorId"))
     entries = results.join(tables["constructors"].select("constructorId", "constructorRef", F.col("name").alias("_constructor")), "constructorId", "left")
-    entries = with_team(entries.join(races.select("raceId", F.col("year").cast("int").alias("_season")), "raceId"), "constructorRef", "_season", "_constructor")
-    laps = tables["lap_times"].select("raceId", "driverId", F.col("lap").cast("double").alias("lap_number"), "position", "time", "milliseconds")
+    entries = with_team(entries.join(races.select("raceId", F.col("year").try_cast("int").alias("_season")), "raceId"), "constructorRef", "_season", "_constructor")
+    laps = tables["lap_times"].select("raceId", "driverId", F.col("lap").try_cast("double").alias("lap_number"), "position", "time", "milliseconds")
     laps = laps.join(race.drop("circuitId", "circuitRef", "location"), "raceId")
-    laps = with_pit_flags(laps, tables["pit_stops"].select("raceId", "driverId", F.col("lap").cast("double").alias("lap_number")), ["raceId", "driverId"])
+    laps = with_pit_flags(laps, tables["pit_stops"].select("raceId", "driverId", F.col("lap").try_cast("double").alias("lap_number")), ["raceId", "driverId"])
     laps = laps.join(entries.select("raceId", "driverId", "team"), ["raceId", "driverId"], "left").join(drivers, "driverId", "left")
     frame = laps.select(
         "season", F.lit("F1").alias("series"), "round_number", "event", "circuit", F.col("event_date").cast("string").alias("event_date"),
@@ -123,16 +123,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES_SCHEMA).json(path)
 
 
-def jolpica_race_laps(pages: DataFrame, split: bool | None = None) -> DataFrame:
+def jolpica_race_laps(pages: DataFrame, split: bool = False) -> DataFrame:
     """Legacy-tier laps from nested race pages. Laps, results and pit stops of a race may sit
     in different pages, so each is flattened on its own and joined by race and driver."""
     race = ["season", "round_number"]
-    base = pages.withColumns({"season": F.col("season").cast("int"), "round_number": F.col("round").cast("int")})
+    base = pages.withColumns({"season": F.col("season").try_cast("int"), "round_number": F.col("round").try_cast("int")})
     timings = (
         base.select(*race, F.col("raceName").alias("event"), F.col("date").alias("event_date"), "Circuit", F.explode("Laps").alias("l"))
         .select("*", F.explode("l.Timings").alias("t"))
         .select(*race, "event", "event_date", F.col("Circuit.circuitId").alias("_circuit"), F.col("Circuit.Location.locality").alias("_locality"),
-                F.col("l.number").cast("double").alias("lap_number"), F.col("t.driverId").alias("driver_id"),
+                F.col("l.number").try_cast("double").alias("lap_number"), F.col("t.driverId").alias("driver_id"),
                 F.col("t.position").try_cast("double").alias("position"), F.col("t.time").alias("_time"))
     )
     entry = base.select(*race, F.explode("Results").alias("r")).select(
@@ -140,11 +140,9 @@ def jolpica_race_laps(pages: DataFrame, split: bool | None = None) -> DataFrame:
         driver_code(F.col("r.Driver.code"), F.coalesce("r.Driver.familyName", "r.Driver.driverId")).alias("_code"),
         F.col("r.Constructor.constructorId").alias("_ref"), F.col("r.Constructor.name").alias("_name"),
     )
-    entry = with_team(entry, "_ref", "season", "_name").groupBy(*race, "driver_id").agg(
-        F.max("_code").alias("_code"), F.max("team").alias("team")
-    )
+    entry = with_team(entry, "_ref", "season", "_name").groupBy(*race, "driver_id").agg(F.max(F.struct("_code", "team")).alias("_entry")).select(*race, "driver_id", "_entry.*")
     stops = base.select(*race, F.explode("PitStops").alias("p")).select(
-        *race, F.col("p.driverId").alias("driver_id"), F.col("p.lap").cast("double").alias("lap_number")
+        *race, F.col("p.driverId").alias("driver_id"), F.col("p.lap").try_cast("double").alias("lap_number")
     )
     laps = with_pit_flags(with_location(timings, "_circuit", "_locality"), stops, [*race, "driver_id"])
     laps = laps.join(entry, [*race, "driver_id"], "left")
@@ -177,7 +175,7 @@ def meeting_sessions(sessions: DataFrame, codes: list[str] | None = None) -> Dat
     return coded.where(wanted & F.col("session_code").isin(codes) if codes else wanted)
 
 
-def openf1_session_laps(tables: dict[str, DataFrame], split: bool | None = None) -> DataFrame:
+def openf1_session_laps(tables: dict[str, DataFrame], split: bool = False) -> DataFrame:
     """All laps of all given sessions, from the landed endpoint tables.
 
     ``sessions`` carries session_key, year, session_code, date_end, meeting_name, location,
@@ -186,7 +184,7 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool | None = None)
     key, who = "session_key", ["session_key", "driver_number"]
     sessions = tables["sessions"]
     laps = tables["laps"].select(
-        key, F.col("driver_number").cast("bigint").alias("driver_number"), number("lap_number").alias("lap_number"),
+        key, F.col("driver_number").try_cast("bigint").alias("driver_number"), number("lap_number").alias("lap_number"),
         number("lap_duration").alias("lap_time_s"), timestamp("date_start").alias("lap_start"),
         *[number(f"duration_sector_{i}").alias(f"sector{i}_s") for i in (1, 2, 3)],
         F.coalesce(F.col("is_pit_out_lap").try_cast("boolean"), F.lit(False)).alias("_pit_out"),
@@ -196,13 +194,18 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool | None = None)
         key, F.coalesce(timestamp("date_end"), F.col("_last") + F.expr("interval 5 minutes")).alias("session_end")
     )
     laps = lap_end_time(laps.join(ends, key), who, F.col("session_end"), split)
-    pits = tables["pit"].select(key, F.col("driver_number").cast("bigint").alias("driver_number"), F.col("lap_number").cast("double").alias("lap_number"))
+    pits = tables["pit"].select(key, F.col("driver_number").try_cast("bigint").alias("driver_number"), F.col("lap_number").try_cast("double").alias("lap_number"))
     laps = with_pit_flags(laps, pits, who).withColumn("pit_out", F.col("_pit_out")).drop("_pit_out")
-    stints = tables["stints"].withColumn("driver_number", F.col("driver_number").cast("bigint"))
+    stints = tables["stints"].withColumn("driver_number", F.col("driver_number").try_cast("bigint"))
     laps = stint_range_join(laps, stints, who)
-    positions = tables["position"].select(key, F.col("driver_number").cast("bigint").alias("driver_number"), timestamp("date").alias("_when"), number("position").alias("position"))
-    laps = asof_backward(laps, positions, who, "lap_end", "_when", ["position"], sequence="position", split=split)
-    weather = tables["weather"].select(key, timestamp("date").alias("_when"), *[number(F.col(a).cast("double")).alias(b) for a, b in WEATHER.items()])
+    # Updates of one instant count in the order they were landed in, where the table says it.
+    landed = "ingest_id" if "ingest_id" in tables["position"].columns else "position"
+    positions = tables["position"].select(
+        key, F.col("driver_number").try_cast("bigint").alias("driver_number"), timestamp("date").alias("_when"), number("position").alias("position"),
+        number(landed).alias("_landed"),
+    )
+    laps = asof_backward(laps, positions, who, "lap_end", "_when", ["position"], sequence="_landed", split=split)
+    weather = tables["weather"].select(key, timestamp("date").alias("_when"), *[number(a).alias(b) for a, b in WEATHER.items()])
     laps = asof_nearest(laps, weather, [key], "lap_start", "_when", list(WEATHER.values()), WEATHER_TOLERANCE_S, split=split)
     laps = laps.withColumns(weather_defaults())
     messages = tables["race_control"].withColumn("date", timestamp("date"))
@@ -210,14 +213,12 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool | None = None)
     laps = lap_track_status(laps, intervals, [*who, "lap_number"], split)
     laps = deleted_laps(laps, messages, split)
     laps = accuracy_rule(laps, who, split)
-    drivers = tables["drivers"].groupBy(key, F.col("driver_number").cast("bigint").alias("driver_number")).agg(
-        F.max("name_acronym").alias("_code"), F.max("team_name").alias("team")
-    )
+    drivers = tables["drivers"].groupBy(key, F.col("driver_number").try_cast("bigint").alias("driver_number")).agg(F.max(F.struct(F.col("name_acronym").alias("_code"), F.col("team_name").alias("team"))).alias("_entry")).select(*who, "_entry.*")
     laps = laps.join(drivers, who, "left").join(
         sessions.select(key, F.col("year").alias("season"), "session_code", F.col("meeting_name").alias("event"), F.coalesce("location", F.lit("")).alias("_location"), "event_date", "round_number"), key
     )
     return laps.select(
-        F.col("season").cast("int").alias("season"), F.lit("F1").alias("series"), F.col("round_number").cast("int").alias("round_number"), "event",
+        F.col("season").try_cast("int").alias("season"), F.lit("F1").alias("series"), F.col("round_number").try_cast("int").alias("round_number"), "event",
         F.coalesce(F.try_element_at(literal_map(LOCATION_ALIASES), F.col("_location")), F.col("_location")).alias("circuit"),
         "event_date", F.col("session_code").alias("session"),
         F.coalesce(F.col("_code"), F.concat(F.lit("#"), F.col("driver_number").cast("string"))).alias("driver"), "team",
@@ -256,7 +257,7 @@ def columnar_json_laps(documents: DataFrame) -> DataFrame:
         return number(text(k))
 
     frame = rows.select(
-        F.col("season").cast("int").alias("season"), F.lit("F1").alias("series"), F.lit(None).cast("int").alias("round_number"), "event", "event_date",
+        F.col("season").try_cast("int").alias("season"), F.lit("F1").alias("series"), F.lit(None).cast("int").alias("round_number"), "event", "event_date",
         F.col("session_code").alias("session"), text("drv").alias("driver"), text("team").alias("team"), num("lap").alias("lap_number"),
         num("time").alias("lap_time_s"), num("s1").alias("sector1_s"), num("s2").alias("sector2_s"), num("s3").alias("sector3_s"),
         text("compound").alias("compound"), num("life").alias("tyre_life"), true_text(text("fresh")).alias("fresh_tyre"),
@@ -277,9 +278,11 @@ def apply_calendar(laps: DataFrame, calendar: DataFrame | None = None) -> DataFr
     if calendar is None or not {"season", "event"} <= set(calendar.columns):
         return laps.withColumn("round_number", F.lit(None).cast("int"))
     names = {"round_number": "int", "circuit": "string", "event_date": "string"}
-    known = calendar.groupBy("season", "event").agg(*[
-        (F.min(F.col(c).cast(t)) if c in calendar.columns else F.max(F.lit(None).cast(t))).alias(f"_{c}") for c, t in names.items()
-    ])
+    values = [(F.col(c) if c in calendar.columns else F.lit(None)).try_cast(t).alias(f"_{c}") for c, t in names.items()]
+    # One row of the calendar decides all three: the first as it was filed, else the smallest.
+    row = F.struct(*values)
+    first = F.min_by(row, "ingest_id") if "ingest_id" in calendar.columns else F.min(row)
+    known = calendar.groupBy("season", "event").agg(first.alias("_first")).select("season", "event", "_first.*")
     joined = laps.join(known, ["season", "event"], "left")
     return joined.withColumns(
         {"round_number": F.col("_round_number"), "circuit": F.coalesce("_circuit", "circuit"), "event_date": F.coalesce("_event_date", "event_date")}

@@ -1,5 +1,7 @@
 """The plans for very large groups give the same rows as Spark's own windows."""
 
+import uuid
+
 import numpy as np
 import pytest
 from conftest import SF, make_laps, rows_of
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from checks.adapter import laps
 from checks.stream_queries import kind, messages, session_ends, spans
-from laptable.functions.groups import GROUP_ROWS_SETTING, OrderedGroups, largest_group, percentiles, split_hint
+from checks.stream_queries import q_open as open_laps
+from laptable.functions.groups import OrderedGroups, percentiles
 from laptable.operators import features as feat
 from laptable.operators import intervals as iv
 from laptable.operators import timed_joins, windows
@@ -101,14 +104,35 @@ def test_intervals_split(spark):
         assert rows_of(make(False)) == rows_of(make(True))
 
 
-def test_size_decides_the_plan(spark):
-    df = spark.range(100).select(F.when(F.col("id") < 40, 0).otherwise(F.col("id")).alias("k"), "id")
-    assert largest_group(df, ["k"]) == 40 and split_hint(df) is False
-    spark.conf.set(GROUP_ROWS_SETTING, "30")
+def jobs_of(spark, build):
+    """Jobs that building a plan starts."""
+    context, group = spark.sparkContext, f"plan-{uuid.uuid4()}"
+    context.setJobGroup(group, "plan")
     try:
-        assert split_hint(df) is None
-        assert OrderedGroups(df, ["k"], ["id"]).split
-        assert percentiles(df, ["k"], "id", {"m": 0.5}).where("k = 0").first()["m"] == 19.5
+        build()
     finally:
-        spark.conf.unset(GROUP_ROWS_SETTING)
-    assert not OrderedGroups(df, ["k"], ["id"]).split
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_building_plans_starts_no_job(spark):
+    base = laps(spark, SF)
+    assert jobs_of(spark, lambda: feat.build_features(base)) == 0
+    assert jobs_of(spark, lambda: open_laps(spark, SF)) <= 2, "only the schemas of the two tables are read"
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    assert jobs_of(spark, lambda: percentiles(df, ["k"], "id", {"m": 0.5}, split=True)) == 0
+    assert jobs_of(spark, lambda: OrderedGroups(df, ["k"], ["id"], split=True)) >= 1
+
+
+def test_percentiles_of_an_empty_table_have_one_shape(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    for keys, rows in (([], 1), (["g"], 0)):
+        shapes = [percentiles(df, keys, "v", {"m": 0.5}, split).collect() for split in (False, True)]
+        assert shapes[0] == shapes[1] and len(shapes[0]) == rows
+
+
+def test_percentile_plans_agree_to_the_bit(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(rng.normal(0, 3, 999))], "g int, v double")
+    plans = [rows_of(percentiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}, split)) for split in (False, True)]
+    assert plans[0] == plans[1]

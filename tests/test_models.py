@@ -60,7 +60,35 @@ def test_split_arguments(parts):
                 dict(train_end=2022, validation=2023, test=2024, holdout_event="GP_1", train_through_round=1), dict(train_end=2022, validation=2023, test=2023, split_round=2, train_through_round=3)):
         with pytest.raises(ValueError):
             splits.split_dispatch(table, **bad)
-    assert [splits.parse_rounds(t) for t in ("1-5", "8-", "6", None, " ")] == [(1, 5), (8, 99), (6, 6), None, None]
+    assert [splits.parse_rounds(t) for t in ("1-5", "8-", "6", None, " ")] == [splits.Band(1, 5), splits.Band(8, None), splits.Band(6, 6), None, None]
+
+
+def test_open_rounds_and_long_chains(spark):
+    rows = spark.createDataFrame([(2020 + r // 100, r, "R") for r in range(1, 200)], "season int, round_number int, session string")
+    assert splits.select_rows(rows, rounds=splits.parse_rounds("8-")).where("round_number in (8, 120, 199)").count() == 3
+    assert splits.select_rows(rows, rounds=splits.parse_rounds("-5")).count() == 5
+    with pytest.raises(ValueError):
+        splits.parse_rounds("a-b")
+    chain = {"train_end": 2020}
+    for r in range(100, 160):
+        chain = {"mode": "fine_tune_rounds", "season": 2021, "train_rounds": [r, r], "base_split": chain}
+    assert splits.replay_pool(rows, chain).count() == 99 + 60
+    circle = {"mode": "fine_tune_seasons", "train_seasons": [2020, 2020]}
+    circle["base_split"] = circle
+    with pytest.raises(ValueError, match="circle"):
+        splits.replay_pool(rows, circle)
+
+
+def test_sparse_ridge_equals_the_dense_one(parts):
+    rows = of(parts, "train").withColumn("_y", F.col(TARGET))
+    spec = fit_preprocessor(rows, ["lap_time_s", "pace_trend_3", "track_temp_c"], ["driver", "compound", "event"])
+    dense = apply_preprocessor(rows, spec)
+    assert np.allclose(linear.sparse_gram(rows, spec, "_y"), linear.gram(dense, "_y"))
+    coefficients = linear.fit_sparse_ridge(rows, spec, "_y")
+    assert np.allclose(coefficients, linear.fit_ridge(dense, "_y"))
+    test = of(parts, "test").withColumn("driver", F.lit("NEW")).unionByName(of(parts, "test"))
+    scored = [sorted(r[0] for r in s.select("residual").collect()) for s in (linear.score_sparse_ridge(test, spec, coefficients), linear.score_ridge(apply_preprocessor(test, spec), coefficients))]
+    assert np.allclose(*scored)
 
 
 def test_replay_follows_the_chain(parts):
@@ -117,28 +145,28 @@ def test_gradient_against_finite_differences():
 
 
 def test_layers_train_alone_and_learn(parts):
-    artifact = forecast.train_layerwise(of(parts, "train"), of(parts, "validation"), CONFIG, split=False, partitions=2)
+    artifact = forecast.train_layerwise(of(parts, "train"), of(parts, "validation"), CONFIG, partitions=2)
     losses = {(h["layer"], h["epoch"]): h["local_loss"] for h in artifact.model.history}
     assert losses[1, 3] < losses[1, 1] and losses[2, 3] < losses[2, 1]
     fresh = lw.LayerModel.initial(artifact.preprocessor.width, CONFIG)
     assert not np.allclose(artifact.model.weights[0], fresh.weights[0])
-    metrics_ = forecast.evaluate(forecast.score_table(of(parts, "test"), artifact), split=False).first()
-    baseline = forecast.evaluate(forecast.score_table(of(parts, "test"), None), split=False).first()
+    metrics_ = forecast.evaluate(forecast.score_table(of(parts, "test"), artifact)).first()
+    baseline = forecast.evaluate(forecast.score_table(of(parts, "test"), None)).first()
     assert metrics_["mae_s"] <= baseline["mae_s"] * 1.1 and 0 <= metrics_["interval80_coverage"] <= 1
 
 
 def test_zero_epochs_do_not_depend_on_partitions(parts):
     config = replace(CONFIG, epochs_per_layer=0)
-    models = [forecast.train_layerwise(of(parts, "train"), of(parts, "validation"), config, split=False, partitions=n).model for n in (1, 3)]
+    models = [forecast.train_layerwise(of(parts, "train"), of(parts, "validation"), config, partitions=n).model for n in (1, 3)]
     assert np.allclose(models[0].readout, models[1].readout) and np.isclose(models[0].q80, models[1].q80)
 
 
 def test_fine_tune_and_save(spark, parts, tmp_path):
-    base = forecast.train_layerwise(of(parts, "train"), None, CONFIG, split=False, partitions=2)
+    base = forecast.train_layerwise(of(parts, "train"), None, CONFIG, partitions=2)
     rows = apply_preprocessor(of(parts, "validation"), base.preprocessor)
-    only_readout = lw.fine_tune(base.model, rows, TARGET, LAP_KEYS, epochs=0, split=False)
+    only_readout = lw.fine_tune(base.model, rows, TARGET, LAP_KEYS, epochs=0)
     assert all(np.array_equal(a, b) for a, b in zip(base.model.weights, only_readout.weights)) and not np.allclose(base.model.readout, only_readout.readout)
-    tuned = lw.fine_tune(base.model, rows, TARGET, LAP_KEYS, replay=rows.limit(5), epochs=1, learning_rate=1e-3, split=False, partitions=2)
+    tuned = lw.fine_tune(base.model, rows, TARGET, LAP_KEYS, replay=rows.limit(5), epochs=1, learning_rate=1e-3, partitions=2)
     assert not np.allclose(tuned.weights[0], base.model.weights[0]) and tuned.history[-1]["phase"] == "finetune"
     for bad in (dict(epochs=-1), dict(learning_rate=0.0)):
         with pytest.raises(ValueError):
@@ -149,7 +177,7 @@ def test_fine_tune_and_save(spark, parts, tmp_path):
     test = of(parts, "test")
     a, b = (forecast.score_table(test, m).orderBy(*LAP_KEYS).collect() for m in (saved, back))
     assert np.allclose([r["predicted_next_lap_s"] for r in a], [r["predicted_next_lap_s"] for r in b]) and back.rules_match
-    ridge = forecast.train_ridge(of(parts, "train"), split=False)
+    ridge = forecast.train_ridge(of(parts, "train"))
     save_model(spark, ridge, str(tmp_path / "r"))
     assert np.allclose(load_model(spark, str(tmp_path / "r")).model, ridge.model)
     with pytest.raises(FileNotFoundError):

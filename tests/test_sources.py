@@ -120,3 +120,37 @@ def test_read_write_and_cache(spark, tmp_path):
 def test_nan_becomes_null(spark, tmp_path):
     spark.createDataFrame([(float("nan"), 1.0)], "lap_time_s double, lap_number double").write.parquet(str(tmp_path / "n"))
     assert readers.scan_laps(spark, str(tmp_path / "n")).first()["lap_time_s"] is None
+
+
+def test_bad_cells_become_missing(spark):
+    race = spark.createDataFrame([("20x4", "3", "GP", "2024-01-01", None, [("1a", [("abc", "p", "1:31.0")]), ("2", [("abc", "1", "oops")])], None, [("abc", "two")])], providers.PAGES_SCHEMA)
+    rows = providers.jolpica_race_laps(race).collect()
+    assert len(rows) == 2 and all(r["season"] is None and r["round_number"] == 3 and not r["pit_in"] for r in rows)
+    assert {r["lap_number"] for r in rows} == {None, 2.0}
+    timing = spark.createDataFrame([("20x4", "r", "GP", "C", "2024-01-01", "R", "AAA", "T", "x", "y", "1", "2", "3", "SOFT", "z", "1", "1", "1", "1", None, None, True, False)],
+        "season string, round_number string, event string, circuit string, event_date string, session string, Driver string, Team string, LapNumber string, LapTime string, Sector1Time string, Sector2Time string, Sector3Time string, Compound string, TyreLife string, FreshTyre string, Stint string, Position string, TrackStatus string, PitInTime string, PitOutTime string, IsAccurate boolean, Deleted boolean")
+    row = providers.normalize_timing(timing).first()
+    assert row["season"] is None and row["round_number"] is None and row["lap_number"] is None and row["lap_time_s"] is None and row["sector1_s"] == 1.0
+    document = spark.createDataFrame([("20x4", "GP", "R", ["1", "b"], ["90.5", "late"])], "season string, event string, session_code string, lap array<string>, time array<string>")
+    assert sorted((r["lap_number"] or 0, r["lap_time_s"] or 0) for r in providers.columnar_json_laps(document).collect()) == [(0, 0), (1.0, 90.5)]
+
+
+def test_calendar_values_come_from_one_row(spark):
+    laps = make_laps(spark, laps=1).drop("round_number").withColumns({"event": F.lit("GP_1"), "circuit": F.lit("own")})
+    schema = "season int, event string, round_number int, circuit string, event_date string"
+    filed = [(2024, "GP_1", 5, "Bcirc", "2024-05-02"), (2024, "GP_1", 4, "Zcirc", "2024-05-01")]
+    calendar = spark.createDataFrame(filed, schema)
+    row = providers.apply_calendar(laps, calendar).first()
+    assert (row["round_number"], row["circuit"], row["event_date"]) == (4, "Zcirc", "2024-05-01")
+    landed = spark.createDataFrame([(*r, i) for i, r in enumerate(filed)], schema + ", ingest_id int")
+    row = providers.apply_calendar(laps, landed).first()
+    assert (row["round_number"], row["circuit"], row["event_date"]) == (5, "Bcirc", "2024-05-02")
+
+
+def test_sessions_that_may_still_change_are_left_out(spark):
+    rows = spark.createDataFrame([(1, "2024-05-01 10:00:00", "Race"), (2, "2024-05-01 12:00:00", "Race"), (3, None, "Day 1")], "session_key int, d string, session_name string")
+    sessions = rows.withColumn("date_end", F.to_timestamp("d"))
+    done = providers.completed_sessions(sessions, F.to_timestamp(F.lit("2024-05-01 14:00:00")))
+    assert column(done, "session_key") == [1]
+    assert sorted(column(providers.meeting_sessions(sessions), "session_key")) == [1, 2]
+    assert column(providers.meeting_sessions(sessions, ["Q"]), "session_key") == []
