@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 CLUSTER = ["season", "event", "driver"]
 
 
-def _poisson(uniform: Column, highest: int = 12) -> Column:
-    """Poisson(1) count from a uniform number by its cumulative law."""
+def _poisson(uniform: Column, highest: int = 18) -> Column:
+    """Poisson(1) count from a uniform number by its cumulative law. Counts beyond ``highest`` have
+    a chance below 2**-53, the resolution of the uniform numbers, so none is cut off."""
     total, out = 0.0, None
     for k in range(highest):
         total += math.exp(-1.0) / math.factorial(k)

@@ -70,6 +70,7 @@ PREDICTION_KEYS = ["season", "round_number", "event", "session", "driver", "lap_
 
 # Equal lap numbers inside one run are ordered by these columns (an explicit ``ingest_id``
 # column, when present, goes first), so every window has one well-defined order.
+# --- Fixed values: column names ----------------------------------------------------------
 TIE_BREAK = ["lap_time_s", "track_status", "pit_in", "pit_out", "is_accurate", "deleted"]
 
 TARGET = "target_delta_vs_rolling5_s"
@@ -214,6 +215,7 @@ RELATIVE_LAGS = {
     "sector2_s": "sector2_mean_3",
     "sector3_s": "sector3_mean_3",
 }
+# --- Fixed values: names of the flags of a lap --------------------------------------------
 LAP_STATE = [
     "lap_valid",
     "is_safety_car",
@@ -227,6 +229,7 @@ LAP_STATE = [
     "is_deleted",
 ]
 # Columns that describe the next lap and may never be model inputs.
+# --- Fixed values: names of the next lap's columns ----------------------------------------
 NEXT_LAP_COLUMNS = {
     RAW_TARGET,
     TARGET,

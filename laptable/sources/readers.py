@@ -40,10 +40,10 @@ def tier_counts(laps: DataFrame) -> DataFrame:
 
 
 def write_laps(laps: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per season, event and session. Rows are spread over several files of a
-    session when it is large (the salt), and sessions are kept together when they are small."""
+    """One folder per season, event and session. Adaptive execution deals the rows out by session
+    and splits a session only where it is large."""
     keys = ["season", "event", "session"]
-    laps.repartition(*keys, F.pmod(F.xxhash64("driver", "lap_number"), F.lit(8))).write.mode(mode).partitionBy(*keys).parquet(path)
+    laps.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def write_predictions(predictions: DataFrame, path: str, metrics: DataFrame | None = None, mode: str = "overwrite") -> None:
