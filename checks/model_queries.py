@@ -155,14 +155,10 @@ def q_fine_tune(spark, folder):
     """Zero-shot against tuned error on later rounds, with replayed rows in the readout."""
     table = parts(spark, folder)
     base = layer_artifact(spark, folder, table)
-    encoded = preprocess.apply_preprocessor(table, base.preprocessor)
-    new = splits.select_rows(encoded, 2000, (1, 2))
-    pool = splits.without_rows(splits.replay_pool(encoded, {"train_end": 1998}), new)
-    replay = splits.seeded_sample(pool, 5000, 7)
-    tuned = layerwise.fine_tune(base.model, new, TARGET, LAP_KEYS, replay, epochs=1)
-    later = splits.select_rows(encoded, 2000, (3, 4))
+    tuned = forecast.fine_tune_rounds(base, table, 2000, (1, 2), validation=of(table, "validation"), fallback_train_end=1998, seed=7, epochs=1)
+    later = preprocess.apply_preprocessor(splits.select_rows(table, 2000, (3, 4)), base.preprocessor)
     out = None
-    for name, model in (("zero_shot", base.model), ("tuned", tuned)):
+    for name, model in (("zero_shot", base.model), ("tuned", tuned.model)):
         scored = layerwise.score_interval(later, model)
         row = scored.groupBy(F.lit(name).alias("model")).agg(F.avg(F.abs(F.col("residual") - F.col(TARGET))).alias("mae_s"), F.count(F.lit(1)).alias("rows"))
         out = row if out is None else out.unionByName(row)

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from laptable.functions.groups import join_on, percentiles
 from laptable.models.artifact import Artifact
-from laptable.models.layerwise import LayerConfig, fit_layerwise, score_interval
+from laptable.models.layerwise import LayerConfig, fine_tune, fit_layerwise, score_interval
 from laptable.models.linear import fit_sparse_ridge, fit_tree, score_sparse_ridge, score_tree, winsorize
 from laptable.models.preprocess import apply_preprocessor, fit_preprocessor
 from laptable.operators.features import assert_no_leakage, select_features
 from laptable.operators.metrics import feature_coverage, interval_metrics, naive_predictions, regression_metrics
 from laptable.operators.sessions import last_n_pairs, latest_forecast_row
-from laptable.operators.splits import select_rows
+from laptable.operators.splits import Band, replay_pool, seeded_sample, select_rows, without_rows
 from laptable.schema import LAP_KEYS, LAP_VALIDITY_VERSION, PREDICTION_KEYS, PRIOR_GROUPS, RAW_TARGET, RUN_KEYS, TARGET
 
 TARGET_CLIP_S = 6.0
+REPLAY_ROWS = 20_000
 
 
 def choose_features(train: DataFrame, history: int = 5, drop: Iterable[str] = (), min_coverage: float = 0.05) -> dict[str, list[str]]:
@@ -49,6 +50,30 @@ def train_layerwise(train: DataFrame, validation: DataFrame | None, config: Laye
     return Artifact("layerwise", model, spec, contract | {"history": history, "lap_validity_version": LAP_VALIDITY_VERSION})
 
 
+def fine_tune_rounds(base: Artifact, table: DataFrame, season: int, rounds: Band | tuple[int, int | None], sessions: list[str] | None = None,
+                     validation: DataFrame | None = None, fallback_train_end: int | None = None, replay_rows: int = REPLAY_ROWS, seed: int = 42,
+                     clip: float = TARGET_CLIP_S, epochs: int | None = None, learning_rate: float | None = None,
+                     partitions: int | None = None) -> Artifact:
+    """A layer-wise model continued on some rounds of a season.
+
+    The readout also sees a sample of the rows the base was fitted on (its recorded splits, or the
+    seasons up to ``fallback_train_end``), without the new rows. New and replayed targets are
+    clipped like training targets, the interval is calibrated anew on the unclipped validation
+    rows, and the new split is recorded on top of the base's.
+    """
+    if base.kind != "layerwise":
+        raise ValueError("Only a layer-wise model can be fine-tuned")
+    recorded, band = base.contract.get("split"), Band.of(rounds)
+    new = select_rows(table, season, band, sessions)
+    replay = seeded_sample(without_rows(replay_pool(table, recorded, sessions, fallback_train_end), new), replay_rows, seed)
+    new, replay = (apply_preprocessor(rows, base.preprocessor).withColumn(TARGET, winsorize(F.col(TARGET), clip)) for rows in (new, replay))
+    held = None if validation is None else apply_preprocessor(validation, base.preprocessor)
+    model = fine_tune(base.model, new, TARGET, LAP_KEYS, replay, validation=held, epochs=epochs, learning_rate=learning_rate, partitions=partitions)
+    first = recorded or (None if fallback_train_end is None else {"train_end": fallback_train_end})
+    split = {"mode": "fine_tune_rounds", "season": season, "train_rounds": [band.low, band.high], "sessions": sessions, "base_split": first}
+    return Artifact("layerwise", model, base.preprocessor, base.contract | {"split": split})
+
+
 def train_tree(train: DataFrame, history: int = 5, clip: float = TARGET_CLIP_S, **settings):
     """(model, preprocessor) of the tree baseline."""
     contract = choose_features(train, history)

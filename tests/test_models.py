@@ -184,6 +184,22 @@ def test_fine_tune_and_save(spark, parts, tmp_path):
         load_model(spark, str(tmp_path / "nothing"))
 
 
+def test_fine_tuning_clips_recalibrates_and_records(spark, parts, tmp_path):
+    base = forecast.train_layerwise(of(parts, "train"), None, CONFIG, partitions=2)
+    wild = parts.withColumn(TARGET, F.when((F.col("season") == 2023) & (F.col("round_number") == 1), F.lit(500.0)).otherwise(F.col(TARGET)))
+    options = dict(validation=of(parts, "validation"), fallback_train_end=2022, epochs=0, partitions=2)
+    tuned = forecast.fine_tune_rounds(base, wild, 2023, (1, 1), **options)
+    capped = forecast.fine_tune_rounds(base, wild.withColumn(TARGET, F.least(TARGET, F.lit(forecast.TARGET_CLIP_S))), 2023, (1, 1), **options)
+    assert np.allclose(tuned.model.readout, capped.model.readout) and tuned.model.q80 != base.model.q80
+    again = forecast.fine_tune_rounds(tuned, parts, 2023, splits.Band(2, None), **options)
+    assert again.contract["split"]["train_rounds"] == [2, None] and again.contract["split"]["base_split"] == tuned.contract["split"]
+    save_model(spark, again, str(tmp_path / "t"))
+    chain = load_model(spark, str(tmp_path / "t")).contract["split"]
+    assert splits.replay_pool(parts, chain).count() == parts.where("season <= 2023").count()
+    with pytest.raises(ValueError, match="layer-wise"):
+        forecast.fine_tune_rounds(Artifact("ridge", np.zeros(2), base.preprocessor, {}), parts, 2023, (1, 1))
+
+
 def test_configuration_is_checked():
     for bad in (dict(layer_nodes=(8,), ordinal_groups=(4,)), dict(layer_nodes=(9, 8), ordinal_groups=(4, 4)), dict(layer_nodes=(8, 8), ordinal_groups=(4,))):
         with pytest.raises(ValueError):
