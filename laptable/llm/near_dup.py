@@ -8,9 +8,10 @@
    class), so that every such pair shares a key. Beyond 27 symbols pairs are still found unless all 14 chunks have two
    errors: at similarity 0.8 that is a chance of 3e-7.
 4. Classes that share a key are first compared with the smallest class of the key. Links that hold give components; where a
-   key still holds several components, its members are compared in blocks of bounded size, and only pairs of different
-   components whose signatures differ in at most 40 symbols (beyond six deviations at 0.8) come out. No group is gathered
-   and no pairs within a component are made.
+   key still holds several components, its members get a longer sketch of 2048 one-bit minima and are compared in blocks of
+   bounded size. Only pairs of different components come out whose sketches differ in at most 280 bits (beyond five
+   deviations at similarity 0.8), each under the first key it shares. No group is gathered and no pairs within a component
+   are made.
 5. Candidate pairs are confirmed by the intersection of the whole sets; components follow from the links.
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; fewer words than a shingle make one shingle
@@ -34,19 +35,31 @@ from laptable.llm.tokens import slices
 
 CHUNKS, PER_CHUNK, SYMBOL = 14, 6, np.dtype("<u2")
 SYMBOLS = CHUNKS * PER_CHUNK
-#: Signatures that differ in more symbols are not compared further.
+#: Signatures that differ in more symbols are not compared further (beyond six deviations at similarity 0.8).
 MOST_DIFFERING = 40
+#: Bits of a sketch, and in how many two sketches may differ (beyond five deviations at similarity 0.8).
+SKETCH, MOST_BITS = 2048, 280
 #: Members of one key are compared in blocks of about so many.
-BLOCK = 256
+BLOCK = 1024
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
-FACTORS, SHIFTS = numbers(SYMBOLS, 2) | U(1), numbers(SYMBOLS, 3)
+FACTORS, SHIFTS = numbers(SKETCH, 2) | U(1), numbers(SKETCH, 3)
+
+
+def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, np.iinfo(U).max, U)
+    rows = max(1, (1 << 19) // n)
+    for i in range(0, len(hashes), rows):
+        np.minimum(least, (hashes[i : i + rows, None] * FACTORS[:n] + SHIFTS[:n]).min(axis=0), out=least)
+    return least
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    least = np.full(SYMBOLS, np.iinfo(U).max, U)
-    for i in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[i : i + 4096, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    return (least & U(0xFFFF)).astype(SYMBOL).tobytes()
+    return (_minima(hashes, SYMBOLS) & U(0xFFFF)).astype(SYMBOL).tobytes()
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One bit of each minimum, taken from its middle so that it does not depend on how small the minimum is."""
+    return np.packbits((mix(_minima(hashes, SKETCH)) >> U(32) & U(1)).astype(bool)).tobytes()
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
@@ -63,25 +76,40 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return cut_lineage(docs.mapInArrow(sign, SIGNED))
 
 
+def keys_of(signs: np.ndarray) -> np.ndarray:
+    """The keys of each signature: a hash of every chunk without one of its symbols."""
+    signs = signs.reshape(-1, CHUNKS, PER_CHUNK).astype(U)
+    keys = np.empty(signs.shape, U)
+    for out in range(PER_CHUNK):
+        rows = np.broadcast_to(np.arange(CHUNKS, dtype=U) * U(PER_CHUNK) + U(out), signs.shape[:2])
+        for k in (k for k in range(PER_CHUNK) if k != out):
+            rows = mix(rows * U(BASE) + signs[:, :, k])
+        keys[:, :, out] = rows
+    return keys.reshape(len(signs), SYMBOLS)
+
+
 def _keys(classes: DataFrame) -> DataFrame:
     """A key for every chunk and left-out symbol."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                signs = np.frombuffer(b"".join(part.column("signature").to_pylist()), SYMBOL).reshape(-1, CHUNKS, PER_CHUNK).astype(U)
-                keys = np.empty((len(signs), CHUNKS, PER_CHUNK), U)
-                for out in range(PER_CHUNK):
-                    rows = np.broadcast_to(np.arange(CHUNKS, dtype=U) * U(PER_CHUNK) + U(out), (len(signs), CHUNKS))
-                    for k in (k for k in range(PER_CHUNK) if k != out):
-                        rows = mix(rows * U(BASE) + signs[:, :, k])
-                    keys[:, :, out] = rows
+                keys = keys_of(np.frombuffer(b"".join(part.column("signature").to_pylist()), SYMBOL).reshape(-1, SYMBOLS))
                 reps = np.repeat(np.asarray(part.column("rep")), SYMBOLS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(reps)], names=["key", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(look, "key long, rep long")
 
 
+def _first_key(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For one signature and several: the number (chunk and left-out symbol) of the first key that the two share."""
+    differ = (others != one).reshape(-1, CHUNKS, PER_CHUNK)
+    errors = differ.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    rows = np.arange(len(others))
+    return chunk * PER_CHUNK + differ[rows, chunk].argmax(axis=1)
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and signatures leave the similarity possible."""
 
@@ -122,36 +150,54 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "u long, v long"))
 
 
-def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _sketches(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Stored sketches of some classes."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                bits = pa.array([sketch(x) for x in shingle_sets(part.column("text"), words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), bits], names=["rep", "sketch"])
+
+    rows = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(draw, "rep long, sketch binary")
+    return cut_lineage(rows.groupBy("rep").agg(F.first("sketch").alias("sketch")))
+
+
+def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of different components within keys that hold several, compared in blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for group in batch.column("group"):
+            for key, group in zip(batch.column("key").to_pylist(), batch.column("group"), strict=True):
                 rows = group.values.flatten()
                 rep, comp, size, block = (np.asarray(rows[k]) for k in (0, 1, 2, 3))
                 signs = np.frombuffer(b"".join(rows[4].to_pylist()), SYMBOL).reshape(-1, SYMBOLS)
+                bits = np.frombuffer(b"".join(rows[5].to_pylist()), U).reshape(-1, SKETCH // 64)
+                own = keys_of(signs[:1])[0]
+                number = int(np.flatnonzero(own == np.array(key).astype(np.int64).view(U))[0])
                 blocks = np.unique(block)
-                left = block == blocks[0]
                 right = block == blocks[-1]
-                for i in np.flatnonzero(left):
+                for i in np.flatnonzero(block == blocks[0]):
                     with_ = right & (comp != comp[i]) & ((rep > rep[i]) | (len(blocks) > 1))
                     with_ &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
                     at = np.flatnonzero(with_)
-                    at = at[(signs[at] != signs[i]).sum(axis=1) <= MOST_DIFFERING]
+                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS]
+                    at = at[_first_key(signs[i], signs[at]) == number]
                     one.append(np.minimum(rep[at], rep[i]))
                     two.append(np.maximum(rep[at], rep[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
 
+    members = cut_lineage(members)
+    drawn = _sketches(members.select("rep").distinct(), docs, words)
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), n_blocks - 1))
-    dealt = members.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.join(classes.select("rep", "n_shingles", "signature"), "rep")
-    item = F.struct("rep", "comp", "n_shingles", "own", "signature")
+    known = classes.select("rep", "n_shingles", "signature").join(drawn, "rep")
+    dealt = members.join(known, "rep").withColumn("own", own).withColumn("other", other)
+    item = F.struct("rep", "comp", "n_shingles", "own", "signature", "sketch")
     groups = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(item).alias("group"))
-    return groups.select("group").where("size(group) > 1").mapInArrow(compare, "a long, b long").distinct()
+    return groups.select("key", "group").where("size(group) > 1").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -166,7 +212,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(keys.join(shared, "key"))
+    #: The smallest class of a key that only two share is no more than the other one's partner.
+    members = cut_lineage(keys.join(shared, "key").where("rep <> center OR n > 2"))
     star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(_near(star, classes, percent), known_docs, words, percent)
     labels = components(links)
@@ -174,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     comp = F.coalesce(F.col("component"), F.col("rep"))
     labelled = members.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", comp.alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    more = _across(labelled.join(mixed, "key"), classes, percent)
+    more = _across(labelled.join(mixed, "key"), classes, known_docs, words, percent)
     tested = star.select("a", "b")
     more = _confirmed(more.join(tested, ["a", "b"], "left_anti"), known_docs, words, percent)
     if not more.isEmpty():
