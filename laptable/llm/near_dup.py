@@ -8,8 +8,8 @@
    class), so that every such pair shares a key. Beyond 27 symbols pairs are still found unless all 14 chunks have two
    errors: at similarity 0.8 that is a chance of 3e-7.
 4. Classes that share a key are first compared with the smallest class of the key. Links that hold give components; where a
-   key still holds several components, its members get a longer sketch of 2048 one-bit minima and are compared in blocks of
-   bounded size. Only pairs of different components come out whose sketches differ in at most 280 bits (beyond five
+   key still holds several components, its members get a longer sketch of 4096 one-bit minima and are compared in blocks of
+   bounded size. Only pairs of different components come out whose sketches differ in at most 515 bits (beyond five
    deviations at similarity 0.8), each under the first key it shares. No group is gathered and no pairs within a component
    are made.
 5. Candidate pairs are confirmed by the intersection of the whole sets; components follow from the links.
@@ -38,7 +38,7 @@ SYMBOLS = CHUNKS * PER_CHUNK
 #: Signatures that differ in more symbols are not compared further (beyond six deviations at similarity 0.8).
 MOST_DIFFERING = 40
 #: Bits of a sketch, and in how many two sketches may differ (beyond five deviations at similarity 0.8).
-SKETCH, MOST_BITS = 2048, 280
+SKETCH, MOST_BITS = 4096, 515
 #: Members of one key are compared in blocks of about so many.
 BLOCK = 1024
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
@@ -124,14 +124,30 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Stored links (u, v): pairs whose whole sets are similar enough."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, mostly_links: bool = True) -> DataFrame:
+    """Stored links (u, v): pairs whose whole sets are similar enough.
+
+    Where most pairs are expected to fail, the lowest 16 bits of the hashes go first: what two sets share is at most
+    what these share and what fell together in the set that lost fewer, so no link is lost, and whole sets travel
+    only for the pairs that are left.
+    """
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = pa.array([x.tobytes() for x in shingle_sets(part.column("text"), words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], names=["id", "items"])
+                sets = list(shingle_sets(part.column("text"), words))
+                whole = pa.array([x.tobytes() for x in sets], pa.binary())
+                short = pa.array([np.unique(x.astype(SYMBOL)).tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), whole, short], names=["id", "items", "short"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")], strict=True):
+                left, right = np.frombuffer(x, SYMBOL), np.frombuffer(y, SYMBOL)
+                common = len(np.intersect1d(left, right, assume_unique=True)) + min(n - len(left), m - len(right))
+                keep.append(100 * common >= percent * (n + m - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +160,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     pairs = cut_lineage(pairs)
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(to_sets, "id long, items binary").groupBy("id").agg(F.first("items").alias("items"))
-    sets = cut_lineage(sets)
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"x{x}"))
-    return cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "u long, v long"))
+    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(to_sets, "id long, items binary, short binary")
+    sets = cut_lineage(sets.groupBy("id").agg(F.first("items").alias("items"), F.first("short").alias("short")))
+
+    def with_sets(pairs: DataFrame, column: str) -> DataFrame:
+        n = F.floor(F.length("items") / 8)
+        side = lambda x: sets.select(F.col("id").alias(x), F.col(column).alias(f"x{x}"), n.alias(f"n{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    if not mostly_links:
+        pairs = cut_lineage(with_sets(pairs, "short").mapInArrow(possible, "a long, b long"))
+    return cut_lineage(with_sets(pairs, "items").select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long"))
 
 
 def _sketches(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -223,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     more = _across(labelled.join(mixed, "key"), classes, known_docs, words, percent)
     tested = star.select("a", "b")
-    more = _confirmed(more.join(tested, ["a", "b"], "left_anti"), known_docs, words, percent)
+    more = _confirmed(more.join(tested, ["a", "b"], "left_anti"), known_docs, words, percent, mostly_links=False)
     if not more.isEmpty():
         labels = components(links.union(more))
 
