@@ -33,7 +33,7 @@ MARK = "▁"
 #: Kinds of pieces in the model file (fixed values of the format).
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Longer words advance alone.
 TOGETHER = 48
 FACTOR = U(0x9E3779B97F4A7C15)

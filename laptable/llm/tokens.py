@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: So many distinct parts are remembered by a worker before it starts anew (about 200 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Longer parts are encoded each time and not remembered.
 LONG = 256
 #: White space of any kind beside the ASCII ones, as either side sees it.
@@ -116,7 +116,7 @@ class Encoder:
         return [b"".join(map(get, x)) for x in cut]
 
 
-def slices(batch: pa.RecordBatch, text: str, budget: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about ``budget`` bytes at most (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
     part = np.cumsum(sizes) // budget
