@@ -340,7 +340,7 @@ def q_boot_summary(spark, folder):
 
 @register("paired_bootstrap")
 def q_boot(spark, folder):
-    return bootstrap.paired_bootstrap(aligned(spark, folder), "m", "b", draws=50, seed=0)
+    return bootstrap.paired_bootstrap(aligned(spark, folder), "m", "b", seed=0)
 
 
 ISSUED = f"""{UPTO_PACE},
