@@ -204,7 +204,7 @@ def q_rescore(spark, folder):
 )
 def q_unseen(spark, folder):
     table = scored(spark, folder)
-    out = metrics.unseen_categories(table.where("season = 2000"), table.where("season <= 1995 and src_part % 3 = 0"), ["driver", "compound"])
+    out = metrics.unseen_categories(table.where("season = 2000"), table.where("season <= 1995"), ["driver", "compound"])
     return out.select(*PKEYS, "unseen_driver", "unseen_compound")
 
 
