@@ -13,8 +13,9 @@ start the pruning in the others. Each round joins blocks on stated pairs of bloc
 
 Work is the number of pairs that bounds cannot rule out, so up to queries times rows where vectors have no structure.
 
-Defined cases: null vectors, and vectors with null or non-finite components or components beyond 2**26 after scaling, take
-no part, nor do empty ones and rows without an id; vectors of different lengths are never compared; a query's own row is every
+Defined cases: null vectors, and vectors with null or non-finite components, take no part, nor do empty ones and rows without
+an id; vectors with a component of ``limit`` or more in size after scaling take no part unless ``limit`` is None, which keeps
+every finite vector (a component or a score among the results that needs more than 64 bits ends the job with an error); vectors of different lengths are never compared; a query's own row is every
 row with its id; equal scores go to the smaller id; rows that repeat are candidates each; an empty table gives no row.
 """
 
@@ -33,11 +34,18 @@ PIVOTS = 64
 DATA_BLOCK, QUERY_BLOCK = 8192, 1024
 DATA_LEAF, QUERY_LEAF = 256, 64
 CHILDREN = 16
+LIMIT = float(2**26)
 NODE = np.dtype([("start", "<i4"), ("stop", "<i4"), ("child", "<i4"), ("children", "<i4"), ("radius", "<f8"), ("centre", "<i4")])
 BLOCKS = "dim int, pivot int, block long, radius double, size int, ids array<long>, vectors binary, nodes binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
+def highest(dot, q_norm, q_radius, d_norm, d_radius, dim: int):
+    """The bound of a pair of balls, with room for the rounding of every term, whatever the sign of the sum."""
+    slack = (1e-12 + dim * 1e-15) * (q_norm + q_radius) * (d_norm + d_radius) + 1e-6
+    return dot + q_radius * (d_norm + d_radius) + d_radius * q_norm + slack
+
+
 def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - centre) ** 2).sum(axis=1))
 
@@ -87,15 +95,17 @@ def dual_search(queries: dict, data: dict, k: int, floor: np.ndarray) -> tuple[n
     rank[np.argsort(data["ids"], kind="stable")] = np.arange(len(dv))
     by_rank = np.argsort(rank)
     m = len(dv)
-    none = np.iinfo(np.int64).min
-    largest = float(np.abs(qv).max() + 1) * float(np.abs(dv).max() + 1) * qv.shape[1]
+    largest = (float(np.abs(qv).max()) + 1) * (float(np.abs(dv).max()) + 1) * qv.shape[1]
     kind = np.int64 if largest * m < 2**62 else object
+    none = np.iinfo(np.int64).min if kind is np.int64 else -(2**200)
     best = np.full((len(qv), k), none, kind)
-    kth = floor.astype(float)
-    qx, dx = (v.astype(float if largest < 2**52 else kind) for v in (qv, dv))
+    floor = np.nextafter(floor.astype(float), -np.inf)
+    kth = floor.copy()
+    # Products are exact as floats, else as 64-bit integers, else as Python's.
+    qx, dx = (v.astype(float if largest < 2**52 else np.int64 if largest < 2**62 else object) for v in (qv, dv))
 
     def bounds(q: int, ds: np.ndarray) -> np.ndarray:
-        return (dc[ds] @ qc[q] + qn["radius"][q] * (d_norm[ds] + dn["radius"][ds]) + dn["radius"][ds] * q_norm[q]) * (1 + 1e-12) + 1e-6
+        return highest(dc[ds] @ qc[q], q_norm[q], qn["radius"][q], d_norm[ds], dn["radius"][ds], qv.shape[1])
 
     def pairs_of(q: int, d: int) -> list[tuple[float, int, int]]:
         split_q = qn["children"][q] and (qn["radius"][q] >= dn["radius"][d] or not dn["children"][d])
@@ -116,13 +126,14 @@ def dual_search(queries: dict, data: dict, k: int, floor: np.ndarray) -> tuple[n
         da, db = int(dn["start"][d]), int(dn["stop"][d])
         for a in range(da, db, 4096):
             b = min(a + 4096, db)
-            scores = (qx[qa:qb] @ dx[a:b].T).astype(np.int64).astype(kind)
+            scores = qx[qa:qb] @ dx[a:b].T
+            scores = (scores.astype(np.int64) if scores.dtype == float else scores).astype(kind)
             keys = scores * m + (m - 1 - rank[a:b])
             keys[(scores < kth[qa:qb, None]) | (queries["ids"][qa:qb, None] == data["ids"][a:b])] = none
             both = np.concatenate([best[qa:qb], keys], axis=1)
             best[qa:qb] = -np.partition(-both.clip(none + 1), k - 1, axis=1)[:, :k]
             worst = best[qa:qb].min(axis=1)
-            full = np.maximum((worst // m).astype(float), floor[qa:qb])
+            full = np.maximum(np.nextafter((worst // m).astype(float), -np.inf), floor[qa:qb])
             kth[qa:qb] = np.where(worst > none + 1, full, floor[qa:qb])
     at, col = np.nonzero(best > none + 1)
     keys = best[at, col]
@@ -130,13 +141,15 @@ def dual_search(queries: dict, data: dict, k: int, floor: np.ndarray) -> tuple[n
     return queries["ids"][at], data["ids"][by_rank[place]], (keys // m).astype(np.int64)
 
 
-def scaled(vectors: DataFrame, scale: int, vec_id: str, vector: str) -> DataFrame:
+def scaled(vectors: DataFrame, scale: int, vec_id: str, vector: str, limit: float | None = LIMIT) -> DataFrame:
     """``vec_id, dim, v``: valid vectors as integers."""
-    x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * scale))
-    limit = float(2**26) / scale
-    sound = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < limit))
+    wide = F.raise_error("A vector's component needs more than 64 bits").cast("long")
+    whole = lambda c: F.when(F.abs(c.cast("double") * scale) < float(2**63), F.floor(c.cast("double") * scale)).otherwise(wide)
+    x = F.transform(F.col(vector), whole)
+    least = float("inf") if limit is None else limit / scale
+    sound = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < least))
     valid = F.col(vec_id).isNotNull() & (F.size(F.coalesce(F.col(vector), F.array())) > 0) & sound
-    return vectors.where(valid).select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), x.cast("array<int>").alias("v"))
+    return vectors.where(valid).select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), x.cast("array<long>").alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -162,18 +175,18 @@ def _blocks(rows: DataFrame, pivots: dict[int, np.ndarray], most: int, leaf: int
         order, nodes = cover_tree(vectors.astype(float), leaf)
         ids = np.asarray(table.column("vec_id"))[order]
         row = {"dim": dim, "pivot": table.column("pivot")[0].as_py(), "block": table.column("salt")[0].as_py(), "radius": float(nodes["radius"][0])}
-        row |= {"size": len(ids), "ids": ids.tolist(), "vectors": vectors[order].astype("<i4").tobytes(), "nodes": nodes.tobytes()}
+        row |= {"size": len(ids), "ids": ids.tolist(), "vectors": vectors[order].astype("<i8").tobytes(), "nodes": nodes.tobytes()}
         types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.Table.from_pydict({k: pa.array([v], t) for (k, v), t in zip(row.items(), types, strict=True)})
 
-    dealt = cut_lineage(rows.mapInArrow(nearest, "vec_id long, dim int, v array<int>, pivot int"))
+    dealt = cut_lineage(rows.mapInArrow(nearest, "vec_id long, dim int, v array<long>, pivot int"))
     cells = dealt.groupBy("dim", "pivot").count().select("dim", "pivot", F.ceil(F.col("count") / most).alias("parts"))
     salted = dealt.join(cells, ["dim", "pivot"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("long"))
     return cut_lineage(salted.drop("parts").groupBy("dim", "pivot", "salt").applyInArrow(grow, BLOCKS).withColumn("block", F.xxhash64("dim", "pivot", "block")))
 
 
 def _block(row: dict, side: str) -> dict:
-    vectors = np.frombuffer(row[f"{side}vectors"], "<i4").reshape(-1, row["dim"]).astype(np.int64)
+    vectors = np.frombuffer(row[f"{side}vectors"], "<i8").reshape(-1, row["dim"])
     return {"ids": np.array(row[f"{side}ids"], np.int64), "vectors": vectors, "nodes": np.frombuffer(row[f"{side}nodes"], NODE)}
 
 
@@ -199,10 +212,11 @@ def _side(blocks: DataFrame, side: str, *more: Column) -> DataFrame:
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id", vector: str = "embedding", seed_pairs: int = 2
+    vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id", vector: str = "embedding", seed_pairs: int = 2,
+    limit: float | None = LIMIT,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every row with ``is_query`` (an expression of ``vec_id``)."""
-    rows = scaled(vectors, scale, vec_id, vector)
+    rows = scaled(vectors, scale, vec_id, vector, limit)
     sample: dict[int, list] = {}
     for row in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOTS).collect():
         sample.setdefault(row["dim"], []).append(row["v"])
@@ -212,16 +226,16 @@ def top_k(
     data = _blocks(rows, pivots, DATA_BLOCK, DATA_LEAF)
     queries = _blocks(rows.where(is_query), pivots, QUERY_BLOCK, QUERY_LEAF)
 
-    meta = lambda side: F.struct("block", "radius", F.expr("substring(vectors, 1, dim * 4)").alias("centre")).alias(side)
+    meta = lambda side: F.struct("block", "radius", F.expr("substring(vectors, 1, dim * 8)").alias("centre")).alias(side)
     metas = queries.select("dim", meta("q")).join(data.select("dim", meta("d")), "dim")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                a, b = (np.frombuffer(row[s]["centre"], "<i4").astype(float) for s in "qd")
+                a, b = (np.frombuffer(row[s]["centre"], "<i8").astype(float) for s in "qd")
                 na, nb, ra, rb = np.sqrt(a @ a), np.sqrt(b @ b), row["q"]["radius"], row["d"]["radius"]
-                out.append((row["q"]["block"], row["d"]["block"], float(a @ b), float((a @ b + ra * (nb + rb) + rb * na) * (1 + 1e-12) + 1e-6)))
+                out.append((row["q"]["block"], row["d"]["block"], float(a @ b), float(highest(a @ b, na, ra, nb, rb, len(a)))))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             names = ["q_block", "d_block", "near", "bound"]
