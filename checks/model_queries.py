@@ -64,9 +64,9 @@ def q_vocabulary(spark, folder):
     return preprocess.category_counts(train, CATEGORICAL).withColumn("frequent", F.col("rows") >= preprocess.MIN_FREQUENCY)
 
 
-def parts(spark, folder, priors=("hist_driver_circuit_pace", "hist_team_global_pace")):
-    """The feature table with a season split, cut once because models read it many times."""
-    table = features(spark, folder, priors=list(priors))
+def parts(spark, folder):
+    """The feature table with all priors and a season split, cut once because models read it many times."""
+    table = features(spark, folder)
     return cut_lineage(splits.season_forward(table, 1998, 1999, 2000))
 
 
@@ -104,13 +104,27 @@ def q_score_ridge(spark, folder):
 @register("fit_tree")
 def q_tree(spark, folder):
     table = parts(spark, folder)
-    model, spec = forecast.train_tree(of(table, "train"), maxIter=3, maxDepth=3)
+    model, spec = forecast.train_tree(of(table, "train"))
     scored = forecast.score_with_tree(of(table, "test"), model, spec)
     error = F.abs(F.col("predicted_next_lap_s") - F.col(RAW_TARGET))
     return scored.groupBy("season").agg(F.avg(error).alias("mae_s"), F.count(F.lit(1)).alias("rows"))
 
 
-CONFIG = layerwise.LayerConfig(layer_nodes=(24, 16), ordinal_groups=(4, 8), epochs_per_layer=2, batch_size=256, learning_rate=3e-3)
+CONFIG = layerwise.LayerConfig()
+#: The published configurations; ablations and seed runs take the first.
+CONFIGS = {
+    "FFR-M": CONFIG,
+    "FFR-S": layerwise.LayerConfig(layer_nodes=(256, 128), ordinal_groups=(8, 16)),
+    "FFR-L": layerwise.LayerConfig(
+        layer_nodes=(1024, 768, 512, 384, 256), ordinal_groups=(8, 16, 32, 64, 64), epochs_per_layer=120, batch_size=1024, learning_rate=6e-4,
+        temperature=0.5, target_sigma_groups=1.0, ridge_alpha=3.0,
+    ),
+    "FFR-M-groups-coarse": layerwise.LayerConfig(ordinal_groups=(4, 8, 16, 32)),
+    "FFR-M-groups-fine": layerwise.LayerConfig(ordinal_groups=(16, 32, 64, 64)),
+    "FFR-M-random-layers": layerwise.LayerConfig(epochs_per_layer=0),
+}
+ABLATIONS = ["historical_numeric", "temporal_numeric", "static_categorical"]
+SEEDS = [1, 2, 3]
 
 
 def layer_artifact(spark, folder, table, config=CONFIG):
@@ -155,7 +169,7 @@ def q_fine_tune(spark, folder):
     """Zero-shot against tuned error on later rounds, with replayed rows in the readout."""
     table = parts(spark, folder)
     base = layer_artifact(spark, folder, table)
-    tuned = forecast.fine_tune_rounds(base, table, 2000, (1, 2), validation=of(table, "validation"), fallback_train_end=1998, seed=7, epochs=1)
+    tuned = forecast.fine_tune_rounds(base, table, 2000, (1, 2), validation=of(table, "validation"), fallback_train_end=1998, seed=7)
     later = preprocess.apply_preprocessor(splits.select_rows(table, 2000, (3, 4)), base.preprocessor)
     out = None
     for name, model in (("zero_shot", base.model), ("tuned", tuned.model)):
@@ -167,7 +181,7 @@ def q_fine_tune(spark, folder):
 
 @register("experiment_matrix")
 def q_matrix(spark, folder):
-    return forecast.experiment_matrix(parts(spark, folder), {"small": CONFIG}, ablate=["historical_numeric"]).select("model", "family", "mae_s", "rmse_s", "p90_ae_s", "rows")
+    return forecast.experiment_matrix(parts(spark, folder), CONFIGS, ablate=ABLATIONS, seeds=SEEDS).select("model", "family", "mae_s", "rmse_s", "p90_ae_s", "rows")
 
 
 SCORED = "round(next_time, 6) AS actual_next_lap_s, round(rolling_median_5, 6) AS predicted_next_lap_s, round(lap_time_s, 6) AS previous_lap_s"
