@@ -3,7 +3,7 @@
 Fixed patterns find assignments to secret-like names, access keys and long hexadecimal runs, each kind leftmost and without
 overlap. On top of these, every run of key characters that holds a letter and a digit is scored: one first-order Markov
 model of characters is trained on random strings, one on ordinary identifiers, and a run whose mean log-likelihood ratio reaches
-a limit becomes a span of kind ``markov`` unless a base span overlaps it. Spans are [start, end) in code points.
+a limit becomes a span of kind ``markov``; where base spans cover part of it, its parts outside of them do. Spans are [start, end) in code points.
 
 Training takes labelled samples (``sample``, ``random``). :func:`corpus_samples` labels them from a bounded number of
 documents (``SAMPLE_DOCS``, those with the smallest hashes of their ids): what the fixed patterns find is random, words
@@ -121,12 +121,29 @@ def likelihood_ratio(run: Column, ratios: Sequence[float]) -> Column:
     )
 
 
+def outside(span: Column, base: Column) -> Column:
+    """The parts of a span that no base span covers, in order; a whole span if none touches it."""
+
+    def cut(done: Column, b: Column) -> Column:
+        last = F.element_at(done, -1)
+        part = lambda start, end: F.struct(
+            start.alias("start"), last["rank"].alias("rank"), end.alias("end"), last["value"].alias("value")
+        )
+        before = F.slice(done, F.lit(1), F.size(done) - 1)
+        pieces = F.concat(before, F.array(part(last["start"], F.greatest(last["start"], b["start"]))), F.array(part(F.greatest(last["start"], b["end"]), last["end"])))
+        return F.when((b["start"] < last["end"]) & (last["start"] < b["end"]), pieces).otherwise(done)
+
+    near = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    parts = F.filter(F.aggregate(near, F.array(span), cut), lambda s: s["start"] < s["end"])
+    return F.when(F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])), parts).otherwise(F.array(span))
+
+
 def find_secrets(docs: DataFrame, ratios: Sequence[float], text: str = "text", limit: float = LIMIT) -> DataFrame:
     """The input with ``spans``: array of (start, rank of the kind, end), by start and kind."""
     whole = text_or_empty(text)
     likely = F.filter(_spans(whole, CANDIDATE, 0, 20, "markov"), lambda s: likelihood_ratio(s["value"], ratios) >= limit * (F.char_length(s["value"]) - 1))
     found = docs.withColumns({"_base": base_spans(whole), "_likely": likely})
-    free = F.filter("_likely", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.flatten(F.transform("_likely", lambda s: outside(s, F.col("_base"))))
     bare = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
     spans = F.when((F.size("_base") == 0) & (F.size("_likely") == 0), F.array().cast("array<struct<start:int,rank:int,end:int>>"))
     spans = spans.otherwise(F.transform(F.sort_array(F.concat("_base", free)), bare))
