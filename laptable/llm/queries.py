@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laptable.llm import counts, lang, line_dedup, near_dup, packing, pieces, quality, secrets, sql, token_files, topk
+from laptable.llm import alignment, counts, lang, line_dedup, near_dup, packing, pieces, quality, secrets, sql, token_files, topk
 from laptable.llm.common import read, shared_folder
 
 
@@ -108,6 +108,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens under two tokenizers: groups, links, and how often the linked ids are linked in the corpus."""
+    return alignment.align_documents(read(spark, folder, "documents"))[0]
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lang": op2_lang,
@@ -119,6 +124,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_pieces": op9_pieces,
     "op10_line_dedup": op10_line_dedup,
+    "op12_alignment": op12_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
