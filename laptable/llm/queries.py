@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laptable.llm import alignment, counts, lang, line_dedup, near_dup, packing, pieces, quality, secrets, sql, token_files, topk
+from laptable.llm import alignment, counts, hard_negatives, lang, line_dedup, near_dup, packing, pieces, quality, quantised, secrets, sql, token_files, topk
 from laptable.llm.common import read, shared_folder
 
 
@@ -108,11 +108,25 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_quantised(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates among vectors of one label (cosine 0.98 or more): links, component and whether a vector stays."""
+    found = quantised.near_vectors(read(spark, folder, "embeddings"), cosine=0.98)
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's tokens under two tokenizers: groups, links, and how often the linked ids are linked in the corpus."""
     return alignment.align_documents(read(spark, folder, "documents"))[0]
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every vector whose id is divisible by 100; a seventh of the labels is moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90, 100), scale=256)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lang": op2_lang,
@@ -124,7 +138,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_pieces": op9_pieces,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quantised": op11_quantised,
     "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
