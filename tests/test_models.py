@@ -161,6 +161,39 @@ def test_zero_epochs_do_not_depend_on_partitions(parts):
     assert np.allclose(models[0].readout, models[1].readout) and np.isclose(models[0].q80, models[1].q80)
 
 
+def test_weights_depend_on_shards_and_rows_alone(spark, parts):
+    """Arrow batches, partitions and the order of rows change nothing; blocks keep whole mini-batches."""
+    spec = fit_preprocessor(of(parts, "train"), ["lap_time_s", "pace_trend_3"], ["driver"])
+    rows = apply_preprocessor(of(parts, "train"), spec).select("features", TARGET, *LAP_KEYS)
+    config = replace(CONFIG, batch_size=4)
+    found = []
+    for records, n in ((10_000, 1), (7, 5)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        blocks = lw.prepared_rows(rows.repartition(n), TARGET, LAP_KEYS, config, 3)
+        sizes = [r["rows"] for r in blocks.select("shard", "number", "rows").orderBy("shard", "number").collect()]
+        model = lw.LayerModel.initial(spec.width, config)
+        lw.fit_target_scale(model, rows, TARGET, False)
+        found.append((sizes, lw.train_layers(model, blocks, local_epochs=2)))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (a, one), (b, two) = found
+    assert a == b and sum(a) == rows.count() and max(a) == 64
+    assert all(np.allclose(x, y) for x, y in zip(one.weights, two.weights)) and [h["epoch"] for h in one.history] == [1, 2, 3, 1, 2, 3]
+    assert np.allclose([h["local_loss"] for h in one.history], [h["local_loss"] for h in two.history])
+
+
+def test_one_shard_is_a_sequential_run(parts):
+    """With one shard the averages change nothing, so moments and weights go on as in one long run."""
+    spec = fit_preprocessor(of(parts, "train"), ["lap_time_s"], ["driver"])
+    rows = apply_preprocessor(of(parts, "train"), spec).select("features", TARGET, *LAP_KEYS)
+    blocks = lw.prepared_rows(rows, TARGET, LAP_KEYS, CONFIG, 1)
+    models = []
+    for local in (1, 3):
+        model = lw.LayerModel.initial(spec.width, CONFIG)
+        lw.fit_target_scale(model, rows, TARGET, False)
+        models.append(lw.train_layers(model, blocks, local_epochs=local))
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(models[0].weights, models[1].weights))
+
+
 def test_fine_tune_and_save(spark, parts, tmp_path):
     base = forecast.train_layerwise(of(parts, "train"), None, CONFIG, partitions=2)
     rows = apply_preprocessor(of(parts, "validation"), base.preprocessor)
