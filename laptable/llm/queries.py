@@ -95,7 +95,7 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of eight words or more that an earlier document or line has: what goes, and a digest of what stays."""
+    """Passages of forty words or more that earlier documents or sentences have: what goes, and a digest of what stays."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     found = line_dedup.drop_repeated_units(docs)
     span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))

@@ -75,25 +75,28 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest USING (doc_id)
 """
 
 OP10 = r"""
-WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut WHERE text IS NOT NULL),
+WITH cut AS (SELECT doc_id, regexp_extract_all(text, '[^\n.!?。！？]*[\n.!?。！？]+\x20*|[^\n.!?。！？]+') AS us FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, unnest(us) AS u, unnest(range(1, len(us) + 1)) AS i FROM cut),
 placed AS (
-    SELECT doc_id, i, ls[i] AS l, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i]) - 1 AS b,
-        trim(regexp_replace(lower(ls[i]), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
-    FROM lines
-),
-ranked AS (
-    SELECT *, len(string_split(norm, ' ')) >= 8 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM placed
-),
-kept AS (
-    SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-        coalesce(string_agg(b::BIGINT || ':' || (b + length(l))::BIGINT, ',' ORDER BY i) FILTER (gone), '') AS removed,
-        coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest
-    FROM ranked GROUP BY doc_id
+    SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i) - length(u) AS b,
+        trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
+    FROM units
+),
+named AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM placed WHERE norm <> ''),
+repeated AS (SELECT *, len(string_split(norm, ' ')) AS n_words FROM named QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1),
+islands AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM repeated),
+runs AS (
+    SELECT doc_id, min(b) AS s, max(b + length(u)) AS e FROM islands GROUP BY doc_id, run
+    HAVING sum(n_words) >= 40 OR sum(length(norm) - n_words + 1) >= 240
+),
+spans AS (SELECT doc_id, count(*) AS n_removed, string_agg(s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s) AS removed FROM runs GROUP BY doc_id),
+rest AS (
+    SELECT p.doc_id, coalesce(string_agg(u, '' ORDER BY i) FILTER (r.doc_id IS NULL), '') AS rest
+    FROM placed p LEFT JOIN runs r ON p.doc_id = r.doc_id AND p.b >= r.s AND p.b < r.e GROUP BY p.doc_id
 )
 SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
-    length(rest)::BIGINT AS kept_chars, sha256(rest) AS kept_sha256
-FROM documents LEFT JOIN kept USING (doc_id)
+    length(coalesce(rest, text))::BIGINT AS kept_chars, sha256(coalesce(rest, text)) AS kept_sha256
+FROM documents LEFT JOIN spans USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
 
 OP8 = """

@@ -74,8 +74,8 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd, empty, tmp_path):
 def test_registered_queries(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in queries
-    assert {n for n in sql if n.startswith("op") and n[2].isdigit()} == {"op6_near_dup", "op7_quality", "op8_topk", "op10_line_dedup"}
+    assert numbers == list(range(1, 14)) and "pipeline" in queries
+    assert {n for n in sql if n.startswith("op") and n[2].isdigit()} == {"op6_near_dup", "op7_quality", "op8_topk", "op10_line_dedup", "op11_quantised", "op13_hard_negatives"}
     assert pipeline.run(spark, SF).count() > 0
 
 
@@ -84,7 +84,7 @@ def test_queries_match_their_sql(spark):
 
     con = database(SF)
     queries, sql = entry.queries(), entry.oracle_sql()
-    for name in ("op6_near_dup", "op7_quality", "op8_topk", "op10_line_dedup"):
+    for name in ("op6_near_dup", "op7_quality", "op8_topk", "op10_line_dedup", "op11_quantised", "op13_hard_negatives"):
         text, good = check(spark, con, SF, name, queries[name], sql[name])
         assert good, text
 

@@ -126,25 +126,26 @@ def test_secret_query(spark, documents):
         assert text in row["spans"] or "markov" in row["spans"]
 
 
-def plain_dedup(rows, least=8):
-    """(id, text) pairs -> kept texts and spans."""
-    seen, first = {}, {}
-    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        out, at = [], 0
-        spans = []
-        if t is None or (d, t) in seen:
-            seen.setdefault((d, t), (t, []))
-            continue
-        for i, line in enumerate(t.split("\n")):
-            norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
-            gone = len(norm.split(" ")) >= least and first.setdefault(norm, (d, i)) != (d, i)
-            if gone:
-                spans.append((at, at + len(line)))
-            else:
-                out.append(line)
-            at += len(line) + 1
-        seen[(d, t)] = "\n".join(out), spans
-    return seen
+def plain_dedup(rows, words=40, letters=240, unit=r"[^\n.!?。！？]*[\n.!?。！？]+\x20*|[^\n.!?。！？]+"):
+    """(id, text) -> remaining text and removed spans, with rows in order of id (null last) and text hash."""
+    seen, out = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None)):
+        runs, run, gone = [], [], []
+        for m in re.finditer(unit, t or ""):
+            norm = re.sub(r"[\W_]+", " ", m[0].lower()).strip()
+            if norm:
+                if norm in seen:
+                    run.append((m.start(), m.end(), norm))
+                elif run:
+                    runs, run = [*runs, run], []
+                seen.add(norm)
+        for r in [*runs, run]:
+            if sum(len(x[2].split(" ")) for x in r) >= words or sum(len(x[2].replace(" ", "")) for x in r) >= letters:
+                gone.append((r[0][0], r[-1][1]))
+        edges = [0, *[e for span in gone for e in span], len(t or "")]
+        rest = None if t is None else "".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        out[(i, t)] = rest, gone
+    return out
 
 
 def test_line_dedup(spark, documents, odd, empty):
@@ -160,9 +161,37 @@ def test_line_dedup(spark, documents, odd, empty):
     assert set(CLASHES) <= set(line_dedup.drop_repeated_units(odd).columns)
 
 
+def deduped(spark, texts, *more):
+    rows = list(enumerate(texts))
+    return {r["doc_id"]: r for r in line_dedup.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), *more).collect()}
+
+
 def test_paragraphs(spark):
-    a, b, c = prose(1, 20), prose(2, 20), prose(3, 20)
-    rows = [(1, f"{a}\n\n{b}"), (2, f"{c}\n \n{a.upper()}!\n\n{a}"), (3, None)]
-    found = {r["doc_id"]: r for r in line_dedup.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), "paragraph").collect()}
-    assert found[1]["text"] == rows[0][1] and found[2]["text"] == c and found[3]["text"] is None
-    assert [tuple(s) for s in found[2]["removed"]] == [(len(c) + 3, len(c) + 4 + len(a)), (len(c) + 6 + len(a), len(c) + 6 + 2 * len(a))]
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    found = deduped(spark, [f"{a}\n\n{b}", f"{c}\n \n{a.upper()}!\n\n{a}", None], "paragraph")
+    assert found[0]["text"] == f"{a}\n\n{b}" and found[1]["text"] == f"{c}\n \n" and found[2]["text"] is None
+    assert [tuple(s) for s in found[1]["removed"]] == [(len(c) + 3, len(c) + 6 + 2 * len(a))]
+
+
+def test_passages_however_they_are_wrapped(spark):
+    sentences = [prose(k, 9) + "." for k in range(10, 17)]
+    passage, lines = " ".join(sentences), "\n".join(sentences)
+    own = [f"{prose(k, 12)}. " for k in range(30, 40)]
+    chinese = "".join(chr(0x4E00 + k * 7 % 5000) + ("。" if k % 20 == 19 else "") for k in range(320))
+    texts = [own[0] + passage + own[1], own[2] + lines + "\n" + own[3], own[4] + passage + " " + own[5], own[6] + sentences[0] + own[7], chinese, own[8] + chinese + own[9]]
+    found = deduped(spark, texts)
+    assert found[0]["text"] == texts[0] and found[3]["text"] == texts[3] and found[4]["text"] == chinese
+    for k in (1, 2, 5):
+        assert found[k]["text"] == "".join(own[2 * k : 2 * k + 2] if k < 5 else own[8:])
+        assert [texts[k][s["start"] : s["end"]].strip() for s in found[k]["removed"]] == [{1: lines, 2: passage, 5: chinese}[k]]
+
+
+def test_a_line_in_every_document_is_no_hot_key(spark, monkeypatch):
+    """Common digests are broadcast: with every digest of two or more common, the plan gives the same rows."""
+    common = prose(5, 45)
+    texts = [f"{prose(100 + k, 20)}.\n{common}\n{prose(400 + k, 20)}." for k in range(200)]
+    wanted = {k: plain_dedup(list(enumerate(texts)))[(k, t)] for k, t in enumerate(texts)}
+    for hot in (line_dedup.HOT, 50):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert {k: (r["text"], [tuple(s) for s in r["removed"]]) for k, r in deduped(spark, texts).items()} == wanted
+    assert sum(bool(w[1]) for w in wanted.values()) == 199
