@@ -1,6 +1,6 @@
 """A training-data pipeline of five operators, each stage written as Parquet and read again by the next.
 
-Quality rules, near duplicates, repeated lines, secrets, packing. Every stage but the last returns the columns of documents;
+Quality rules, near duplicates, repeated passages, secrets, packing. Every stage but the last returns the columns of documents;
 a stage that changes texts sets ``n_chars`` to their new length.
 """
 
@@ -37,7 +37,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has."""
+    """Documents without the passages that earlier documents have."""
     return _restored(line_dedup.drop_repeated_units(_carried(docs)), docs.columns)
 
 
