@@ -2,7 +2,8 @@
 
 1. Every text becomes the set of its word shingles, kept as sorted 64-bit hashes inside a task only; out of it come the set's
    size, a 128-bit digest and a signature of 84 symbols, each the lowest 16 bits of one minimum.
-2. Documents with one digest are one class with the smallest id as its representative, so copies cost nothing below.
+2. Documents with one digest are one class with a number of its own and its smallest id, so copies cost nothing below and
+   two texts under one id stay two classes.
 3. The signature is cut into 14 chunks of 6 symbols. Two signatures that differ in at most 27 symbols have, by the pigeonhole
    principle, a chunk with at most one differing symbol. Chunks are looked up with one symbol left out at a time (84 keys a
    class), so that every such pair shares a key. Beyond 27 symbols pairs are still found unless all 14 chunks have two
@@ -12,10 +13,11 @@
    bounded size. Only pairs of different components come out whose sketches differ in at most 515 bits (beyond five
    deviations at similarity 0.8), each under the first key it shares. No group is gathered and no pairs within a component
    are made.
-5. Candidate pairs are confirmed by the intersection of the whole sets; components follow from the links.
+5. Candidate pairs are confirmed by the intersection of the whole sets; components follow from the links. Texts are read again
+   once, for the sets of all classes that share a key; sketches and confirmations use these stored sets.
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; fewer words than a shingle make one shingle
-of all; rows of one id and equal text are copies of each other (one stays); rows without an id are linked with nothing and
+of all; rows of one id and equal text are copies of each other (one stays), with different texts they are documents each; rows without an id are linked with nothing and
 kept; an empty table gives an empty result; other columns are carried along untouched.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laptable.llm.common import cut_lineage
+from laptable.llm.common import bounded_broadcast, cut_lineage
 from laptable.llm.components import components
 from laptable.llm.texthash import BASE, U, mix, numbers, shingle_sets
 from laptable.llm.tokens import slices
@@ -62,16 +64,20 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((mix(_minima(hashes, SKETCH)) >> U(32) & U(1)).astype(bool)).tobytes()
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two sums of mixed hashes per set."""
+    return [pa.array([int(mix(x + U(k)).sum(dtype=U).view(np.int64)) for x in sets], pa.int64()) for k in (11, 12)]
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), words))
                 sizes = pa.array([len(x) for x in sets], pa.int64())
-                digests = [pa.array([int(mix(x + U(k)).sum(dtype=U).view(np.int64)) for x in sets], pa.int64()) for k in (11, 12)]
                 signs = pa.array([signature(x) if len(x) else None for x in sets], pa.binary())
                 names = ["doc_id", "n_shingles", "d1", "d2", "signature"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, *digests, signs], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, *_digests(sets), signs], names=names)
 
     return cut_lineage(docs.mapInArrow(sign, SIGNED))
 
@@ -124,7 +130,25 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, mostly_links: bool = True) -> DataFrame:
+def _stored_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``rep, items`` (stored): the sorted hashes of the sets of some classes, found by digest in the texts of their smallest ids."""
+    needed = cut_lineage(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "d1", "d2"))
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = list(shingle_sets(part.column("text"), words))
+                yield pa.RecordBatch.from_arrays([*_digests(sets), pa.array([x.tobytes() for x in sets], pa.binary())], names=["d1", "d2", "items"])
+
+    n = needed.count()
+    found = docs.join(bounded_broadcast(needed.select("doc_id").distinct(), n), "doc_id", "left_semi").select("text")
+    found = found.mapInArrow(to_sets, "d1 long, d2 long, items binary").join(bounded_broadcast(needed.drop("doc_id"), n), ["d1", "d2"])
+    sets = cut_lineage(found.select("rep", "items"))
+    # More rows than classes only where an id and its text repeat.
+    return sets if sets.count() == n else cut_lineage(sets.dropDuplicates(["rep"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, mostly_links: bool = True) -> DataFrame:
     """Stored links (u, v): pairs whose whole sets are similar enough.
 
     Where most pairs are expected to fail, the lowest 16 bits of the hashes go first: what two sets share is at most
@@ -132,13 +156,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, most
     only for the pairs that are left.
     """
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = list(shingle_sets(part.column("text"), words))
-                whole = pa.array([x.tobytes() for x in sets], pa.binary())
-                short = pa.array([np.unique(x.astype(SYMBOL)).tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), whole, short], names=["id", "items", "short"])
+            short = [np.unique(np.frombuffer(x, U).astype(SYMBOL)).tobytes() for x in batch.column("items").to_pylist()]
+            sizes = [len(x) // 8 for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(short, pa.binary()), pa.array(sizes, pa.int64())], names=["rep", "short", "n"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,35 +180,30 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, most
                 links.append(100 * common >= percent * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_())).rename_columns(["u", "v"])
 
-    pairs = cut_lineage(pairs)
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(to_sets, "id long, items binary, short binary")
-    sets = cut_lineage(sets.groupBy("id").agg(F.first("items").alias("items"), F.first("short").alias("short")))
-
-    def with_sets(pairs: DataFrame, column: str) -> DataFrame:
-        n = F.floor(F.length("items") / 8)
-        side = lambda x: sets.select(F.col("id").alias(x), F.col(column).alias(f"x{x}"), n.alias(f"n{x}"))
+    def joined(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        side = lambda x: rows.toDF(x, *[f"{k}{x}" for k in ("x", "n")[: len(rows.columns) - 1]])
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
+    pairs = cut_lineage(pairs)
     if not mostly_links:
-        pairs = cut_lineage(with_sets(pairs, "short").mapInArrow(possible, "a long, b long"))
-    return cut_lineage(with_sets(pairs, "items").select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long"))
+        used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        short = sets.join(used, "rep", "left_semi").mapInArrow(shortened, "rep long, short binary, n long")
+        pairs = cut_lineage(joined(pairs, short).mapInArrow(possible, "a long, b long"))
+    return cut_lineage(joined(pairs, sets).select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long"))
 
 
-def _sketches(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _sketches(reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Stored sketches of some classes."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                bits = pa.array([sketch(x) for x in shingle_sets(part.column("text"), words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), bits], names=["rep", "sketch"])
+            bits = [sketch(np.frombuffer(x, U)) for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bits, pa.binary())], names=["rep", "sketch"])
 
-    rows = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(draw, "rep long, sketch binary")
-    return cut_lineage(rows.groupBy("rep").agg(F.first("sketch").alias("sketch")))
+    return cut_lineage(sets.join(reps, "rep", "left_semi").mapInArrow(draw, "rep long, sketch binary"))
 
 
-def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within keys that hold several, compared in blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +229,7 @@ def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
 
     members = cut_lineage(members)
-    drawn = _sketches(members.select("rep").distinct(), docs, words)
+    drawn = _sketches(members.select("rep").distinct(), sets)
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), n_blocks - 1))
@@ -229,28 +246,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     signed = _signed(docs, words)
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     least = F.min(F.struct("doc_id", "n_shingles", "signature"))
-    classes = known.groupBy("d1", "d2").agg(least.alias("m")).select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.signature")
-    classes = cut_lineage(classes)
+    classes = known.groupBy("d1", "d2").agg(least.alias("m")).select("d1", "d2", "m.doc_id", "m.n_shingles", "m.signature")
+    classes = cut_lineage(classes).withColumn("rep", F.monotonically_increasing_id())
     known_docs = docs.where("doc_id IS NOT NULL")
 
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
-    #: The smallest class of a key that only two share is no more than the other one's partner.
+    #: The first class of a key that only two share is no more than the other one's partner.
     members = cut_lineage(keys.join(shared, "key").where("rep <> center OR n > 2"))
     star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(_near(star, classes, percent), known_docs, words, percent)
+    star = cut_lineage(_near(star, classes, percent))
+    sets = _stored_sets(members.select("rep").union(star.select("a")), classes, known_docs, words)
+    links = _confirmed(star, sets, percent)
     labels = components(links)
 
     comp = F.coalesce(F.col("component"), F.col("rep"))
     labelled = members.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", comp.alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    more = _across(labelled.join(mixed, "key"), classes, known_docs, words, percent)
-    tested = star.select("a", "b")
-    more = _confirmed(more.join(tested, ["a", "b"], "left_anti"), known_docs, words, percent, mostly_links=False)
+    more = _across(labelled.join(mixed, "key"), classes, sets, percent)
+    more = _confirmed(more.join(star, ["a", "b"], "left_anti"), sets, percent, mostly_links=False)
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", comp.alias("component"))
+    linked = cut_lineage(classes.select("d1", "d2", "rep", "doc_id").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "doc_id", comp.alias("comp")))
+    least = linked.groupBy("comp").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")).where("n > 1").select("comp", "component")
+    found = linked.join(least, "comp", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component"))
     joined = signed.join(found, ["d1", "d2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), "d1", "d2")

@@ -99,6 +99,15 @@ def test_blocks_within_a_key(spark, monkeypatch):
     assert found == plain_components(rows, 2)
 
 
+def test_two_texts_under_one_id_keep_their_links(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (1, b), (2, f"{b} more"), (3, f"more {a}"), (4, prose(3, 60))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    found = near_dup.near_duplicates(spark.createDataFrame([(5, a), (2, f"{a} more"), (5, b), (3, f"{b} more"), (3, f"{b} more")], "doc_id long, text string"), 2)
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(2, 2), (3, 3), (3, 3), (5, 2), (5, 3)]
+
+
 def test_odd_rows(spark, odd, empty):
     found = near_dup.near_duplicates(odd, 2).collect()
     assert len(found) == len(odd_rows())
