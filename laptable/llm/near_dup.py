@@ -8,8 +8,9 @@
    principle, a chunk with at most one differing symbol. Chunks are looked up with one symbol left out at a time (84 keys a
    class), so that every such pair shares a key. Beyond 27 symbols pairs are still found unless all 14 chunks have two
    errors: at similarity 0.8 that is a chance of 3e-7.
-4. Classes that share a key are first compared with the smallest class of the key. Links that hold give components; where a
-   key still holds several components, its members get a longer sketch of 4096 one-bit minima and are compared in blocks of
+4. Classes that share a key are first compared with the smallest class of the key. Links that hold give components. Where a
+   key still holds several, rounds follow with other centres, one pair a class and round, until a round finds no link (``ROUNDS``
+   at most; the blocks do what is left). Members of keys that then still hold several components get a longer sketch of 4096 one-bit minima and are compared in blocks of
    bounded size. Only pairs of different components come out whose sketches differ in at most 515 bits (beyond five
    deviations at similarity 0.8), each under the first key it shares. No group is gathered and no pairs within a component
    are made.
@@ -41,8 +42,8 @@ SYMBOLS = CHUNKS * PER_CHUNK
 MOST_DIFFERING = 40
 #: Bits of a sketch, and in how many two sketches may differ (beyond five deviations at similarity 0.8).
 SKETCH, MOST_BITS = 4096, 515
-#: Members of one key are compared in blocks of about so many.
-BLOCK = 1024
+#: Members of one key are compared in blocks of about so many; rounds of single centres before that.
+BLOCK, ROUNDS = 1024, 5
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 FACTORS, SHIFTS = numbers(SKETCH, 2) | U(1), numbers(SKETCH, 3)
 
@@ -230,16 +231,50 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
 
     members = cut_lineage(members)
     drawn = _sketches(members.select("rep").distinct(), sets)
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n_blocks - 1))
+    # Members of a key's largest component meet the others' blocks only, which have the lower numbers.
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"))
+    members = members.join(sizes.select("key", F.col("main.comp").alias("main"), F.col("main.k").alias("k"), "all"), "key")
+    is_main = F.col("comp") == F.col("main")
+    others, mains = (F.ceil(n / BLOCK).cast("int") for n in (F.col("all") - F.col("k"), F.col("k")))
+    of = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    own = F.when(is_main, others + of(mains)).otherwise(of(others))
+    other = F.explode(F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1))
     known = classes.select("rep", "n_shingles", "signature").join(drawn, "rep")
-    dealt = members.join(known, "rep").withColumn("own", own).withColumn("other", other)
+    dealt = cut_lineage(members.select("key", "rep", "comp", own.alias("own"), other.alias("other"))).join(known, "rep")
     item = F.struct("rep", "comp", "n_shingles", "own", "signature", "sketch")
     groups = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(item).alias("group"))
     return groups.select("key", "group").where("size(group) > 1").mapInArrow(compare, "a long, b long")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, rep) of keys that hold several components, with theirs."""
+    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return cut_lineage(named.join(mixed, "key"))
+
+
+def _rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links, components, members of keys that still hold several, and tested pairs after rounds of one pair per class, each with a centre of another component of its keys."""
+    labels = components(links)
+    members = _labelled(members, labels)
+    for number in range(ROUNDS):
+        chance = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("center"))  # noqa: E731, B023
+        centers = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(number), "rep"), "rep", "comp")).alias("m"))
+        centers = centers.select("key", F.col("m.rep").alias("center"), F.col("m.comp").alias("other"))
+        chosen = members.join(centers, "key").where("comp <> other").groupBy("rep").agg(F.min(chance("center")).alias("m"))
+        pairs = chosen.select(F.least("rep", "m.center").alias("a"), F.greatest("rep", "m.center").alias("b")).distinct()
+        pairs = cut_lineage(_near(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent))
+        found = _confirmed(pairs, sets, percent)
+        tested = tested.unionByName(pairs)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+        members = _labelled(members.select("key", "rep"), labels)
+    return links, labels, members, tested
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, d1, d2`` of every row; the last two are the digest of its set."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -258,16 +293,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     star = cut_lineage(_near(star, classes, percent))
     sets = _stored_sets(members.select("rep").union(star.select("a")), classes, known_docs, words)
     links = _confirmed(star, sets, percent)
-    labels = components(links)
-
-    comp = F.coalesce(F.col("component"), F.col("rep"))
-    labelled = members.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", comp.alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    more = _across(labelled.join(mixed, "key"), classes, sets, percent)
-    more = _confirmed(more.join(star, ["a", "b"], "left_anti"), sets, percent, mostly_links=False)
+    links, labels, mixed, tested = _rounds(members.where("n > 2").select("key", "rep"), classes, sets, links, star, percent)
+    more = _across(mixed, classes, sets, percent)
+    more = _confirmed(more.join(tested, ["a", "b"], "left_anti"), sets, percent, mostly_links=False)
     if not more.isEmpty():
         labels = components(links.union(more))
 
+    comp = F.coalesce(F.col("component"), F.col("rep"))
     linked = cut_lineage(classes.select("d1", "d2", "rep", "doc_id").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "doc_id", comp.alias("comp")))
     least = linked.groupBy("comp").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")).where("n > 1").select("comp", "component")
     found = linked.join(least, "comp", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component"))
