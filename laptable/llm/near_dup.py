@@ -10,7 +10,7 @@
    errors: at similarity 0.8 that is a chance of 3e-7.
 4. Classes that share a key are first compared with the smallest class of the key. Links that hold give components. Where a
    key still holds several, rounds follow with other centres, one pair a class and round, until a round finds no link (``ROUNDS``
-   at most; the blocks do what is left). Members of keys that then still hold several components get a longer sketch of 4096 one-bit minima and are compared in blocks of
+   at most; the blocks do what is left), and the components are taken anew. Members of keys that then still hold several components get a longer sketch of 4096 one-bit minima and are compared in blocks of
    bounded size. Only pairs of different components come out whose sketches differ in at most 515 bits (beyond five
    deviations at similarity 0.8), each under the first key it shares. No group is gathered and no pairs within a component
    are made.
@@ -43,7 +43,7 @@ MOST_DIFFERING = 40
 #: Bits of a sketch, and in how many two sketches may differ (beyond five deviations at similarity 0.8).
 SKETCH, MOST_BITS = 4096, 515
 #: Members of one key are compared in blocks of about so many; rounds of single centres before that.
-BLOCK, ROUNDS = 1024, 5
+BLOCK, ROUNDS = 1024, 4
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 FACTORS, SHIFTS = numbers(SKETCH, 2) | U(1), numbers(SKETCH, 3)
 
@@ -256,8 +256,8 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Links, components, members of keys that still hold several, and tested pairs after rounds of one pair per class, each with a centre of another component of its keys."""
-    labels = components(links)
-    members = _labelled(members, labels)
+    members = _labelled(members, components(links))
+    more = None
     for number in range(ROUNDS):
         chance = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("center"))  # noqa: E731, B023
         centers = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(number), "rep"), "rep", "comp")).alias("m"))
@@ -269,10 +269,11 @@ def _rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, links: Data
         tested = tested.unionByName(pairs)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        labels = components(links)
-        members = _labelled(members.select("key", "rep"), labels)
-    return links, labels, members, tested
+        more = found if more is None else more.unionByName(found)
+    if more is not None:
+        links = links.unionByName(more)
+    labels = components(links)
+    return links, labels, _labelled(members.select("key", "rep"), labels), tested
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
