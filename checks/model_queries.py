@@ -104,14 +104,13 @@ def q_score_ridge(spark, folder):
 @register("fit_tree")
 def q_tree(spark, folder):
     table = parts(spark, folder)
-    model, spec = forecast.train_tree(of(table, "train"))
-    scored = forecast.score_with_tree(of(table, "test"), model, spec)
+    scored = forecast.predict(of(table, "test"), forecast.train_tree(of(table, "train")))
     error = F.abs(F.col("predicted_next_lap_s") - F.col(RAW_TARGET))
     return scored.groupBy("season").agg(F.avg(error).alias("mae_s"), F.count(F.lit(1)).alias("rows"))
 
 
 CONFIG = layerwise.LayerConfig()
-#: The published configurations; ablations and seed runs take the first.
+#: The published configurations; ablations and seed runs take the first.
 CONFIGS = {
     "FFR-M": CONFIG,
     "FFR-S": layerwise.LayerConfig(layer_nodes=(256, 128), ordinal_groups=(8, 16)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from laptable.functions.groups import join_on, percentiles
 from laptable.models.artifact import Artifact
 from laptable.models.layerwise import LayerConfig, fine_tune, fit_layerwise, score_interval
-from laptable.models.linear import fit_sparse_ridge, fit_tree, score_sparse_ridge, score_tree, winsorize
+from laptable.models.linear import fit_sparse_ridge, fit_tree, score_sparse_ridge, winsorize
 from laptable.models.preprocess import apply_preprocessor, fit_preprocessor
+from laptable.models.trees import score_trees, tree_table
 from laptable.operators.features import assert_no_leakage, select_features
 from laptable.operators.metrics import feature_coverage, interval_metrics, naive_predictions, regression_metrics
 from laptable.operators.sessions import last_n_pairs, latest_forecast_row
 from laptable.operators.splits import Band, replay_pool, seeded_sample, select_rows, without_rows
+from laptable.plans.ledger import fingerprint, run_all, run_key
 from laptable.schema import LAP_KEYS, LAP_VALIDITY_VERSION, PREDICTION_KEYS, PRIOR_GROUPS, RAW_TARGET, RUN_KEYS, TARGET
+from laptable.session import shared_folder
 
 TARGET_CLIP_S = 6.0
 REPLAY_ROWS = 20_000
@@ -74,30 +78,30 @@ def fine_tune_rounds(base: Artifact, table: DataFrame, season: int, rounds: Band
     return Artifact("layerwise", model, base.preprocessor, base.contract | {"split": split})
 
 
-def train_tree(train: DataFrame, history: int = 5, clip: float = TARGET_CLIP_S, **settings):
-    """(model, preprocessor) of the tree baseline."""
+def train_tree(train: DataFrame, history: int = 5, clip: float = TARGET_CLIP_S, **settings) -> Artifact:
+    """The tree baseline, its ensemble as a table of nodes."""
     contract = choose_features(train, history)
     spec = fit_preprocessor(train, contract["numeric"], contract["categorical"])
     rows = apply_preprocessor(train, spec).withColumn("_y", winsorize(F.col(TARGET), clip))
-    return fit_tree(rows, "_y", **settings), spec
-
-
-def score_with_tree(rows: DataFrame, model, spec) -> DataFrame:
-    scored = score_tree(apply_preprocessor(rows, spec), model)
-    return scored.withColumn("predicted_next_lap_s", F.col("rolling_median_5") + F.col("residual"))
+    trees = tree_table(train.sparkSession, fit_tree(rows, "_y", **settings))
+    return Artifact("tree", trees, spec, contract | {"history": history, "lap_validity_version": LAP_VALIDITY_VERSION})
 
 
 def predict(rows: DataFrame, artifact: Artifact | None = None) -> DataFrame:
     """Add predicted_next_lap_s with its interval. Without an artifact the rolling median is
-    the forecast; a ridge has no interval."""
+    the forecast; ridge and trees have no interval."""
     if artifact is None:
         return rows.withColumns({"predicted_next_lap_s": F.col("rolling_median_5"), "lower_80_s": F.lit(None).cast("double"),
                                  "upper_80_s": F.lit(None).cast("double"), "layer_disagreement_s": F.lit(None).cast("double")})
     missing = [c for c in artifact.contract["numeric"] + artifact.contract["categorical"] if c not in rows.columns]
     if missing:
         raise ValueError(f"The table lacks contract features {missing}")
-    if artifact.kind == "ridge":
-        scored = score_sparse_ridge(rows, artifact.preprocessor, artifact.model).withColumns({c: F.lit(None).cast("double") for c in ("lower_80", "upper_80", "layer_disagreement")})
+    if artifact.kind in ("ridge", "tree"):
+        if artifact.kind == "ridge":
+            scored = score_sparse_ridge(rows, artifact.preprocessor, artifact.model)
+        else:
+            scored = score_trees(apply_preprocessor(rows, artifact.preprocessor), artifact.model)
+        scored = scored.withColumns({c: F.lit(None).cast("double") for c in ("lower_80", "upper_80", "layer_disagreement")})
     else:
         scored = score_interval(apply_preprocessor(rows, artifact.preprocessor), artifact.model)
     base = F.col("rolling_median_5")
@@ -182,26 +186,35 @@ def compare_drivers(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def experiment_matrix(parts: DataFrame, layer_configs: dict[str, LayerConfig], ablate: Iterable[str] = (), history: int = 5,
-                      seeds: Iterable[int] = ()) -> DataFrame:
-    """Naive forecasts, ridge, the given layer configurations, one-group ablations and seed
+                      seeds: Iterable[int] = (), ledger: str | None = None, trees: dict | None = None) -> DataFrame:
+    """Naive forecasts, ridge, trees, the given layer configurations, one-group ablations and seed
     runs of the first configuration, all on one split. One row per run with its test errors.
 
     ``parts`` is a feature table with a ``split`` column; write it to storage before, every run
     reads it. Learned baselines are refitted on training and validation rows for the test.
+    Runs are kept in ``ledger`` (a folder; else one in the shared folder): a matrix that was
+    stopped goes on where it stopped. ``trees`` are settings other than the default ones.
     """
-    from dataclasses import replace
-
+    spark = parts.sparkSession
     train, validation, test = (parts.where(F.col("split") == s) for s in ("train", "validation", "test"))
-    out = regression_metrics(naive_predictions(test, PREDICTION_KEYS), ["model"]).withColumn("family", F.lit("naive"))
-    runs: list[tuple[str, str, Artifact]] = [("ridge", "baseline", train_ridge(parts.where("split in ('train', 'validation')"), history))]
+    both, table, settings = parts.where("split in ('train', 'validation')"), fingerprint(parts), dict(trees or {})
+
+    def of(name: str, family: str, fit):
+        return lambda: evaluate(score_table(test, fit())).withColumns({"model": F.lit(name), "family": F.lit(family)})
+
+    key = lambda name, **what: run_key(name=name, table=table, history=history, rules=LAP_VALIDITY_VERSION, **what)
+    naive = lambda: regression_metrics(naive_predictions(test, PREDICTION_KEYS), ["model"]).withColumn("family", F.lit("naive"))
+    runs = [
+        (key("naive"), naive),
+        (key("ridge"), of("ridge", "baseline", lambda: train_ridge(both, history))),
+        (key("trees", settings=settings), of("trees", "baseline", lambda: train_tree(both, history, **settings))),
+    ]
     plans = [(name, config, ()) for name, config in layer_configs.items()]
     if plans:
         name, config, _ = plans[0]
         plans += [(f"{name} minus {g}", config, (g,)) for g in ablate]
         plans += [(f"{name} seed {s}", replace(config, seed=s), ()) for s in seeds]
     for name, config, drop in plans:
-        runs.append((name, "layerwise", train_layerwise(train, validation, config, history, drop)))
-    for name, family, artifact in runs:
-        scored = evaluate(score_table(test, artifact)).withColumns({"model": F.lit(name), "family": F.lit(family)})
-        out = out.unionByName(scored, allowMissingColumns=True)
-    return out
+        fit = lambda config=config, drop=drop: train_layerwise(train, validation, config, history, drop)
+        runs.append((key(name, config=asdict(config), drop=drop), of(name, "layerwise", fit)))
+    return run_all(spark, ledger or f"{shared_folder(spark)}/ledger", runs)
