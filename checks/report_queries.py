@@ -199,7 +199,7 @@ def q_rescore(spark, folder):
 
 @register(
     "unseen_categories",
-    f"{UPTO_PACE}, t AS (SELECT DISTINCT driver FROM usable WHERE has_target AND season <= 1995 AND src_part % 3 = 0), u AS (SELECT DISTINCT compound FROM usable WHERE has_target AND season <= 1995 AND src_part % 3 = 0) "
+    f"{UPTO_PACE}, t AS (SELECT DISTINCT driver FROM usable WHERE has_target AND season <= 1995), u AS (SELECT DISTINCT compound FROM usable WHERE has_target AND season <= 1995) "
     f"SELECT {P}, driver NOT IN (SELECT driver FROM t) AS unseen_driver, compound NOT IN (SELECT compound FROM u) AS unseen_compound FROM usable WHERE has_target AND season = 2000",
 )
 def q_unseen(spark, folder):
