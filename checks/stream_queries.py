@@ -212,7 +212,7 @@ def q_overlap(spark, folder):
     "SELECT p.event_id, CASE WHEN covered IS NULL OR covered < (epoch_us(le) - epoch_us(ls)) / 1000000.0 - 0.5 THEN '1' ELSE '' END || coalesce(c, '') AS track_status FROM pl p LEFT JOIN codes USING (event_id) LEFT JOIN cov USING (event_id)",
 )
 def q_lap_status(spark, folder):
-    out = iv.lap_track_status(stream_laps(spark, folder), status(spark, folder), ["session_key", "event_id"])
+    out = iv.lap_track_status(stream_laps(spark, folder), status(spark, folder), ["session_key"])
     return out.select("event_id", "track_status")
 
 

@@ -5,10 +5,11 @@ right plan while every group is small: a driver's laps in a session are tens of
 breaks when one group may hold a large part of the table. Which of the two holds is known from
 what the group means, so callers say it: ``split=False`` (the default) for groups that are
 small by nature, ``split=True`` for groups without a bound. No plan is chosen by counting.
-``OrderedGroups`` offers the same three operations either way:
+``OrderedGroups`` offers the same operations either way:
 
 * ``window()``        a window spec that sees every row of a group in order
 * ``before()``        last non-null value / sum over all earlier rows of the group
+* ``after()``         first non-null value over all later rows of the group
 * ``with_halo()``     copies of a few neighbouring rows, so bounded frames are complete
 
 With ``split=True`` the rows are range-partitioned by (group, order) and stored once, so a
@@ -82,34 +83,45 @@ class OrderedGroups:
     def before(self, df: DataFrame, last: dict[str, Column] | None = None,
                total: dict[str, Column] | None = None) -> DataFrame:
         """Add, per row, the last non-null value / the sum over all earlier rows of its group."""
-        last, total = last or {}, total or {}
-        earlier = self.window().rowsBetween(Window.unboundedPreceding, -1)
-        local = {n: F.last(e, ignorenulls=True).over(earlier) for n, e in last.items()}
-        local |= {n: F.coalesce(F.sum(e).over(earlier), F.lit(0)) for n, e in total.items()}
+        return self._reach(df, last or {}, total or {}, backward=False)
+
+    def after(self, df: DataFrame, first: dict[str, Column]) -> DataFrame:
+        """Add, per row, the first non-null value over all later rows of its group.
+
+        It is ``before()`` on the reversed order, so every row is met once. The order should
+        tell rows apart; of rows that tie in it, each sees the others before or after it.
+        """
+        return self._reach(df, first, {}, backward=True)
+
+    def _reach(self, df: DataFrame, nearest: dict[str, Column], total: dict[str, Column], backward: bool) -> DataFrame:
+        passed = self.window(descending=backward).rowsBetween(Window.unboundedPreceding, -1)
+        local = {n: F.last(e, ignorenulls=True).over(passed) for n, e in nearest.items()}
+        local |= {n: F.coalesce(F.sum(e).over(passed), F.lit(0)) for n, e in total.items()}
         out = df.withColumns(local)
         if not self.split:
             return out
-        place = F.struct(*self.order)
+        place, outermost = F.struct(*self.order), F.min_by if backward else F.max_by
         per_chunk = df.groupBy(*self.group).agg(
-            *[F.max_by(F.when(e.isNotNull(), e), F.when(e.isNotNull(), place)).alias(f"_c_{n}")
-              for n, e in last.items()],
+            *[outermost(F.when(e.isNotNull(), e), F.when(e.isNotNull(), place)).alias(f"_c_{n}")
+              for n, e in nearest.items()],
             *[F.sum(e).alias(f"_c_{n}") for n, e in total.items()],
         )
-        chunks = Window.partitionBy(*self.keys).orderBy("_chunk") if self.keys else Window.partitionBy(F.lit(1)).orderBy("_chunk")
+        chunk = F.col("_chunk").desc() if backward else F.col("_chunk")
+        chunks = Window.partitionBy(*(self.keys or [F.lit(1)])).orderBy(chunk)
         past = chunks.rowsBetween(Window.unboundedPreceding, -1)
         carried = per_chunk.select(
             *self.group,
             F.lag(F.lit(True)).over(chunks).alias("_continues"),
-            *[F.last(f"_c_{n}", ignorenulls=True).over(past).alias(f"_c_{n}") for n in last],
+            *[F.last(f"_c_{n}", ignorenulls=True).over(past).alias(f"_c_{n}") for n in nearest],
             *[F.sum(f"_c_{n}").over(past).alias(f"_c_{n}") for n in total],
         ).where("_continues").drop("_continues")
         # At most one group continues into a chunk, so this side has one row per chunk.
         out = join_on(out, F.broadcast(carried), self.group)
         out = out.withColumns(
-            {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in last}
+            {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in nearest}
             | {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in total}
         )
-        return out.drop(*[f"_c_{n}" for n in [*last, *total]])
+        return out.drop(*[f"_c_{n}" for n in [*nearest, *total]])
 
     def with_halo(self, df: DataFrame, before: int, after: int) -> DataFrame:
         """Add the ``before`` / ``after`` neighbouring rows of other chunks, marked ``_halo``."""

@@ -102,26 +102,31 @@ def track_status_intervals(messages: DataFrame, sessions: DataFrame, split: bool
         .unionByName(_periods(groups.df, groups, F.col("vsc_on"), F.col("vsc_off") | stop | end, VSC))
         .unionByName(_periods(ending, groups, F.col("ends_now"), clear | stop | end, VSC_ENDING, restarts=True))
     )
-    yellow = _yellow_periods(log, split)
+    yellow = _yellow_periods(groups, split)
     return neutral.unionByName(subtract_intervals(yellow, neutral, split))
 
 
-def _yellow_periods(log: DataFrame, split: bool) -> DataFrame:
-    """Yellow per sector. Track-wide clears and the session end go to every key that ever
-    opens in the session, so each key has a complete log of its own."""
+def _yellow_periods(session: OrderedGroups, split: bool) -> DataFrame:
+    """Yellow per sector, from the ordered log of the sessions.
+
+    Track-wide clears and the session end close every sector. They cut the log into stretches
+    that all sectors share; each yellow message learns the number of its stretch and the time
+    that ends it, so no clear is handed to the sectors one by one. Inside a stretch a sector has
+    a log of its own, and a period that no clear of the sector ends lasts to the stretch's end.
+    """
+    wide = F.col("track_clear") | F.col("is_end")
+    log = session.after(session.df, first={"_until": F.when(wide, F.col("date"))})
+    log = session.before(log, total={"_stretch": wide.cast("int")})
     own = log.where("yellow or sector_clear").select(
-        "session_key", "yellow_key", "date", "message_id", "is_end", "yellow", F.col("sector_clear").alias("clears")
+        "session_key", "yellow_key", "_stretch", "date", "message_id", "yellow", "sector_clear", "_until"
     )
-    keys = own.where("yellow").select("session_key", "yellow_key").distinct()
-    shared = (
-        log.where("track_clear or is_end")
-        .select("session_key", "date", "message_id", "is_end")
-        .join(keys, "session_key")
-        .select("session_key", "yellow_key", "date", "message_id", "is_end", F.lit(False).alias("yellow"), F.lit(True).alias("clears"))
-    )
-    both = own.unionByName(shared)
-    groups = OrderedGroups(both, ["session_key", "yellow_key"], ["is_end", "date", "message_id"], split)
-    return _periods(groups.df, groups, F.col("yellow"), F.col("clears"), YELLOW).drop("yellow_key")
+    sector = OrderedGroups(own, ["session_key", "yellow_key", "_stretch"], ["date", "message_id"], split)
+    known = sector.before(sector.df, last={"_open": _on_off(F.col("yellow"), F.col("sector_clear"))})
+    known = sector.after(known, first={"_cleared": F.when(F.col("sector_clear"), F.col("date"))})
+    begins = F.col("yellow") & ~F.coalesce(F.col("_open"), F.lit(False))
+    return known.where(begins).select(
+        "session_key", F.col("date").alias("start"), F.coalesce("_cleared", "_until").alias("end"), F.lit(YELLOW).alias("code")
+    ).where("end is not null")
 
 
 def _sweep(edges: DataFrame, keys: list[str], active: Column, split: bool) -> DataFrame:
@@ -167,40 +172,58 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / 1_000_000
 
 
-def overlap_join(laps: DataFrame, spans: DataFrame, keys: list[str], bucket_s: int = 300) -> DataFrame:
-    """Lap x span pairs with a strictly positive overlap, as an equi-join on time buckets.
-
-    Both sides go to every bucket they touch; a pair is kept only in the first bucket the two
-    share, so it appears once. Spans of one code should be merged before (a lap then meets a
-    handful of them). ``laps``: keys, lap_start, lap_end. Adds span_code, overlap_s.
-    """
+ANY = "any"
 
-    def bucket(column: str) -> Column:
-        return F.floor(F.unix_micros(column) / (1_000_000 * bucket_s))
 
-    left = laps.where(F.col("lap_start") < F.col("lap_end")).withColumn(
-        "_bucket", F.explode(F.sequence(bucket("lap_start"), bucket("lap_end")))
-    )
-    right = spans.where(F.col("start") < F.col("end")).select(
-        *keys, F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("code").alias("span_code"),
-        F.explode(F.sequence(bucket("start"), bucket("end"))).alias("_bucket"),
-    )
-    first_shared = F.greatest(bucket("lap_start"), bucket("_start"))
-    return (
-        left.join(right, [*keys, "_bucket"])
-        .where((F.col("_start") < F.col("lap_end")) & (F.col("lap_start") < F.col("_end")) & (F.col("_bucket") == first_shared))
-        .withColumn("overlap_s", seconds_between(F.greatest("lap_start", "_start"), F.least("lap_end", "_end")))
-        .drop("_start", "_end", "_bucket")
-    )
+def _span_steps(spans: DataFrame, keys: list[str], codes: list[str]) -> DataFrame:
+    """Two rows per span: how it changes the number of open spans of every code at its ends."""
+    edges = _edges(spans.select(*keys, "start", "end", "code"), [*keys, "code"], "up")
+    steps = [F.col("up") if c == ANY else F.when(F.col("code") == c, F.col("up")).otherwise(0) for c in codes]
+    known = edges if ANY in codes else edges.where(F.col("code").isin(codes))
+    return known.select(*keys, F.col("at").alias("_at"), *[s.alias(f"_step{i}") for i, s in enumerate(steps)]).dropna(subset=keys)
 
 
-ANY = "any"
+def _covered_until(rows: DataFrame, steps: DataFrame, keys: list[str], time: str, codes: list[str], out: str, split: bool) -> DataFrame:
+    """Per row, the microseconds up to ``time`` that spans of each code cover: a running sum over
+    one log of span ends and rows. Equal times add nothing, so their order is free."""
+    numbers = range(len(codes))
+    points = rows.select(
+        *keys, F.col(time).alias("_at"), *[F.lit(0).alias(f"_step{i}") for i in numbers], F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    )
+    every = points.unionByName(steps.withColumn("_row", F.lit(None).cast(points.schema["_row"].dataType)))
+    groups = OrderedGroups(every, keys, ["_at"], split)
+    level = groups.before(groups.df, last={"_was": F.unix_micros("_at")}, total={f"_open{i}": F.col(f"_step{i}") for i in numbers})
+    since = F.unix_micros("_at") - F.col("_was")
+    level = level.withColumns({f"_gain{i}": F.when(F.col(f"_open{i}") > 0, since).otherwise(0) for i in numbers})
+    done = groups.before(level, total={f"_sum{i}": F.col(f"_gain{i}") for i in numbers})
+    return done.where(F.col("_row").isNotNull()).select("_row.*", *[(F.col(f"_sum{i}") + F.col(f"_gain{i}")).alias(f"{out}{i}") for i in numbers])
+
+
+def covered_by_code(laps: DataFrame, spans: DataFrame, keys: list[str], codes: list[str], split: bool = False) -> DataFrame:
+    """Laps with ``_covered``: (span_code, overlap_s) of every listed code whose spans overlap the
+    lap by a positive time, in the order of ``codes``; the code ``any`` stands for all spans together.
+
+    The covered time C(t) of a code is a running sum over the key's log, looked up at the lap's
+    start and end; the overlap is the difference. A span or lap of any length is two rows, and
+    spans need no merging. Spans without a key, without length or with missing times cover
+    nothing; laps like that are kept with an empty list. ``split`` for keys with very long logs.
+    """
+    steps = _span_steps(spans, keys, codes)
+    looked = _covered_until(laps, steps, keys, "lap_start", codes, "_before", split)
+    looked = _covered_until(looked, steps, keys, "lap_end", codes, "_after", split)
+    usable = F.coalesce(F.col("lap_start") < F.col("lap_end"), F.lit(False))
+    entries = []
+    for i, code in enumerate(codes):
+        micros = F.when(usable, F.col(f"_after{i}") - F.col(f"_before{i}"))
+        entries.append(F.when(micros > 0, F.struct(F.lit(code).alias("span_code"), (micros / 1_000_000).alias("overlap_s"))))
+    return looked.select(*[F.col(f"`{c}`") for c in laps.columns], F.array_compact(F.array(*entries)).alias("_covered"))
 
 
-def lap_spans(intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
-    """Merged spans per code, plus the union of all codes under the code ``any``."""
-    tagged = intervals.select(*keys, "start", "end", F.explode(F.array(F.col("code"), F.lit(ANY))).alias("code"))
-    return merge_intervals(tagged, [*keys, "code"], split)
+def overlap_join(laps: DataFrame, spans: DataFrame, keys: list[str], codes: list[str] = STATUS_ORDER, split: bool = False) -> DataFrame:
+    """One row per lap and code whose spans overlap it by a positive time, with span_code and
+    overlap_s, the seconds covered by at least one span of the code. ``laps``: keys, lap_start, lap_end."""
+    met = covered_by_code(laps, spans, keys, codes, split).withColumn("_met", F.explode("_covered"))
+    return met.select(*[F.col(f"`{c}`") for c in laps.columns], "_met.span_code", "_met.overlap_s")
 
 
 def union_length(intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
@@ -209,19 +232,14 @@ def union_length(intervals: DataFrame, keys: list[str], split: bool = False) ->
     return merged.groupBy(*keys).agg(F.sum(seconds_between("start", "end")).alias("covered_s"))
 
 
-def lap_track_status(laps: DataFrame, intervals: DataFrame, lap_keys: list[str], split: bool = False,
-                     keys: tuple[str, ...] = ("session_key",)) -> DataFrame:
+def lap_track_status(laps: DataFrame, intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
     """Status text per lap: all codes met, with ``1`` when part of the lap was clear."""
-    pairs = overlap_join(laps.select(*lap_keys, "lap_start", "lap_end"), lap_spans(intervals, list(keys), split), list(keys))
-    met = pairs.groupBy(*lap_keys).agg(
-        F.collect_set(F.when(F.col("span_code") != ANY, F.col("span_code"))).alias("_codes"),
-        F.sum(F.when(F.col("span_code") == ANY, F.col("overlap_s"))).alias("_covered"),
-    )
-    out = laps.join(met, lap_keys, "left")
+    met = covered_by_code(laps, intervals, keys, [*STATUS_ORDER, ANY], split)
+    total = F.get(F.filter("_covered", lambda m: m["span_code"] == ANY), F.lit(0))["overlap_s"]
     length = seconds_between("lap_start", "lap_end")
     # Without a usable length the lap counts as partly clear.
-    partly_clear = F.coalesce(F.col("_covered") < length - CLEAR_TRACK_SLACK_S, F.lit(True))
-    codes = F.coalesce(F.col("_codes"), F.array().cast("array<string>"))
+    partly_clear = F.coalesce(total < length - CLEAR_TRACK_SLACK_S, F.lit(True))
+    codes = F.transform("_covered", lambda m: m["span_code"])
     order = F.array(*[F.lit(c) for c in STATUS_ORDER])
     listed = F.filter(order, lambda c: F.array_contains(codes, c) | ((c == "1") & partly_clear))
-    return out.withColumn("track_status", F.array_join(listed, "")).drop("_codes", "_covered")
+    return met.withColumn("track_status", F.array_join(listed, "")).drop("_covered")

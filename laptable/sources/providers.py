@@ -210,7 +210,7 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool = False) -> Da
     laps = laps.withColumns(weather_defaults())
     messages = tables["race_control"].withColumn("date", timestamp("date"))
     intervals = track_status_intervals(messages, ends, split)
-    laps = lap_track_status(laps, intervals, [*who, "lap_number"], split)
+    laps = lap_track_status(laps, intervals, [key], split)
     laps = deleted_laps(laps, messages, split)
     laps = accuracy_rule(laps, who, split)
     drivers = tables["drivers"].groupBy(key, F.col("driver_number").try_cast("bigint").alias("driver_number")).agg(F.max(F.struct(F.col("name_acronym").alias("_code"), F.col("team_name").alias("team"))).alias("_entry")).select(*who, "_entry.*")

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from laptable.functions.groups import OrderedGroups
 from laptable.operators import intervals as iv
 
 T0 = dt.datetime(2024, 5, 1, 12, 0, 0)
@@ -158,6 +159,91 @@ def test_random_logs_against_the_simulation(spark):
 def test_only_positive_overlap_counts_and_spans_add_up(spark):
     laps = spark.createDataFrame([("s", 1, at(0), at(100)), ("s", 2, at(100), at(200)), ("s", 3, at(200), at(300)), ("s", 4, None, at(400))], "session_key string, lap int, lap_start timestamp, lap_end timestamp")
     spans = spark.createDataFrame([("s", at(50), at(100), "4"), ("s", at(200), at(260), "4"), ("s", at(260), at(300), "6")], "session_key string, start timestamp, end timestamp, code string")
-    rows = iv.lap_track_status(laps, spans, ["session_key", "lap"], False).orderBy("lap").collect()
+    rows = iv.lap_track_status(laps, spans, ["session_key"], False).orderBy("lap").collect()
     assert [r["track_status"] for r in rows] == ["14", "1", "46", "1"]
     assert iv.union_length(spans, ["session_key"], False).first()["covered_s"] == 150
+
+
+SPAN_COLUMNS = "session_key string, start timestamp, end timestamp, code string"
+LAP_COLUMNS = "session_key string, lap int, lap_start timestamp, lap_end timestamp"
+
+
+def test_coverage_by_code_against_brute_force(spark):
+    """Random overlapping spans and laps, with ties, repeated rows, missing keys and times, and odd lengths."""
+    rng = random.Random(4)
+
+    def moment():
+        return None if rng.random() < 0.04 else at(rng.randrange(0, 400, 4))
+
+    keys = ["a", "b", "c", None]
+    spans = [(rng.choice(keys[:2] + [None]), moment(), moment(), rng.choice("245")) for _ in range(120)]
+    laps = [(rng.choice(keys), i, moment(), moment()) for i in range(80)]
+    laps += laps[:5] + [("a", 900, at(0), at(400)), ("b", 901, at(40), at(40))]
+
+    def seconds(key, low, high, codes):
+        inside = {x for k, s, e, c in spans if k is not None and k == key and c in codes and s and e and s < e
+                  for x in range(int((s - T0).total_seconds()), int((e - T0).total_seconds()))}
+        return len(inside & set(range(low, high)))
+
+    wanted = []
+    for key, lap, start, end in laps:
+        if start and end and start < end:
+            low, high = int((start - T0).total_seconds()), int((end - T0).total_seconds())
+            found = {c: seconds(key, low, high, codes) for c, codes in (("2", "2"), ("5", "5"), (iv.ANY, "245"))}
+            wanted += [(key, lap, c, float(n)) for c, n in found.items() if n]
+    lap_table, span_table = spark.createDataFrame(laps, LAP_COLUMNS), spark.createDataFrame(spans, SPAN_COLUMNS)
+    for split in (False, True):
+        got = iv.overlap_join(lap_table, span_table, ["session_key"], ["2", "5", iv.ANY], split)
+        rows = [tuple(r) for r in got.select("session_key", "lap", "span_code", "overlap_s").collect()]
+        assert sorted(rows, key=repr) == sorted(wanted, key=repr)
+        status = iv.lap_track_status(lap_table, span_table, ["session_key"], split)
+        assert status.columns == [*lap_table.columns, "track_status"] and status.count() == len(laps)
+
+
+def test_very_long_spans_and_laps_are_two_rows_each(spark):
+    decade = 10 * 365 * 86_400
+    spans = spark.createDataFrame([("s", at(-decade), at(decade), "4"), ("s", at(10), at(20), "6")], SPAN_COLUMNS)
+    laps = spark.createDataFrame([("s", 1, at(0), at(15)), ("s", 2, at(-decade), at(15)), ("s", 3, at(-2 * decade), at(30))], LAP_COLUMNS)
+    steps = iv._span_steps(spans, ["session_key"], ["4", "6"])
+    assert steps.count() == 4
+    got = {(r["lap"], r["span_code"]): r["overlap_s"] for r in iv.overlap_join(laps, spans, ["session_key"]).collect()}
+    assert got == {(1, "4"): 15.0, (1, "6"): 5.0, (2, "4"): decade + 15.0, (2, "6"): 5.0, (3, "4"): decade + 30.0, (3, "6"): 10.0}
+    statuses = [r["track_status"] for r in iv.lap_track_status(laps, spans, ["session_key"]).orderBy("lap").collect()]
+    assert statuses == ["46", "46", "146"]
+
+
+def test_without_spans_every_lap_is_clear(spark):
+    laps = spark.createDataFrame([("s", 1, at(0), at(0.2)), (None, 2, at(0), at(90)), ("s", 3, None, None)], LAP_COLUMNS)
+    none = spark.createDataFrame([], SPAN_COLUMNS)
+    assert {r["track_status"] for r in iv.lap_track_status(laps, none, ["session_key"]).collect()} == {"1"}
+    assert iv.overlap_join(laps, none, ["session_key"]).count() == 0
+
+
+def test_many_clears_and_sectors_in_one_session(spark):
+    """100,000 track-wide clears and 40 sectors: each yellow finds its own end, no clear is copied to the sectors."""
+    n = 100_000
+    step = F.col("id")
+    clears = spark.range(n).select(
+        F.lit("s").alias("session_key"), F.timestamp_seconds(F.unix_timestamp(F.lit(at(0))) + step * 10).alias("date"), (step * 2).alias("message_id"),
+        F.lit("Flag").alias("category"), F.lit("GREEN").alias("flag"), F.lit("Track").alias("scope"), F.lit(None).cast("int").alias("sector"), F.lit("").alias("message"),
+    )
+    yellows = clears.where("message_id % 2000 = 0").withColumns({
+        "date": F.col("date") + F.expr("interval 3 seconds"), "message_id": F.col("message_id") + 1, "flag": F.lit("YELLOW"), "scope": F.lit("Sector"),
+        "sector": (F.col("message_id") / 2000 % 40).cast("int"),
+    })
+    ends = spark.createDataFrame([("s", at(n * 10))], "session_key string, session_end timestamp")
+    for split in (False, True):
+        found = iv.track_status_intervals(clears.unionByName(yellows), ends, split)
+        lengths = found.groupBy("code", iv.seconds_between("start", "end").alias("s")).count().collect()
+        assert [(r["code"], r["s"], r["count"]) for r in lengths] == [("2", 7.0, 100)]
+
+
+def test_next_value_of_a_split_group_equals_the_window(spark):
+    rows = [(("a" if i % 5 else None), i, i * 10 if i % 7 == 0 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    out = []
+    for split in (False, True):
+        groups = OrderedGroups(df, ["k"], ["i"], split, 6)
+        out.append(sorted(((r["i"], r["nxt"]) for r in groups.after(groups.df, first={"nxt": F.col("v")}).collect())))
+    later = {i: next((v for k2, j, v in rows if k2 == k and j > i and v is not None), None) for k, i, _ in rows}
+    assert out[0] == out[1] == sorted(later.items())
