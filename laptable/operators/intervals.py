@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laptable.functions.groups import OrderedGroups
+from laptable.functions.groups import OrderedGroups, join_on
 
 # --- Fixed values: status codes in the order a status text lists them --------------------
 STATUS_ORDER = ["1", "2", "4", "5", "6", "7"]
@@ -183,47 +183,48 @@ def _span_steps(spans: DataFrame, keys: list[str], codes: list[str]) -> DataFram
     return known.select(*keys, F.col("at").alias("_at"), *[s.alias(f"_step{i}") for i, s in enumerate(steps)]).dropna(subset=keys)
 
 
-def _covered_until(rows: DataFrame, steps: DataFrame, keys: list[str], time: str, codes: list[str], out: str, split: bool) -> DataFrame:
-    """Per row, the microseconds up to ``time`` that spans of each code cover: a running sum over
-    one log of span ends and rows. Equal times add nothing, so their order is free."""
-    numbers = range(len(codes))
-    points = rows.select(
-        *keys, F.col(time).alias("_at"), *[F.lit(0).alias(f"_step{i}") for i in numbers], F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+def covered_by_code(laps: DataFrame, spans: DataFrame, keys: list[str], codes: list[str], split: bool = False) -> DataFrame:
+    """Distinct laps with ``_copies``, how often each came, and ``_covered``: (span_code, overlap_s) of
+    every listed code whose spans overlap the lap by a positive time, in the order of ``codes``; the
+    code ``any`` stands for all spans together.
+
+    The covered time C(t) of a code is a running sum over one log per key, which holds the ends of
+    spans and of laps; a lap's overlap is C at its end less C at its start. Equal times add nothing,
+    so their order is free. A span or lap of any length is two rows, and spans need no merging.
+    Spans without a key, without length or with missing times cover nothing; laps like that are
+    kept with an empty list. ``split`` for keys with very long logs.
+    """
+    numbers, columns = range(len(codes)), [F.col(f"`{c}`") for c in laps.columns]
+    ends = F.explode(F.array(F.struct(F.col("lap_start").alias("at"), F.lit(False).alias("is_end")), F.struct(F.col("lap_end").alias("at"), F.lit(True).alias("is_end"))))
+    points = laps.select(*columns, ends.alias("_point")).select(
+        *columns, F.col("_point.at").alias("_at"), F.col("_point.is_end").alias("_is_end"), *[F.lit(0).alias(f"_step{i}") for i in numbers]
     )
-    every = points.unionByName(steps.withColumn("_row", F.lit(None).cast(points.schema["_row"].dataType)))
-    groups = OrderedGroups(every, keys, ["_at"], split)
+    groups = OrderedGroups(points.unionByName(_span_steps(spans, keys, codes), allowMissingColumns=True), keys, ["_at"], split)
     level = groups.before(groups.df, last={"_was": F.unix_micros("_at")}, total={f"_open{i}": F.col(f"_step{i}") for i in numbers})
     since = F.unix_micros("_at") - F.col("_was")
     level = level.withColumns({f"_gain{i}": F.when(F.col(f"_open{i}") > 0, since).otherwise(0) for i in numbers})
-    done = groups.before(level, total={f"_sum{i}": F.col(f"_gain{i}") for i in numbers})
-    return done.where(F.col("_row").isNotNull()).select("_row.*", *[(F.col(f"_sum{i}") + F.col(f"_gain{i}")).alias(f"{out}{i}") for i in numbers])
+    done = groups.before(level, total={f"_sum{i}": F.col(f"_gain{i}") for i in numbers}).where(F.col("_is_end").isNotNull())
 
+    def until(i: int, is_end: bool) -> Column:
+        return F.max(F.when(F.col("_is_end") == is_end, F.col(f"_sum{i}") + F.col(f"_gain{i}")))
 
-def covered_by_code(laps: DataFrame, spans: DataFrame, keys: list[str], codes: list[str], split: bool = False) -> DataFrame:
-    """Laps with ``_covered``: (span_code, overlap_s) of every listed code whose spans overlap the
-    lap by a positive time, in the order of ``codes``; the code ``any`` stands for all spans together.
-
-    The covered time C(t) of a code is a running sum over the key's log, looked up at the lap's
-    start and end; the overlap is the difference. A span or lap of any length is two rows, and
-    spans need no merging. Spans without a key, without length or with missing times cover
-    nothing; laps like that are kept with an empty list. ``split`` for keys with very long logs.
-    """
-    steps = _span_steps(spans, keys, codes)
-    looked = _covered_until(laps, steps, keys, "lap_start", codes, "_before", split)
-    looked = _covered_until(looked, steps, keys, "lap_end", codes, "_after", split)
-    usable = F.coalesce(F.col("lap_start") < F.col("lap_end"), F.lit(False))
-    entries = []
-    for i, code in enumerate(codes):
-        micros = F.when(usable, F.col(f"_after{i}") - F.col(f"_before{i}"))
-        entries.append(F.when(micros > 0, F.struct(F.lit(code).alias("span_code"), (micros / 1_000_000).alias("overlap_s"))))
-    return looked.select(*[F.col(f"`{c}`") for c in laps.columns], F.array_compact(F.array(*entries)).alias("_covered"))
+    # The rows are already together by key, so this needs no shuffle of its own.
+    met = done.groupBy(*columns).agg(*[(until(i, True) - until(i, False)).alias(f"_met{i}") for i in numbers], F.count_if(~F.col("_is_end")).alias("_copies"))
+    usable = F.col("lap_start") < F.col("lap_end")
+    entries = [
+        F.when(usable & (F.col(f"_met{i}") > 0), F.struct(F.lit(code).alias("span_code"), (F.col(f"_met{i}") / 1_000_000).alias("overlap_s")))
+        for i, code in enumerate(codes)
+    ]
+    return met.select(*columns, "_copies", F.array_compact(F.array(*entries)).alias("_covered"))
 
 
 def overlap_join(laps: DataFrame, spans: DataFrame, keys: list[str], codes: list[str] = STATUS_ORDER, split: bool = False) -> DataFrame:
     """One row per lap and code whose spans overlap it by a positive time, with span_code and
-    overlap_s, the seconds covered by at least one span of the code. ``laps``: keys, lap_start, lap_end."""
+    overlap_s, the seconds covered by at least one span of the code. ``laps``: keys, lap_start,
+    lap_end and any other columns that can be grouped; repeated laps stay as often as they came."""
     met = covered_by_code(laps, spans, keys, codes, split).withColumn("_met", F.explode("_covered"))
-    return met.select(*[F.col(f"`{c}`") for c in laps.columns], "_met.span_code", "_met.overlap_s")
+    copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select(*[F.col(f"`{c}`") for c in laps.columns], "_met.span_code", "_met.overlap_s")
 
 
 def union_length(intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
@@ -232,9 +233,12 @@ def union_length(intervals: DataFrame, keys: list[str], split: bool = False) ->
     return merged.groupBy(*keys).agg(F.sum(seconds_between("start", "end")).alias("covered_s"))
 
 
-def lap_track_status(laps: DataFrame, intervals: DataFrame, keys: list[str], split: bool = False) -> DataFrame:
+def lap_track_status(laps: DataFrame, intervals: DataFrame, lap_keys: list[str], split: bool = False,
+                     keys: tuple[str, ...] = ("session_key",)) -> DataFrame:
     """Status text per lap: all codes met, with ``1`` when part of the lap was clear."""
-    met = covered_by_code(laps, intervals, keys, [*STATUS_ORDER, ANY], split)
+    lap = list(dict.fromkeys([*lap_keys, *keys, "lap_start", "lap_end"]))
+    met = covered_by_code(laps.select(*lap), intervals, list(keys), [*STATUS_ORDER, ANY], split)
+    out = join_on(laps, met.drop("_copies"), lap)
     total = F.get(F.filter("_covered", lambda m: m["span_code"] == ANY), F.lit(0))["overlap_s"]
     length = seconds_between("lap_start", "lap_end")
     # Without a usable length the lap counts as partly clear.
@@ -242,4 +246,4 @@ def lap_track_status(laps: DataFrame, intervals: DataFrame, keys: list[str], spl
     codes = F.transform("_covered", lambda m: m["span_code"])
     order = F.array(*[F.lit(c) for c in STATUS_ORDER])
     listed = F.filter(order, lambda c: F.array_contains(codes, c) | ((c == "1") & partly_clear))
-    return met.withColumn("track_status", F.array_join(listed, "")).drop("_covered")
+    return out.withColumn("track_status", F.array_join(listed, "")).drop("_covered")

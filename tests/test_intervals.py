@@ -159,7 +159,7 @@ def test_random_logs_against_the_simulation(spark):
 def test_only_positive_overlap_counts_and_spans_add_up(spark):
     laps = spark.createDataFrame([("s", 1, at(0), at(100)), ("s", 2, at(100), at(200)), ("s", 3, at(200), at(300)), ("s", 4, None, at(400))], "session_key string, lap int, lap_start timestamp, lap_end timestamp")
     spans = spark.createDataFrame([("s", at(50), at(100), "4"), ("s", at(200), at(260), "4"), ("s", at(260), at(300), "6")], "session_key string, start timestamp, end timestamp, code string")
-    rows = iv.lap_track_status(laps, spans, ["session_key"], False).orderBy("lap").collect()
+    rows = iv.lap_track_status(laps, spans, ["session_key", "lap"], False).orderBy("lap").collect()
     assert [r["track_status"] for r in rows] == ["14", "1", "46", "1"]
     assert iv.union_length(spans, ["session_key"], False).first()["covered_s"] == 150
 
@@ -196,7 +196,7 @@ def test_coverage_by_code_against_brute_force(spark):
         got = iv.overlap_join(lap_table, span_table, ["session_key"], ["2", "5", iv.ANY], split)
         rows = [tuple(r) for r in got.select("session_key", "lap", "span_code", "overlap_s").collect()]
         assert sorted(rows, key=repr) == sorted(wanted, key=repr)
-        status = iv.lap_track_status(lap_table, span_table, ["session_key"], split)
+        status = iv.lap_track_status(lap_table, span_table, ["session_key", "lap"], split)
         assert status.columns == [*lap_table.columns, "track_status"] and status.count() == len(laps)
 
 
@@ -208,14 +208,14 @@ def test_very_long_spans_and_laps_are_two_rows_each(spark):
     assert steps.count() == 4
     got = {(r["lap"], r["span_code"]): r["overlap_s"] for r in iv.overlap_join(laps, spans, ["session_key"]).collect()}
     assert got == {(1, "4"): 15.0, (1, "6"): 5.0, (2, "4"): decade + 15.0, (2, "6"): 5.0, (3, "4"): decade + 30.0, (3, "6"): 10.0}
-    statuses = [r["track_status"] for r in iv.lap_track_status(laps, spans, ["session_key"]).orderBy("lap").collect()]
+    statuses = [r["track_status"] for r in iv.lap_track_status(laps, spans, ["session_key", "lap"]).orderBy("lap").collect()]
     assert statuses == ["46", "46", "146"]
 
 
 def test_without_spans_every_lap_is_clear(spark):
     laps = spark.createDataFrame([("s", 1, at(0), at(0.2)), (None, 2, at(0), at(90)), ("s", 3, None, None)], LAP_COLUMNS)
     none = spark.createDataFrame([], SPAN_COLUMNS)
-    assert {r["track_status"] for r in iv.lap_track_status(laps, none, ["session_key"]).collect()} == {"1"}
+    assert {r["track_status"] for r in iv.lap_track_status(laps, none, ["session_key", "lap"]).collect()} == {"1"}
     assert iv.overlap_join(laps, none, ["session_key"]).count() == 0
 
 
