@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from laptable.session import cut_lineage
 
-#: Slices of a unit of value in which percentiles of unbounded groups first look for their ranks.
-VALUE_SLICES = 64
+#: Percentiles of unbounded groups first look for their ranks in 2 ** SLICE_BITS slices of distinct values.
+SLICE_BITS = 10
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -163,13 +163,30 @@ class OrderedGroups:
         return df.drop("_chunk", "_content", "_copy")
 
 
+def _sliced(counted: DataFrame, group: list[str], value: str, one_group: bool) -> DataFrame:
+    """Add ``_slice``, the number of the group's sketched bounds below the value, by bisection."""
+    slices = 2**SLICE_BITS
+    shares = F.expr(f"array({', '.join(f'{i / slices}D' for i in range(1, slices))})")
+    bounds = counted.groupBy(*group).agg(F.percentile_approx(value, shares, 10 * slices).alias("_bounds"))
+    steps = F.array(*[F.lit(2**k) for k in reversed(range(SLICE_BITS))])
+
+    def further(at: Column, step: Column) -> Column:
+        return at + F.when(F.get("_bounds", at + step - 1) < F.col(value), step).otherwise(0)
+
+    joined = join_on(counted, F.broadcast(bounds) if one_group else bounds, group, "inner")
+    return joined.withColumn("_slice", F.aggregate(steps, F.lit(0), further)).drop("_bounds")
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
                 split: bool = False) -> DataFrame:
     """Exact linear-interpolation percentiles of ``value`` per group (nulls ignored).
 
     Without keys the whole table is one group and the result has one row, also when the table is
-    empty. With ``split=True`` equal values are counted first, the wanted ranks are found among
-    counts per slice of the value range, and only the slices that hold one are ordered.
+    empty. With ``split=True`` equal values are counted first and cut into slices of about as many
+    distinct values each, at bounds from a mergeable quantile sketch per group, so neither the
+    range of the values nor their crowding matters. The wanted ranks are found among the slices'
+    counts, and only the slices that hold one are ordered. The sketch decides where the cuts lie,
+    never the result.
     """
     present = df.where(F.col(value).isNotNull())
     if not split:
@@ -177,10 +194,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
             *[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()]
         )
     group = keys or ["_all"]
-    place = F.floor(F.col(value).cast("double") * VALUE_SLICES)
     counted = (present if keys else present.withColumn("_all", F.lit(0))).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("_n")
-    ).withColumn("_slice", place)
+    )
+    counted = _sliced(counted, group, value, one_group=not keys)
     slices = Window.partitionBy(*group).orderBy("_slice")
     past = slices.rowsBetween(Window.unboundedPreceding, -1)
     sized = counted.groupBy(*group, "_slice").agg(F.sum("_n").alias("_in")).withColumns(

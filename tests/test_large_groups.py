@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.adapter import laps
 from checks.stream_queries import kind, messages, session_ends, spans
 from checks.stream_queries import q_open as open_laps
-from laptable.functions.groups import OrderedGroups, percentiles
+from laptable.functions.groups import OrderedGroups, _sliced, percentiles
 from laptable.operators import features as feat
 from laptable.operators import intervals as iv
 from laptable.operators import timed_joins, windows
@@ -136,3 +136,19 @@ def test_percentile_plans_agree_to_the_bit(spark):
     df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(rng.normal(0, 3, 999))], "g int, v double")
     plans = [rows_of(percentiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}, split)) for split in (False, True)]
     assert plans[0] == plans[1]
+
+
+def test_percentile_slices_follow_the_values_not_their_range(spark):
+    """Values over a range of 10^12, most of them crowded together: slices stay small, and results equal Spark's own to the bit."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(80, 1e-4, 6000), 10.0 ** rng.uniform(-6, 12, 3000), -(10.0 ** rng.uniform(0, 12, 1000))])
+    df = spark.createDataFrame([(("a", "b", None)[i % 3], float(v)) for i, v in enumerate(values)] + [("tie", 5.0)] * 500, "g string, v double")
+    points = {"p0": 0.0, "p2": 0.025, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    for keys in (["g"], []):
+        plans = [rows_of(percentiles(df, keys, "v", points, split)) for split in (False, True)]
+        assert plans[0] == plans[1]
+    counted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _sliced(counted, ["g"], "v", False).groupBy("g", "_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 16
+    whole = df.select(F.col("v").cast("decimal(30,6)").alias("v"))
+    assert percentiles(whole, [], "v", {"m": 0.5}, True).count() == 1
