@@ -457,7 +457,7 @@ def run_records(spark, folder):
     baseline = whole.agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(F.col("m").alias("validation"), F.col("m").alias("test"))))).alias("models")).select(F.lit("baselines").alias("artifact"), "models")
     previous = base.where("model = 'previous_lap'")
     events_ = metrics.regression_metrics(previous, ["event"]).select("event", F.struct(*names).alias("test"), F.struct(*names).alias("validation"))
-    drivers = metrics.regression_metrics(previous, ["event", "team"]).groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("team", F.struct(*names)))).alias("test_by_driver"))
+    drivers = metrics.regression_metrics(previous, ["event", "driver"]).groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("driver", F.struct(*names)))).alias("test_by_driver"))
     one = events_.join(drivers, "event").select(F.concat(F.lit("run_"), F.col("event")).alias("artifact"), F.col("event").alias("name"), "validation", "test", "test_by_driver", F.lit("forward-forward-local").alias("training_policy"))
     records = one.unionByName(baseline, allowMissingColumns=True)
     return records.withColumns({"model": F.lit(None).cast("string"), "data_source": F.lit("fastf1_timing"), "is_synthetic": F.lit(False), "created_utc": F.lit("2026-01-01"), "input_file": F.lit("laps")})
@@ -475,7 +475,7 @@ def q_flatten(spark, folder):
 
 @register(
     "driver_error_report",
-    f"{NAIVE}, e AS ({metric_sql('(SELECT * FROM naive WHERE model = ' + chr(39) + 'previous_lap' + chr(39) + ')', 'event, team')}) SELECT 'run_' || event AS artifact, event AS name, team AS driver, mae_s, \"rows\" FROM e",
+    f"{NAIVE}, e AS ({metric_sql('(SELECT * FROM naive WHERE model = ' + chr(39) + 'previous_lap' + chr(39) + ')', 'event, driver')}) SELECT 'run_' || event AS artifact, event AS name, driver, mae_s, \"rows\" FROM e",
 )
 def q_driver_report(spark, folder):
     return providers.driver_error_report(run_records(spark, folder)).select("artifact", "name", "driver", *m6("mae_s"), "rows")
