@@ -15,7 +15,7 @@ BROADCAST_ROWS = 100_000
 #: Lengths are summed in blocks of so many.
 BLOCK = 128
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut_lineage", "let", "read", "shared_folder", "sum_before", "text_or_empty"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut_lineage", "few_tasks", "let", "read", "shared_folder", "stored", "sum_before", "text_or_empty"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -48,3 +48,18 @@ def sum_before(lengths: Column, i: Column) -> Column:
     return let(blocks, lambda b: F.aggregate(F.slice(b, F.lit(1), whole), zero, add)) + F.aggregate(
         F.slice(lengths, whole * BLOCK + 1, i - whole * BLOCK), zero, add
     )
+
+
+#: Narrow rows that one task reads.
+TASK_ROWS = 200_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than its counted (or greatest possible) narrow rows are worth."""
+    return df.coalesce(1 + rows // TASK_ROWS)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Checkpointed narrow rows, counted, and read by as many tasks as they are worth."""
+    kept = cut_lineage(df)
+    return few_tasks(kept, kept.count())

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laptable.llm.common import cut_lineage
-
-#: Edges that one task reads.
-ROWS = 200_000
+from laptable.llm.common import cut_lineage, few_tasks
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -19,25 +16,26 @@ def _star(edges: DataFrame) -> DataFrame:
     return larger.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """``u > v`` in all edges: links the smaller neighbours of every node, and the node, to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     smaller = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return few_tasks(smaller.unionByName(least.select("u", F.col("m").alias("v"))), rows).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node of ``links`` (u, v) but the smallest ones.
 
     Each round is stored. Rounds grow with the logarithm of the longest path; groups are only ever reduced to a minimum.
+    Every step takes as many tasks as the counted edges are worth: few edges in many tasks would write mostly empty files.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = cut_lineage(edges), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return few_tasks(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), now[0])
         before = now
-        # Stored edges are read by as many tasks as their counted rows are worth.
-        edges = edges.coalesce(1 + now[0] // ROWS)
-        edges = cut_lineage(_small_star(_star(edges)))
+        # A star step gives at most one row per edge and one per node.
+        edges, most = few_tasks(edges, now[0]), 3 * now[0]
+        edges = cut_lineage(few_tasks(_small_star(few_tasks(_star(edges), most), most), most))

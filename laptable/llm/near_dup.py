@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laptable.llm.common import bounded_broadcast, cut_lineage
+from laptable.llm.common import bounded_broadcast, cut_lineage, stored
 from laptable.llm.components import components
 from laptable.llm.texthash import BASE, U, mix, numbers, shingle_sets
 from laptable.llm.tokens import slices
@@ -185,12 +185,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, mostly_links: bo
         side = lambda x: rows.toDF(x, *[f"{k}{x}" for k in ("x", "n")[: len(rows.columns) - 1]])
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    pairs = cut_lineage(pairs)
+    pairs = stored(pairs)
     if not mostly_links:
         used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         short = sets.join(used, "rep", "left_semi").mapInArrow(shortened, "rep long, short binary, n long")
-        pairs = cut_lineage(joined(pairs, short).mapInArrow(possible, "a long, b long"))
-    return cut_lineage(joined(pairs, sets).select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long"))
+        pairs = stored(joined(pairs, short).mapInArrow(possible, "a long, b long"))
+    return stored(joined(pairs, sets).select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long"))
 
 
 def _sketches(reps: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,7 +229,6 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                     two.append(np.maximum(rep[at], rep[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
 
-    members = cut_lineage(members)
     drawn = _sketches(members.select("rep").distinct(), sets)
     # Members of a key's largest component meet the others' blocks only, which have the lower numbers.
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
@@ -241,7 +240,7 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     own = F.when(is_main, others + of(mains)).otherwise(of(others))
     other = F.explode(F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1))
     known = classes.select("rep", "n_shingles", "signature").join(drawn, "rep")
-    dealt = cut_lineage(members.select("key", "rep", "comp", own.alias("own"), other.alias("other"))).join(known, "rep")
+    dealt = stored(members.select("key", "rep", "comp", own.alias("own"), other.alias("other"))).join(known, "rep")
     item = F.struct("rep", "comp", "n_shingles", "own", "signature", "sketch")
     groups = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(item).alias("group"))
     return groups.select("key", "group").where("size(group) > 1").mapInArrow(compare, "a long, b long")
@@ -251,7 +250,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, rep) of keys that hold several components, with theirs."""
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return cut_lineage(named.join(mixed, "key"))
+    return stored(named.join(mixed, "key"))
 
 
 def _rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -264,7 +263,7 @@ def _rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, links: Data
         centers = centers.select("key", F.col("m.rep").alias("center"), F.col("m.comp").alias("other"))
         chosen = members.join(centers, "key").where("comp <> other").groupBy("rep").agg(F.min(chance("center")).alias("m"))
         pairs = chosen.select(F.least("rep", "m.center").alias("a"), F.greatest("rep", "m.center").alias("b")).distinct()
-        pairs = cut_lineage(_near(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent))
+        pairs = stored(_near(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent))
         found = _confirmed(pairs, sets, percent)
         tested = tested.unionByName(pairs)
         if found.isEmpty():
@@ -289,9 +288,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
     #: The first class of a key that only two share is no more than the other one's partner.
-    members = cut_lineage(keys.join(shared, "key").where("rep <> center OR n > 2"))
+    members = stored(keys.join(shared, "key").where("rep <> center OR n > 2"))
     star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    star = cut_lineage(_near(star, classes, percent))
+    star = stored(_near(star, classes, percent))
     sets = _stored_sets(members.select("rep").union(star.select("a")), classes, known_docs, words)
     links = _confirmed(star, sets, percent)
     links, labels, mixed, tested = _rounds(members.where("n > 2").select("key", "rep"), classes, sets, links, star, percent)
