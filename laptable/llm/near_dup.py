@@ -10,9 +10,11 @@
    errors: at similarity 0.8 that is a chance of 3e-7.
 4. Classes that share a key are first compared with the smallest class of the key. Links that hold give components. Where a
    key still holds several, rounds follow with other centres, one pair a class and round, until a round finds no link (``ROUNDS``
-   at most; the blocks do what is left), and the components are taken anew. Members of keys that then still hold several components get a longer sketch of 4096 one-bit minima and are compared in blocks of
-   bounded size. Only pairs of different components come out whose sketches differ in at most 515 bits (beyond five
-   deviations at similarity 0.8), each under the first key it shares. No group is gathered and no pairs within a component
+   at most; the blocks do what is left), and the components are taken anew. Members of keys that then still hold several components are compared in blocks of
+   bounded size. There, sets of up to 256 shingles are compared by the lowest 16 bits of their hashes, which can only
+   overstate what two sets share; longer ones by a sketch of 4096 one-bit minima. Only pairs of different components come out that
+   these bits leave possible, or whose sketches differ in at most 515 bits (beyond five deviations at similarity 0.8), each
+   under the first key it shares. No group is gathered and no pairs within a component
    are made.
 5. Candidate pairs are confirmed by the intersection of the whole sets; components follow from the links. Texts are read again
    once, for the sets of all classes that share a key; sketches and confirmations use these stored sets.
@@ -42,6 +44,8 @@ SYMBOLS = CHUNKS * PER_CHUNK
 MOST_DIFFERING = 40
 #: Bits of a sketch, and in how many two sketches may differ (beyond five deviations at similarity 0.8).
 SKETCH, MOST_BITS = 4096, 515
+#: Sets of up to so many shingles are compared by 16 bits of each hash in place of a sketch of the same length.
+SHORT = SKETCH // 16
 #: Members of one key are compared in blocks of about so many; rounds of single centres before that.
 BLOCK, ROUNDS = 1024, 4
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
@@ -65,6 +69,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((mix(_minima(hashes, SKETCH)) >> U(32) & U(1)).astype(bool)).tobytes()
 
 
+def _short(items: bytes) -> np.ndarray:
+    """The different lowest 16 bits of a stored set."""
+    return np.unique(np.frombuffer(items, U).astype(SYMBOL))
+
+
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
     """Two sums of mixed hashes per set."""
     return [pa.array([int(mix(x + U(k)).sum(dtype=U).view(np.int64)) for x in sets], pa.int64()) for k in (11, 12)]
@@ -159,7 +168,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, mostly_links: bo
 
     def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [np.unique(np.frombuffer(x, U).astype(SYMBOL)).tobytes() for x in batch.column("items").to_pylist()]
+            short = [_short(x).tobytes() for x in batch.column("items").to_pylist()]
             sizes = [len(x) // 8 for x in batch.column("items").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(short, pa.binary()), pa.array(sizes, pa.int64())], names=["rep", "short", "n"])
 
@@ -193,15 +202,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, mostly_links: bo
     return stored(joined(pairs, sets).select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long"))
 
 
-def _sketches(reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored sketches of some classes."""
+def _sketches(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored sketches and short sets of some classes; both where partners of either kind are possible."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [sketch(np.frombuffer(x, U)) for x in batch.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bits, pa.binary())], names=["rep", "sketch"])
-
-    return cut_lineage(sets.join(reps, "rep", "left_semi").mapInArrow(draw, "rep long, sketch binary"))
+            items = batch.column("items").to_pylist()
+            bits = [sketch(np.frombuffer(x, U)) if 100 * (len(x) // 8) > percent * SHORT else None for x in items]
+            short = [_short(x).tobytes() if len(x) // 8 <= SHORT else None for x in items]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bits, pa.binary()), pa.array(short, pa.binary())], names=["rep", "sketch", "short"])
+
+    return cut_lineage(sets.join(reps, "rep", "left_semi").mapInArrow(draw, "rep long, sketch binary, short binary"))
+
+
+class _Sets:
+    """The short sets and sketches of a group's members, for comparisons of one with many."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list, shorts: list, percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.bits = np.frombuffer(b"".join(x or bytes(SKETCH // 8) for x in sketches), U).reshape(-1, SKETCH // 64)
+        self.lengths = np.array([len(x or b"") // 2 for x in shorts])
+        # Behind its end a row names a place of the table that is never marked.
+        self.items = np.full((len(shorts), SHORT), 1 << 16, np.uint32)
+        for row, x in zip(self.items, shorts, strict=True):
+            row[: len(x or b"") // 2] = np.frombuffer(x or b"", SYMBOL)
+        self.table = np.zeros((1 << 16) + 1, bool)
+
+    def possible(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Those of ``at`` that may be similar enough to ``i``."""
+        by_set = (self.lengths[at] > 0) & (self.lengths[i] > 0)
+        long, short = at[~by_set], at[by_set]
+        long = long[np.bitwise_count(self.bits[long] ^ self.bits[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS]
+        own = self.items[i, : self.lengths[i]]
+        self.table[own] = True
+        lost = np.minimum(self.sizes[i] - self.lengths[i], self.sizes[short] - self.lengths[short])
+        common = self.table[self.items[short]].sum(axis=1) + lost
+        self.table[own] = False
+        short = short[100 * common >= self.percent * (self.sizes[i] + self.sizes[short] - common)]
+        return np.concatenate([long, short])
 
 
 def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,7 +252,7 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                 rows = group.values.flatten()
                 rep, comp, size, block = (np.asarray(rows[k]) for k in (0, 1, 2, 3))
                 signs = np.frombuffer(b"".join(rows[4].to_pylist()), SYMBOL).reshape(-1, SYMBOLS)
-                bits = np.frombuffer(b"".join(rows[5].to_pylist()), U).reshape(-1, SKETCH // 64)
+                known = _Sets(size, rows[5].to_pylist(), rows[6].to_pylist(), percent)
                 own = keys_of(signs[:1])[0]
                 number = int(np.flatnonzero(own == np.array(key).astype(np.int64).view(U))[0])
                 blocks = np.unique(block)
@@ -222,14 +260,16 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                 for i in np.flatnonzero(block == blocks[0]):
                     with_ = right & (comp != comp[i]) & ((rep > rep[i]) | (len(blocks) > 1))
                     with_ &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+                    # Pairs equal in a whole chunk share all its keys, the first of which counts.
+                    with_ &= (signs[:, number] != signs[i, number]) | (number % PER_CHUNK == 0)
                     at = np.flatnonzero(with_)
-                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS]
                     at = at[_first_key(signs[i], signs[at]) == number]
+                    at = known.possible(i, at)
                     one.append(np.minimum(rep[at], rep[i]))
                     two.append(np.maximum(rep[at], rep[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
 
-    drawn = _sketches(members.select("rep").distinct(), sets)
+    drawn = _sketches(members.select("rep").distinct(), sets, percent)
     # Members of a key's largest component meet the others' blocks only, which have the lower numbers.
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"))
@@ -241,7 +281,7 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     other = F.explode(F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1))
     known = classes.select("rep", "n_shingles", "signature").join(drawn, "rep")
     dealt = stored(members.select("key", "rep", "comp", own.alias("own"), other.alias("other"))).join(known, "rep")
-    item = F.struct("rep", "comp", "n_shingles", "own", "signature", "sketch")
+    item = F.struct("rep", "comp", "n_shingles", "own", "signature", "sketch", "short")
     groups = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(item).alias("group"))
     return groups.select("key", "group").where("size(group) > 1").mapInArrow(compare, "a long, b long")
 

@@ -133,3 +133,34 @@ def test_components(spark):
 def test_query_covers_every_document(spark, documents):
     found = q.op6_near_dup(spark, SF)
     assert found.count() == documents.count() and found.where(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).isEmpty()
+
+
+def test_blocks_give_every_link_and_hardly_more(spark):
+    """Near copies around similarity 0.8: pairs that come out of the blocks, against all pairs of whole sets."""
+    rng = np.random.default_rng(5)
+    # Lengths on both sides of the bound up to which sets are compared by their own bits.
+    texts, lengths = [], (120, 230, 290)
+    for length in lengths:
+        base = [f"w{length}x{i}" for i in range(length)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.choice(length, length // 36 + rng.integers(2), replace=False):
+                words[at] = f"n{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = near_dup.cut_lineage(near_dup._signed(docs, 2).withColumnRenamed("doc_id", "rep").withColumn("doc_id", F.col("rep")))
+    keys = near_dup._keys(classes)
+    several = keys.groupBy("key").count().where("count > 1").select("key")
+    members = keys.join(several, "key").withColumn("comp", F.col("rep"))
+    sets = near_dup._stored_sets(members.select("rep"), classes, docs, 2)
+    pairs = near_dup._across(near_dup.cut_lineage(members), classes, sets, 80).collect()
+    shingles = [set(zip(w, w[1:])) for w in map(str.split, texts)]
+    share = lambda a, b: 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])
+    links = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if share(a, b)}
+    found = [(r["a"], r["b"]) for r in pairs]
+    assert len(found) == len(set(found)) and links <= set(found)
+    exact = [p for p in found if len(shingles[p[0]]) <= near_dup.SHORT and len(shingles[p[1]]) <= near_dup.SHORT]
+    assert len([p for p in exact if p not in links]) <= len(exact) // 50
+    # Both kinds of pairs are there.
+    together = sum(len(shingles[a] & shingles[b]) > 0 for a in range(len(texts)) for b in range(a + 1, len(texts)))
+    assert 100 < len(links) < together - 100
