@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from laptable.operators import features as feat
 from laptable.operators.lap_state import lap_state_flags, runs_of
 from laptable.operators.priors import history_prior, key_parts
 from laptable.schema import LAP_STATE, PRIOR_GROUPS, RAW_TARGET, TARGET
+from laptable.session import shared_folder
+from laptable.sources import readers
 
 KEYS = ["season", "event", "session", "driver", "lap_number"]
 KEY_SQL = "season, event, session, driver, lap_number"
@@ -58,6 +62,17 @@ def scan_laps(spark, folder):
     return laps(spark, folder).select(*SCAN, *r6("lap_time_s", "sector1_s", "sector2_s", "sector3_s"))
 
 
+@register("scan_laps_files", SQL["scan_laps"])
+def scan_laps_files(spark, folder):
+    """All laps written as parquet folders and as CSV, half of the seasons each, and read back by the library's reader."""
+    target = f"{shared_folder(spark)}/laps_{uuid.uuid4().hex}"
+    table = laps(spark, folder)
+    readers.write_laps(table.where("season % 2 = 0"), f"{target}/laps")
+    table.where("season % 2 <> 0").write.csv(f"{target}/laps.csv", header=True)
+    back = readers.scan_laps(spark, f"{target}/laps", f"{target}/laps.csv")
+    return back.select(*SCAN, *r6("lap_time_s", "sector1_s", "sector2_s", "sector3_s"))
+
+
 @register("lap_state_flags", f"WITH {LAPS}, {STATE} SELECT {KEY_SQL}, {', '.join(LAP_STATE)} FROM state")
 def q_lap_state(spark, folder):
     runs, df = flagged(spark, folder)
