@@ -46,8 +46,9 @@ class ProviderComparison:
         self.exclude_first_lap = exclude_first_lap
         left, right = (df.withColumns({"season": number("season").cast("int"), "lap_number": number("lap_number")}) for df in (left, right))
         seasons = left.select("season").distinct().intersect(right.select("season").distinct())
-        self.left = left.join(seasons, "season", "left_semi")
-        self.right = right.join(seasons, "season", "left_semi")
+        # A handful of seasons; without the broadcast each season's laps would meet in one task.
+        self.left = left.join(F.broadcast(seasons), "season", "left_semi")
+        self.right = right.join(F.broadcast(seasons), "season", "left_semi")
 
     def _complete(self) -> Column:
         out = F.lit(True)
