@@ -142,7 +142,7 @@ STATUS = f"{CONTROL}, {sweep('free', 'yellow', 'neutral', 'day')}, status AS (SE
 
 
 def status(spark, folder):
-    return iv.track_status_intervals(messages(spark, folder), session_ends(spark, folder))
+    return iv.track_status_intervals(messages(spark, folder), session_ends(spark, folder), split=True)  # a session's log has no bound here
 
 
 @register("track_status_intervals", f"WITH {STATUS} SELECT day AS session_key, epoch_us(s) AS start_us, epoch_us(e) AS end_us, code FROM status")
@@ -212,7 +212,7 @@ def q_overlap(spark, folder):
     "SELECT p.event_id, CASE WHEN covered IS NULL OR covered < (epoch_us(le) - epoch_us(ls)) / 1000000.0 - 0.5 THEN '1' ELSE '' END || coalesce(c, '') AS track_status FROM pl p LEFT JOIN codes USING (event_id) LEFT JOIN cov USING (event_id)",
 )
 def q_lap_status(spark, folder):
-    out = iv.lap_track_status(stream_laps(spark, folder), status(spark, folder), ["session_key", "event_id"])
+    out = iv.lap_track_status(stream_laps(spark, folder), status(spark, folder), ["session_key", "event_id"], split=True)
     return out.select("event_id", "track_status")
 
 
