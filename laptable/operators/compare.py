@@ -64,32 +64,38 @@ class ProviderComparison:
         shared = [c for c in [*TOLERANCES, *EXACT, "event"] if c in self.left.columns and c in self.right.columns]
         return [c for c in shared if c not in self.keys]
 
-    def _unique(self, df: DataFrame, side: str) -> DataFrame:
-        """One row per unambiguous key. A key of many copies collapses map-side."""
-        values = F.struct(*[F.col(c) for c in self._columns()])
-        return (
-            df.where(self._counted()).groupBy(*self.keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.any_value(values).alias(side))
-            .where("_n = 1").drop("_n")
-        )
+    def _sides(self, columns: list[str]) -> DataFrame:
+        """Both tables under each other: the keys, and a row's values of ``columns`` as ``l`` or ``r``, each side with its own types."""
+        sides = [df.select(*self.keys, F.struct(F.lit(True).alias("_in"), *[F.col(c) for c in columns]).alias(s)) for df, s in ((self.left, "l"), (self.right, "r"))]
+        return sides[0].unionByName(sides[1], allowMissingColumns=True)
 
     def merged(self) -> DataFrame:
-        return self._unique(self.left, "l").join(self._unique(self.right, "r"), self.keys, "full")
+        """Keys that one side at least has exactly once, with that side's values. Both sides share one aggregation, and a key of many
+        copies collapses map-side."""
+        rows = self._sides(self._columns()).where(self._counted())
+        keyed = rows.groupBy(*self.keys).agg(
+            *[F.count(s).alias(f"_n{s}") for s in ("l", "r")], *[F.any_value(s, ignoreNulls=True).alias(s) for s in ("l", "r")]
+        )
+        return keyed.where("_nl = 1 or _nr = 1").select(*self.keys, *[F.when(F.col(f"_n{s}") == 1, F.col(s)).alias(s) for s in ("l", "r")])
 
     def coverage(self) -> DataFrame:
-        """One row: laps per side, shared and one-sided laps, and what was left out."""
-        merged = self.merged().agg(
-            count_if(F.col("l").isNotNull()).alias("left_laps"), count_if(F.col("r").isNotNull()).alias("right_laps"),
-            count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("shared"),
-            count_if(F.col("r").isNull()).alias("left_only"), count_if(F.col("l").isNull()).alias("right_only"),
-        ).withColumn("_one", F.lit(1))
-        for side, df in (("left", self.left), ("right", self.right)):
-            copies = df.where(self._counted()).groupBy(*self.keys).count().agg(
-                F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias(f"{side}_duplicate_key")
-            ).withColumn("_one", F.lit(1))
-            missing = df.agg(count_if(~self._complete()).alias(f"{side}_missing_key")).withColumn("_one", F.lit(1))
-            merged = merged.join(copies, "_one").join(missing, "_one")
-        return merged.drop("_one")
+        """One row: laps per side, shared and one-sided laps, and what was left out. Rows without a complete key are one group."""
+        complete = self._complete()
+        rows = self._sides([]).where(self._counted() | ~complete).select(*[F.when(complete, F.col(k)).alias(k) for k in self.keys], "l", "r")
+        keyed = rows.groupBy(*self.keys).agg(F.count("l").alias("_nl"), F.count("r").alias("_nr"))
+        left, right = complete & (F.col("_nl") == 1), complete & (F.col("_nr") == 1)
+
+        def total(condition: Column, rows: str) -> Column:
+            return F.coalesce(F.sum(F.when(condition, F.col(rows))), F.lit(0))
+
+        left_out = [
+            (f"{side}_{what}", total(condition(n), n)) for side, n in (("left", "_nl"), ("right", "_nr"))
+            for what, condition in (("duplicate_key", lambda n: complete & (F.col(n) > 1)), ("missing_key", lambda n: ~complete))
+        ]
+        return keyed.agg(
+            count_if(left).alias("left_laps"), count_if(right).alias("right_laps"), count_if(left & right).alias("shared"),
+            count_if(left & ~right).alias("left_only"), count_if(right & ~left).alias("right_only"), *[c.alias(name) for name, c in left_out],
+        )
 
     def agreement(self) -> DataFrame:
         """Per shared column: rows with both values and the share that agrees. One pass."""
