@@ -10,6 +10,7 @@ from checks.report_queries import NAIVE, OFF_TIE, m6, metric_sql, naive
 from laptable.operators import intervals as iv
 from laptable.operators import metrics, timed_joins
 from laptable.schema import LAP_VALIDITY_VERSION
+from laptable.session import stored
 from laptable.sources import providers, readers
 
 QUERIES, SQL = {}, {}
@@ -272,7 +273,8 @@ def q_deleted(spark, folder):
 
 @register("openf1_session_laps")
 def q_open(spark, folder):
-    df = keyed(spark, folder)
+    landed = keyed(spark, folder)
+    df = stored(landed)  # seven tables are made of it; weather samples of one instant keep the order they are derived in
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     who = ["session_key", "driver_number"]
     sessions = df.groupBy("session_key", F.col("season").alias("year"), "round_number", F.col("event").alias("meeting_name"), F.col("circuit").alias("location"), "event_date").agg(F.max("lap_start").alias("_last"))
@@ -283,7 +285,7 @@ def q_open(spark, folder):
         "stints": stint_rows(df),
         "pit": df.where("pit_in").select(*who, "lap_number"),
         "position": df.select(*who, text(F.col("lap_start") + F.expr("interval 45 seconds")).alias("date"), "position"),
-        "weather": df.where("src_part % 50 = 0").select("session_key", text("lap_start").alias("date"), F.col("air_temp_c").alias("air_temperature"), F.col("track_temp_c").alias("track_temperature"), F.col("humidity_pct").alias("humidity"), F.col("pressure_mbar").alias("pressure"), F.col("rainfall").cast("double").alias("rainfall"), F.col("wind_speed_ms").alias("wind_speed"), F.col("wind_direction_deg").alias("wind_direction")),
+        "weather": landed.where("src_part % 50 = 0").select("session_key", text("lap_start").alias("date"), F.col("air_temp_c").alias("air_temperature"), F.col("track_temp_c").alias("track_temperature"), F.col("humidity_pct").alias("humidity"), F.col("pressure_mbar").alias("pressure"), F.col("rainfall").cast("double").alias("rainfall"), F.col("wind_speed_ms").alias("wind_speed"), F.col("wind_direction_deg").alias("wind_direction")),
         "race_control": steward_messages(df).select("session_key", text("date").alias("date"), "message_id", "message", F.lit("Other").alias("category"), F.lit(None).cast("string").alias("flag"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("int").alias("sector")).unionByName(
             df.where("src_part % 97 < 10").select("session_key", text("lap_start").alias("date"), F.col("src_order").alias("message_id"), F.when(F.col("src_part") % 97 < 3, "SAFETY CAR DEPLOYED").when(F.col("src_part") % 97 < 6, "SAFETY CAR IN THIS LAP").otherwise("").alias("message"),
                 F.when(F.col("src_part") % 97 < 6, "SafetyCar").otherwise("Flag").alias("category"), F.when(F.col("src_part") % 97 >= 6, "GREEN").alias("flag"), F.lit("Track").alias("scope"), F.lit(None).cast("int").alias("sector"))

@@ -69,8 +69,9 @@ def weather_defaults() -> dict[str, Column]:
     }
 
 
-def stint_range_join(laps: DataFrame, stints: DataFrame, keys: list[str], bucket_laps: int = 64) -> DataFrame:
-    """Stint of each lap; a later stint row wins where stints overlap.
+def stint_range_join(laps: DataFrame, stints: DataFrame, keys: list[str], bucket_laps: int = 64, source: DataFrame | None = None) -> DataFrame:
+    """Stint of each lap; a later stint row wins where stints overlap. ``source`` may be a cheaper table that holds at least the lap
+    numbers of ``laps``.
 
     An equi-join on (driver, block of laps) with the range as a residual filter. ``stints``:
     keys, stint_number, lap_start, lap_end, compound, tyre_age_at_start, stint_id (input order).
@@ -78,7 +79,7 @@ def stint_range_join(laps: DataFrame, stints: DataFrame, keys: list[str], bucket
     complete = stints.where(F.col("lap_start").isNotNull() & F.col("lap_end").isNotNull() & (F.col("lap_start") <= F.col("lap_end")))
     block = lambda c: F.floor(F.col(c) / bucket_laps)
     spread = complete.withColumn("_block", F.explode(F.sequence(block("lap_start"), block("lap_end"))))
-    numbers = laps.select(*keys, "lap_number").distinct().withColumn("_block", block("lap_number"))
+    numbers = (laps if source is None else source).select(*keys, "lap_number").distinct().withColumn("_block", block("lap_number"))
     best = (
         numbers.join(spread, [*keys, "_block"])
         .where(F.col("lap_number").between(F.col("lap_start"), F.col("lap_end")))
@@ -103,8 +104,8 @@ DELETED_LAP = r"CAR (\d+) \((\w{3})\) LAP DELETED.*?LAP (\d+)"
 DELETED_ANY = r"CAR (\d+) \((\w{3})\) (?:LAP|TIME [\d:.]+) DELETED"
 
 
-def deleted_laps(laps: DataFrame, messages: DataFrame, split: bool = False) -> DataFrame:
-    """Add ``deleted``. A message names the lap by its time, by its number, or by being issued
+def deleted_laps(laps: DataFrame, messages: DataFrame, split: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """Add ``deleted``. ``source`` may be a cheaper table with the keys and times of ``laps``. A message names the lap by its time, by its number, or by being issued
     while the lap was in progress, in that order. ``laps``: session_key, driver_number,
     lap_number, lap_time_s, lap_start; ``messages``: session_key, date, message_id, message."""
     text = F.col("message")
@@ -120,7 +121,7 @@ def deleted_laps(laps: DataFrame, messages: DataFrame, split: bool = False) -> D
     )
     keys = ["session_key", "driver_number"]
     laps = laps.withColumn("driver_number", F.col("driver_number").cast("bigint"))
-    key_laps = laps.select(*keys, "lap_number", "lap_time_s", "lap_start")
+    key_laps = (laps if source is None else source.withColumn("driver_number", F.col("driver_number").cast("bigint"))).select(*keys, "lap_number", "lap_time_s", "lap_start")
     # Lap times within the tolerance fall into the message's bucket or a neighbouring one.
     slot = lambda c: F.floor(F.col(c) / (2 * DELETED_TIME_TOLERANCE_S))
     near = found.where("how = 'time'").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from laptable.functions.coerce import driver_code, lap_seconds, number, timestamp, true_text
 from laptable.functions.dims import SESSION_NAMES, literal_map, with_event_location, with_location, with_team
+from laptable.functions.groups import join_on, unpruned
 from laptable.operators.intervals import lap_track_status, track_status_intervals
 from laptable.operators.lap_state import accuracy_rule, lap_end_time, legacy_validity, with_pit_flags
 from laptable.operators.timed_joins import (
@@ -193,11 +194,21 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool = False) -> Da
     ends = sessions.join(last_start, key, "left").select(
         key, F.coalesce(timestamp("date_end"), F.col("_last") + F.expr("interval 5 minutes")).alias("session_end")
     )
-    laps = lap_end_time(laps.join(ends, key), who, F.col("session_end"), split)
+    # Steps that read their laps twice come while the laps are narrow; the other reading is of the laps as landed, or shares its shuffles.
+    # The three joins by lap number follow each other, so the laps are shuffled for the first only, and so do the two joins by driver.
+    held = laps.join(ends, key)
+    laps = unpruned(lap_end_time(held, who, F.col("session_end"), split), unfiltered=True)
+    messages = tables["race_control"].withColumn("date", timestamp("date"))
+    intervals = track_status_intervals(messages, ends, split)
+    laps = lap_track_status(laps, intervals, [*who, "lap_number"], split)
     pits = tables["pit"].select(key, F.col("driver_number").try_cast("bigint").alias("driver_number"), F.col("lap_number").try_cast("double").alias("lap_number"))
     laps = with_pit_flags(laps, pits, who).withColumn("pit_out", F.col("_pit_out")).drop("_pit_out")
     stints = tables["stints"].withColumn("driver_number", F.col("driver_number").try_cast("bigint"))
-    laps = stint_range_join(laps, stints, who)
+    laps = stint_range_join(laps, stints, who, source=held)
+    laps = deleted_laps(laps, messages, split, held)
+    laps = accuracy_rule(unpruned(laps, unfiltered=True), who, split)
+    drivers = tables["drivers"].groupBy(key, F.col("driver_number").try_cast("bigint").alias("driver_number")).agg(F.max(F.struct(F.col("name_acronym").alias("_code"), F.col("team_name").alias("team"))).alias("_entry")).select(*who, "_entry.*")
+    laps = join_on(laps, drivers.dropna(subset=who), who)
     # Updates of one instant count in the order they were landed in, where the table says it.
     landed = "ingest_id" if "ingest_id" in tables["position"].columns else "position"
     positions = tables["position"].select(
@@ -207,14 +218,7 @@ def openf1_session_laps(tables: dict[str, DataFrame], split: bool = False) -> Da
     laps = asof_backward(laps, positions, who, "lap_end", "_when", ["position"], sequence="_landed", split=split)
     weather = tables["weather"].select(key, timestamp("date").alias("_when"), *[number(a).alias(b) for a, b in WEATHER.items()])
     laps = asof_nearest(laps, weather, [key], "lap_start", "_when", list(WEATHER.values()), WEATHER_TOLERANCE_S, split=split)
-    laps = laps.withColumns(weather_defaults())
-    messages = tables["race_control"].withColumn("date", timestamp("date"))
-    intervals = track_status_intervals(messages, ends, split)
-    laps = lap_track_status(laps, intervals, [*who, "lap_number"], split)
-    laps = deleted_laps(laps, messages, split)
-    laps = accuracy_rule(laps, who, split)
-    drivers = tables["drivers"].groupBy(key, F.col("driver_number").try_cast("bigint").alias("driver_number")).agg(F.max(F.struct(F.col("name_acronym").alias("_code"), F.col("team_name").alias("team"))).alias("_entry")).select(*who, "_entry.*")
-    laps = laps.join(drivers, who, "left").join(
+    laps = laps.withColumns(weather_defaults()).join(
         sessions.select(key, F.col("year").alias("season"), "session_code", F.col("meeting_name").alias("event"), F.coalesce("location", F.lit("")).alias("_location"), "event_date", "round_number"), key
     )
     return laps.select(
